@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import nearest_time, top_groups
+from tidemill.llm import leakage, nearest_time, packing, top_groups
 from tidemill.plans.registry import Registry
 from tidemill.session import table
 
@@ -53,3 +53,39 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 @LLM.query("p4_ranked", _SCORES + "SELECT campaign, W, cfg, score, rank::INTEGER AS rank FROM ranked WHERE rank <= 5")
 def p4_ranked(spark: SparkSession, sf: str) -> DataFrame:
     return _best(spark, sf, 5)
+
+
+@LLM.query("p6_packed")
+def p6_packed(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_texts(table(spark, sf, "documents"))
+
+
+@LLM.query("p6_use")
+def p6_use(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers, tokens and the share of space in use."""
+    each = packing.pack_texts(table(spark, sf, "documents")).groupBy("container").agg(F.sum("length").alias("tokens"))
+    return each.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").cast("bigint").alias("fullest"), (F.sum("tokens") / (F.count("*") * 2048)).alias("used"))
+
+
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+@LLM.query("p7_found")
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _leaks(spark, sf).select("doc_id", "item_id").distinct()
+
+
+@LLM.query("p7_spans")
+def p7_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return _leaks(spark, sf)
+
+
+@LLM.query("p7_clean_documents")
+def p7_clean_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.without_leaked_documents(table(spark, sf, "documents"), _leaks(spark, sf)).select("doc_id", "text")
+
+
+@LLM.query("p7_clean_spans")
+def p7_clean_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.without_leaked_spans(table(spark, sf, "documents"), _leaks(spark, sf))
