@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import leakage, nearest_time, packing, top_groups
+from tidemill.llm import leakage, nearest_time, packing, reading, top_groups
 from tidemill.plans.registry import Registry
 from tidemill.session import table
 
@@ -89,3 +89,19 @@ def p7_clean_documents(spark: SparkSession, sf: str) -> DataFrame:
 @LLM.query("p7_clean_spans")
 def p7_clean_spans(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.without_leaked_spans(table(spark, sf, "documents"), _leaks(spark, sf))
+
+
+def _levels(spark: SparkSession, sf: str) -> DataFrame:
+    return reading.reading_levels(table(spark, sf, "documents"), table(spark, sf, "reading_refs"))
+
+
+@LLM.query("p8_found")
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _levels(spark, sf).select("doc_id", "reading_level")
+
+
+@LLM.query("p8_profile")
+def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and mean level by source."""
+    of = _levels(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    return of.groupBy("source", "reading_level").agg(F.count("*").alias("n"), F.avg("theta").alias("theta"))
