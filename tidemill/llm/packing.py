@@ -44,7 +44,7 @@ def _encoding(path: str):
 
 
 #: Characters that are encoded at a time; a longer text is cut at line ends, where the pattern also splits.
-STRETCH = 20_000
+STRETCH = 1_000_000
 
 
 def count_tokens(text: str, path: str) -> int:
@@ -101,7 +101,7 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
         active[k] = True
         while True:
             idx = np.flatnonzero(active)
-            s = np.linalg.lstsq(ata[np.ix_(idx, idx)], atb[idx], rcond=None)[0]
+            s = np.linalg.solve(ata[np.ix_(idx, idx)] + 1e-9 * np.eye(len(idx)), atb[idx])
             if (s > 0).all():
                 x[:] = 0
                 x[idx] = s
@@ -147,7 +147,8 @@ def plan(histogram: dict[int, int], capacity: int, classes: int = CLASSES, depth
     if full := left.pop(capacity, 0):
         groups.append([0, {capacity: 1}, full])
     width = -(-capacity // classes)
-    class_of = {k: -(-k // width) for k in left if k > 0}
+    classes = capacity // width
+    class_of = {k: -(-k // width) for k in left if 0 < k <= classes * width}
     weight = np.zeros(classes + 1)
     for k, c in class_of.items():
         weight[c] += left[k]
@@ -159,31 +160,38 @@ def plan(histogram: dict[int, int], capacity: int, classes: int = CLASSES, depth
                 a[c, j] += 1
         scale = max(1.0, weight.max())
         repeats = np.floor(nnls(a, weight / scale) * scale + 1e-6).astype(np.int64)
-        stock: dict[int, list[int]] = defaultdict(list)
-        for k in sorted(class_of):
-            stock[class_of[k]].append(k)
+        lengths = sorted(class_of)
+
+        def longest(at_most: int, least: int, taken: dict[int, int]) -> int | None:
+            """The longest piece in stock with least <= length <= at_most."""
+            for i in range(bisect.bisect_right(lengths, at_most) - 1, -1, -1):
+                k = lengths[i]
+                if k < least:
+                    return None
+                if left[k] > taken.get(k, 0):
+                    return k
+            return None
+
         for j in np.argsort(-repeats, kind="stable"):
             need = int(repeats[j])
             while need > 0:
-                # the longest pieces of each class first, in runs of equal lengths
-                take: dict[int, int] = defaultdict(int)
-                for c in combos[j]:
-                    lengths = stock[c]
-                    while lengths and left[lengths[-1]] - take.get(lengths[-1], 0) <= 0:
-                        if left[lengths[-1]] > 0:
-                            break
-                        lengths.pop()
-                    pick = next((k for k in reversed(lengths) if left[k] > take.get(k, 0)), None)
+                # the longest pieces of each class; the last takes the room that these really leave
+                take: dict[int, int] = {}
+                room = capacity
+                for i, c in enumerate(combos[j]):
+                    top = room if i == len(combos[j]) - 1 else c * width
+                    pick = longest(top, (c - 1) * width + 1, take)
                     if pick is None:
                         take = {}
                         break
-                    take[pick] += 1
+                    take[pick] = take.get(pick, 0) + 1
+                    room -= pick
                 if not take:
                     break
                 n = min(need, *(left[k] // m for k, m in take.items()))
                 for k, m in take.items():
                     left[k] -= n * m
-                groups.append([capacity - sum(k * m for k, m in take.items()), dict(take), n])
+                groups.append([room, take, n])
                 need -= n
     return _best_fit(groups, left, capacity)
 
