@@ -41,7 +41,7 @@ def candidates(marked: DataFrame, configs: DataFrame, keys: Sequence[str]) -> Da
 
 
 def outcomes(cand: DataFrame, bars: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Each candidate with ``exit_i``, ``exit_ts``, ``exit``, ``reason`` and ``factor``; those still open at the end are left out."""
+    """Each candidate with ``exit_i``, ``exit_ts``, ``exit``, ``reason`` and ``factor``; OPEN if it is still held at the end."""
     keys = list(keys)
     last = bars.groupBy(*keys).agg(F.max("i").alias("_last"))
     wide = cand.join(last, keys).withColumn("_to", F.coalesce("next_opp", "_last")).where("_to > entry_i")
@@ -80,7 +80,9 @@ def outcomes(cand: DataFrame, bars: DataFrame, keys: Sequence[str]) -> DataFrame
     tail = F.when(F.col("reason") == "LIQ", -rest).otherwise(F.col("lev") * rest * (side * (F.col("exit") / F.col("entry") - 1) - F.col("fee") * F.col("exit") / F.col("entry")))
     factor = 1 - F.col("fee") * F.col("lev") + ladder + tail
     factor = F.when(F.col("reason") == "LIQ", F.greatest(factor, F.lit(0.0))).otherwise(factor)
-    return first.select(*keys, "config_id", "entry_i", "open_ts", "dir", "entry", F.col("i").alias("exit_i"), F.col("t").alias("exit_ts"), "exit", "reason", factor.alias("factor"))
+    done = first.select(*keys, "config_id", "entry_i", F.col("i").alias("exit_i"), F.col("t").alias("exit_ts"), "exit", "reason", factor.alias("factor"))
+    every = cand.select(*keys, "config_id", "entry_i", "open_ts", "dir", "entry")
+    return every.join(done, [*keys, "config_id", "entry_i"], "left").withColumn("reason", F.coalesce("reason", F.lit("OPEN")))
 
 
 def resolve(trades: DataFrame, keys: Sequence[str], start: float = 10_000.0) -> DataFrame:
@@ -98,6 +100,8 @@ def resolve(trades: DataFrame, keys: Sequence[str], start: float = 10_000.0) ->
             if bal <= DEAD:
                 break
             if e > free or (reverse and e == free):
+                if why == "OPEN":
+                    break
                 bal *= f
                 take.append(k)
                 balances.append(bal)

@@ -1,4 +1,4 @@
 """Imports every module that registers core queries."""
 
-from tidemill.plans import metric_queries, problems, relational_queries, window_queries  # noqa: F401
+from tidemill.plans import metric_queries, problems, relational_queries, stat_queries, window_queries  # noqa: F401
 from tidemill.plans.registry import CORE  # noqa: F401
