@@ -49,7 +49,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.col("event_type").alias("symbol"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "event_id", F.col("value").alias("price"))
 
 
-E = "e AS (SELECT event_type AS symbol, epoch_ms(ts) AS ts_ms, event_id, value AS price FROM events)"
+E = "e AS (SELECT event_type AS symbol, epoch_us(ts) // 1000 AS ts_ms, event_id, value AS price FROM events)"
 
 
 def r(x, n: int = 6):

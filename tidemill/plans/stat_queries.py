@@ -202,13 +202,13 @@ REPLAY = f"""{D}, cfg(id, w, tpd, ntp, lev, stop, sltp, maxdist, fee) AS (VALUES
     )"""
 
 
-@CORE.query("trade_chain", f"WITH RECURSIVE {REPLAY} SELECT st.symbol, id AS config_id, c_open AS open_ts, n.ts_ms AS exit_ts, why AS reason, round(c_bal / 10000, 8) AS growth FROM st JOIN n ON n.symbol = st.symbol AND n.rn = st.rn WHERE why IS NOT NULL")
+@CORE.query("trade_chain", f"WITH RECURSIVE {REPLAY} SELECT st.symbol, id::BIGINT AS config_id, c_open AS open_ts, n.ts_ms AS exit_ts, why AS reason, round(c_bal / 10000, 8) AS growth FROM st JOIN n ON n.symbol = st.symbol AND n.rn = st.rn WHERE why IS NOT NULL")
 def trade_chain(spark: SparkSession, sf: str) -> DataFrame:
     bars, configs = strategy_inputs(spark, sf)
     return chain.trade_chain(bars, configs).select("symbol", "config_id", "open_ts", "exit_ts", "reason", r(F.col("balance") / 10_000, 8).alias("growth"))
 
 
-@CORE.query("replay_fold", f"WITH RECURSIVE {REPLAY} SELECT st.symbol, id AS config_id, c_open AS open_ts, n.ts_ms AS exit_ts, why AS reason, round(c_bal / 10000, 8) AS growth FROM st JOIN n ON n.symbol = st.symbol AND n.rn = st.rn WHERE why IS NOT NULL")
+@CORE.query("replay_fold", f"WITH RECURSIVE {REPLAY} SELECT st.symbol, id::BIGINT AS config_id, c_open AS open_ts, n.ts_ms AS exit_ts, why AS reason, round(c_bal / 10000, 8) AS growth FROM st JOIN n ON n.symbol = st.symbol AND n.rn = st.rn WHERE why IS NOT NULL")
 def replay_fold(spark: SparkSession, sf: str) -> DataFrame:
     bars, configs = strategy_inputs(spark, sf)
     return fold.replay_grid(bars.drop("i"), configs).select("symbol", "config_id", "open_ts", "exit_ts", "reason", r(F.col("balance") / 10_000, 8).alias("growth"))

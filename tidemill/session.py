@@ -30,14 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder that all executors share and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share, from ``spark.checkpoint.dir``.
 
-    The folder is ``spark.checkpoint.dir``; only where no folder is configured (tests, a laptop) is one made
-    under the temporary directory of this machine.
+    Only where none is configured (tests, a laptop) is one made under the temporary directory of this machine.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), "tidemill-checkpoints"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "tidemill-checkpoints"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
