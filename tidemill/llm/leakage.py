@@ -31,6 +31,8 @@ BAND = 8
 AROUND, DRIFT = 22, 3
 #: So many compared words that aren't among the passages' commonest must agree; a word is common from this share on.
 SUPPORT, COMMON = 9, 0.015
+#: A word with fewer places in all passages is uncommon in any case: in a small set every word has a large share.
+LEAST_COMMON = 20
 #: Characters that are scanned together.
 SLICE = 2_000_000
 #: Unknown words between the parts of a batch.
@@ -78,10 +80,17 @@ class PassageSet:
         for at, p in zip(self.start, self.passages):
             self.flat[at : at + len(p)] = p
         counts = np.bincount(self.flat[self.flat > 0], minlength=len(self.vocabulary) + 1)
-        self.rare = counts < COMMON * max(1, counts.sum())
+        self.rare = counts < max(LEAST_COMMON, COMMON * counts.sum())
         self.rare[0] = False
+        self.needed = np.array([self._needed(p) for p in self.passages], np.int64)
         self.seeds, self.which, self.where = flat[order], which[order].astype(np.int64), where[order].astype(np.int64)
 
+    def _needed(self, passage: np.ndarray) -> int:
+        """Uncommon words that any leak of the passage keeps: those of its poorest MIN_SPAN words less the edits, SUPPORT at most."""
+        rare = np.concatenate([[0], np.cumsum(self.rare[passage])])
+        poorest = int((rare[MIN_SPAN:] - rare[:-MIN_SPAN]).min()) if len(passage) >= MIN_SPAN else int(rare[-1])
+        return min(SUPPORT, max(0, poorest - int(MAX_EDITS * MIN_SPAN)))
+
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position, passage, position in the passage) of every seed that occurs."""
         lo = np.searchsorted(self.seeds, hashes, "left")
@@ -99,37 +108,65 @@ class PassageSet:
         same = np.zeros(doc.shape, bool)
         for s in range(-DRIFT, DRIFT + 1):
             same |= doc == self.flat[base + s]
-        return (same & self.rare[doc]).sum(axis=1) >= SUPPORT
+        return (same & self.rare[doc]).sum(axis=1) >= self.needed[which]
 
 
-def align(doc: list[int], passage: list[int], shift: int) -> tuple[int, int, int, int, int]:
-    """Best local alignment near the diagonal ``shift`` (place in the passage less place in ``doc``):
-    (words spanned in the passage, matched words, edits, first and last document word).
+def align(doc: list[int], passage: list[int], shift: int) -> list[tuple[int, int]]:
+    """Matched words (place in ``doc``, place in ``passage``), in order, of the best local alignment near the diagonal
+    ``shift`` (place in the passage less place in ``doc``).
 
-    Match +1, change, drop or addition -2: a stretch goes on over edits as long as matches outweigh them.
+    Match +2, change, drop or addition -1: one matching word behind two edits is still taken in, so that edits near
+    either end don't shorten a stretch. What is taken in beyond a leak is for ``stretch`` to leave out.
     """
-    m = len(passage)
-    best, end = (0, 0, 0, 0, 0), (0, 0)
-    zero = (0, 0, 0, 0, 0)  # score, matched, edits, begin in the passage, begin in the document
-    prev: dict[int, tuple[int, int, int, int, int]] = {}
+    m, width = len(passage), 2 * BAND + 1
+    zero = (0, None)  # score, chain of matched words
+    best, end = 0, None
+    blank = [zero] * (width + 2)  # cell b + 1 is the diagonal shift - BAND + b
+    prev, live = blank, False
     for i, w in enumerate(doc):
-        row: dict[int, tuple[int, int, int, int, int]] = {}
-        left = zero
-        for j in range(max(0, i + shift - BAND), min(m, i + shift + BAND + 1)):
-            diag = prev.get(j - 1, zero)
-            if w and w == passage[j]:
-                cell = (diag[0] + 1, diag[1] + 1, diag[2], diag[3], diag[4]) if diag[0] else (1, 1, 0, j, i)
+        if not w and not live:
+            continue
+        row, left, live = blank[:], zero, False
+        first = i + shift - BAND
+        for b in range(max(0, -first), min(width, m - first)):
+            src = prev[b + 1]
+            if w and w == passage[first + b]:
+                cell = (src[0] + 2, (i, first + b, src[1]))
+                if cell[0] >= best:
+                    best, end = cell[0], cell[1]
             else:
-                src = max(diag, prev.get(j, zero), left)
-                cell = (src[0] - 2, src[1], src[2] + 1, src[3], src[4]) if src[0] > 2 else zero
-            if cell[0]:
-                row[j] = cell
-                if cell[0] > best[0]:
-                    best, end = cell, (i, j)
+                if prev[b + 2][0] > src[0]:
+                    src = prev[b + 2]
+                if left[0] > src[0]:
+                    src = left
+                cell = (src[0] - 1, src[1]) if src[0] else zero
+            if cell[1] is not None:
+                row[b + 1], live = cell, True
             left = cell
         prev = row
-    score, matched, edits, pb, db = best
-    return (end[1] - pb + 1 if score else 0), matched, edits, db, end[0]
+    pairs = []
+    while end is not None:
+        pairs.append(end[:2])
+        end = end[2]
+    return pairs[::-1]
+
+
+def stretch(pairs: list[tuple[int, int]]) -> tuple[int, int, int, int] | None:
+    """(first, last, span, edits) of the longest run of matched words that is a leak, first and last as numbers in ``pairs``."""
+    edits = [0]
+    for (i, j), (i2, j2) in zip(pairs, pairs[1:]):
+        edits.append(edits[-1] + max(i2 - i, j2 - j) - 1)
+    for n in range(len(pairs), MIN_MATCHED - 1, -1):
+        for a in range(len(pairs) - n + 1):
+            z = a + n - 1
+            span, e = pairs[z][1] - pairs[a][1] + 1, edits[z] - edits[a]
+            if passes(span, n, e):
+                return a, z, span, e
+    return None
+
+
+def passes(span: int, matched: int, edits: int) -> bool:
+    return span >= MIN_SPAN and matched >= MIN_MATCHED and edits <= MAX_EDITS * span
 
 
 class Found(NamedTuple):
@@ -185,8 +222,14 @@ def scan(texts: Sequence[str | None], passages: PassageSet) -> list[Found]:
             continue  # inside the stretch aligned last
         passage = passages.lists[p]
         lo, hi = max(0, at - w - BAND), min(len(bodies[k]), at + len(passage) - w + BAND)
-        span, matched, edits, d0, d1 = align(ids[begin[k] + lo : begin[k] + hi].tolist(), passage, w - at + lo)
-        reached = (k, p, lo + d1 + 1, w - at)
+        pairs = align(ids[begin[k] + lo : begin[k] + hi].tolist(), passage, w - at + lo)
+        if not pairs:
+            continue
+        reached = (k, p, lo + pairs[-1][0] + 1, w - at)
+        if (got := stretch(pairs)) is None:
+            continue
+        first, last, span, edits = got
+        matched, d0, d1 = last - first + 1, pairs[first][0], pairs[last][0]
         row, number = origin[k]
         if (old := best.get((row, p))) is None or matched > old.matched:
             best[row, p] = Found(row, number, p, span, matched, edits, lo + d0, lo + d1 + 1, " ".join(bodies[k][lo + d0 : lo + d1 + 1]))
@@ -194,7 +237,7 @@ def scan(texts: Sequence[str | None], passages: PassageSet) -> list[Found]:
 
 
 def is_leak(f: Found) -> bool:
-    return f.span >= MIN_SPAN and f.matched >= MIN_MATCHED and f.edits <= MAX_EDITS * f.span
+    return passes(f.span, f.matched, f.edits)
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
