@@ -165,6 +165,15 @@ def stretch(pairs: list[tuple[int, int]]) -> tuple[int, int, int, int] | None:
     return None
 
 
+def stretches(pairs: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    """``stretch``, and those of what is left on either side of it."""
+    if (got := stretch(pairs)) is None:
+        return []
+    first, last = got[:2]
+    after = [(a + last + 1, z + last + 1, *more) for a, z, *more in stretches(pairs[last + 1 :])]
+    return [*stretches(pairs[:first]), got, *after]
+
+
 def passes(span: int, matched: int, edits: int) -> bool:
     return span >= MIN_SPAN and matched >= MIN_MATCHED and edits <= MAX_EDITS * span
 
@@ -182,7 +191,7 @@ class Found(NamedTuple):
 
 
 def scan(texts: Sequence[str | None], passages: PassageSet) -> list[Found]:
-    """The best alignment of each (text, passage) whose surroundings of a seed hold enough further words of the passage."""
+    """All disjoint leaks of each (text part, passage) whose surroundings of a seed hold enough further words of the passage."""
     bodies: list[list[str]] = []
     origin: list[tuple[int, int]] = []
     for r, text in enumerate(texts):
@@ -213,27 +222,47 @@ def scan(texts: Sequence[str | None], passages: PassageSet) -> list[Found]:
     pos, which, where = pos[enough], which[enough], where[enough]
     order = np.lexsort((pos, which))
     part = np.searchsorted(begin, pos, "right") - 1
-    best: dict[tuple[int, int], Found] = {}
-    reached: tuple[int, int, int, int] = (-1, -1, -1, 0)
+    found: dict[tuple[int, int], list[Found]] = defaultdict(list)
+    seen: list[tuple[int, int, int]] = []  # stretches of the part aligned with the passage: begin, end, diagonal
+    of = (-1, -1)
     for i in order:
         k, p, w = int(part[i]), int(which[i]), int(where[i])
         at = int(pos[i] - begin[k])
-        if (k, p) == reached[:2] and at + SEED <= reached[2] and abs((w - at) - reached[3]) <= BAND // 2:
-            continue  # inside the stretch aligned last
+        if (k, p) != of:
+            of, seen = (k, p), []
         passage = passages.lists[p]
+        near = [(a, z) for a, z, d in seen if abs((w - at) - d) <= BAND // 2]
+        if any(a <= at and at + SEED <= z for a, z in near):
+            continue  # inside a stretch aligned before
         lo, hi = max(0, at - w - BAND), min(len(bodies[k]), at + len(passage) - w + BAND)
-        pairs = align(ids[begin[k] + lo : begin[k] + hi].tolist(), passage, w - at + lo)
-        if not pairs:
-            continue
-        reached = (k, p, lo + pairs[-1][0] + 1, w - at)
-        if (got := stretch(pairs)) is None:
-            continue
-        first, last, span, edits = got
-        matched, d0, d1 = last - first + 1, pairs[first][0], pairs[last][0]
-        row, number = origin[k]
-        if (old := best.get((row, p))) is None or matched > old.matched:
-            best[row, p] = Found(row, number, p, span, matched, edits, lo + d0, lo + d1 + 1, " ".join(bodies[k][lo + d0 : lo + d1 + 1]))
-    return list(best.values())
+        for a, z in near:
+            lo, hi = (max(lo, z), hi) if a <= at else (lo, min(hi, a))
+        # The best alignment needn't hold the seed: go on beside it until one does.
+        while hi - lo >= SEED:
+            pairs = align(ids[begin[k] + lo : begin[k] + hi].tolist(), passage, w - at + lo)
+            if not pairs:
+                break
+            a, z = lo + pairs[0][0], lo + pairs[-1][0] + 1
+            seen.append((a, z, w - at))
+            row, number = origin[k]
+            for first, last, span, edits in stretches(pairs):
+                d0, d1 = lo + pairs[first][0], lo + pairs[last][0] + 1
+                found[k, p].append(Found(row, number, p, span, last - first + 1, edits, d0, d1, " ".join(bodies[k][d0:d1])))
+            if z <= at:
+                lo = z
+            elif a >= at + SEED:
+                hi = a
+            else:
+                break
+    # Of stretches of one passage that overlap, as seeds on neighbouring diagonals give them, the one with most matches.
+    out: list[Found] = []
+    for each in found.values():
+        kept: list[Found] = []
+        for f in sorted(each, key=lambda f: (-f.matched, f.edits, f.begin)):
+            if all(f.end <= g.begin or f.begin >= g.end for g in kept):
+                kept.append(f)
+        out += sorted(kept, key=lambda f: f.begin)
+    return out
 
 
 def is_leak(f: Found) -> bool:
@@ -271,7 +300,7 @@ def _scanning(shared):
 
 
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage") -> DataFrame:
-    """(doc_id, item_id, part, span, matched, edits, begin, end, words): the leaked passages of each document.
+    """(doc_id, item_id, part, span, matched, edits, begin, end, words): the leaked passages of each document, one row per stretch.
 
     ``part`` numbers the text parts of the message, ``begin`` and ``end`` are word numbers in the part. Items that
     share a passage are all reported. Items go through in blocks of at most BLOCK_ITEMS, each against all documents, so
@@ -308,9 +337,9 @@ def _cut_words(text: str, spans: list[tuple[int, int, int]]) -> str:
             body = mail._SOFT.sub("", body)
             pieces, at = [], 0
             for a, b in own:
-                if b > a and places[a][0] >= at:
-                    pieces.append(body[at : places[a][0]])
-                    at = places[b - 1][1]
+                if b > a:
+                    pieces.append(body[at : max(at, places[a][0])])
+                    at = max(at, places[b - 1][1])
             body = "".join([*pieces, body[at:]])
         kept.append(body)
     return "\n".join(kept)
