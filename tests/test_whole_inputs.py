@@ -1,0 +1,60 @@
+"""Queries over all rows of their tables, against their SQL without its filters."""
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from tidemill.operators import joins, stats
+from tidemill.session import local_session
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def spark():
+    return local_session("tests", 4)
+
+
+def rows(found):
+    return sorted((tuple(round(x, 5) if isinstance(x, float) else x for x in r) for r in found), key=repr)
+
+
+def same(spark, name, sql, tables):
+    """``sql``: the registered SQL without the filter that it still has."""
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.execute(sql)
+    columns = [c[0] for c in want.description]
+    got = rows(entry.queries()[name](spark, SF).select(*columns).collect())
+    assert got == rows(want.fetchall()) and got
+
+
+def without(name, part, other=""):
+    sql = entry.oracle_sql()[name]
+    return sql.replace(part, other)
+
+
+def test_bh_stepup(spark):
+    same(spark, "bh_stepup", without("bh_stepup", " WHERE cfg % 7 = 0"), ["config_year_matrix"])
+
+
+@pytest.mark.parametrize("name", ["asof_backward", "asof_strict_recent"])
+def test_asof(spark, name):
+    same(spark, name, without(name, " WHERE hour % 5 = 0"), ["events"])
+
+
+def test_ranks_across_ranges(spark):
+    t = spark.range(5000).select("id", (F.pmod(F.col("id") * 7919, F.lit(1000)) / 1000).alias("p")).unionByName(spark.createDataFrame([(-1, None)], "id long, p double"))
+    got = stats.benjamini_hochberg(t, "p", 0.5, key=["id"]).collect()
+    assert [r["id"] for r in sorted(got, key=lambda r: r["rank"])] == [r["id"] for r in sorted(got, key=lambda r: (r["p"], r["id"]))]
+    assert sorted(r["rank"] for r in got) == list(range(1, 5001))
+
+
+def test_asof_over_a_gap(spark):
+    left = spark.createDataFrame([("a", 5), ("a", 9), ("b", 9)], "symbol string, hour long")
+    right = spark.createDataFrame([("a", 4, 1.0), ("a", 5, 2.0)], "symbol string, hour long, c double")
+    assert rows(joins.asof_backward(left, right, ["symbol"], "hour", ["c"]).select("symbol", "hour", "c").collect()) == [("a", 5, 2.0), ("a", 9, 2.0), ("b", 9, None)]
+    assert rows(joins.asof_backward(left, right, ["symbol"], "hour", ["c"], strict=True, lookback=3).select("symbol", "hour", "c").collect()) == [("a", 5, 1.0), ("a", 9, None), ("b", 9, None)]

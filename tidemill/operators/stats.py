@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tidemill.operators.aggregates import average_rank
+from tidemill.session import cut
 
 
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, least: int = 3) -> DataFrame:
@@ -73,16 +74,21 @@ def cliffs_delta(df: DataFrame, by: Sequence[str], x: str, group: str, least: in
 def benjamini_hochberg(tests: DataFrame, p: str, alpha: float = 0.1, mode: str = "step_up", key: Sequence[str] = ()) -> DataFrame:
     """Adds ``rank`` and ``passed``. step_up keeps all up to the largest rank under its bound; per_rank those under theirs.
 
-    Tests are few (one row per hypothesis); null p-values are no tests.
+    Null p-values are no tests. Rows are cut into ranges of (p, key), and a rank is the number within the range plus
+    the counts of the ranges before, so no task holds all tests.
     """
-    rows = tests.where(F.col(p).isNotNull())
-    m = rows.agg(F.count("*").alias("_m"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(p, *key))).crossJoin(F.broadcast(m))
+    ranged = cut(tests.where(F.col(p).isNotNull()).repartitionByRange(p, *key).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    m = counts.agg(F.sum("_n").alias("_m"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(p, *key))
+    ranked = ranged.withColumn("rank", within).join(F.broadcast(offsets), "_part").withColumn("rank", (F.col("rank") + F.col("_before")).cast("int")).drop("_part", "_before").crossJoin(F.broadcast(m))
     ok = F.col(p) <= F.lit(alpha) * F.col("rank") / F.col("_m")
     if mode == "per_rank":
         return ranked.withColumn("passed", ok).drop("_m")
-    top = F.max(F.when(ok, F.col("rank"))).over(Window.partitionBy(F.lit(1)))
-    return ranked.withColumn("passed", F.coalesce(F.col("rank") <= top, F.lit(False))).drop("_m")
+    top = ranked.where(ok).agg(F.max("rank").alias("_top"))
+    return ranked.crossJoin(F.broadcast(top)).withColumn("passed", F.coalesce(F.col("rank") <= F.col("_top"), F.lit(False))).drop("_m", "_top")
 
 
 def shift_null(df: DataFrame, by: Sequence[str], order: str, flag: str, outcome: str, shifts: int, least: int = 1) -> DataFrame:

@@ -25,13 +25,13 @@ def direction():
 @CORE.query("asof_backward", f"WITH {H}, t AS (SELECT symbol, hour, c FROM hb WHERE hour % 5 = 0), l AS (SELECT symbol, event_id, ts_ms // {HOUR_MS} AS hour FROM e) SELECT l.event_id, t.hour AS asof_hour, t.c FROM l ASOF LEFT JOIN t ON l.symbol = t.symbol AND l.hour >= t.hour")
 def asof_backward(spark: SparkSession, sf: str) -> DataFrame:
     ticks = events(spark, sf).select("symbol", "event_id", F.floor(F.col("ts_ms") / HOUR_MS).alias("hour"))
-    return joins.asof_backward(ticks, hourly(spark, sf).where("hour % 5 = 0").select("symbol", "hour", "c"), ["symbol"], "hour", ["c"]).select("event_id", "asof_hour", "c")
+    return joins.asof_backward(ticks, hourly(spark, sf).select("symbol", "hour", "c"), ["symbol"], "hour", ["c"]).select("event_id", "asof_hour", "c")
 
 
 @CORE.query("asof_strict_recent", f"WITH {H}, t AS (SELECT symbol, hour, c FROM hb WHERE hour % 5 = 0), l AS (SELECT symbol, event_id, ts_ms // {HOUR_MS} AS hour FROM e) SELECT l.event_id, CASE WHEN l.hour - t.hour <= 3 THEN t.hour END AS asof_hour, CASE WHEN l.hour - t.hour <= 3 THEN t.c END AS c FROM l ASOF LEFT JOIN t ON l.symbol = t.symbol AND l.hour > t.hour")
 def asof_strict_recent(spark: SparkSession, sf: str) -> DataFrame:
     ticks = events(spark, sf).select("symbol", "event_id", F.floor(F.col("ts_ms") / HOUR_MS).alias("hour"))
-    return joins.asof_backward(ticks, hourly(spark, sf).where("hour % 5 = 0").select("symbol", "hour", "c"), ["symbol"], "hour", ["c"], strict=True, lookback=3).select("event_id", "asof_hour", "c")
+    return joins.asof_backward(ticks, hourly(spark, sf).select("symbol", "hour", "c"), ["symbol"], "hour", ["c"], strict=True, lookback=3).select("event_id", "asof_hour", "c")
 
 
 @CORE.query("trade_features", f"""WITH {bars_cte('hb', '60m')}, f AS (SELECT symbol, ts_ms // {HOUR_MS} AS hour, arg_max(c, ts_ms) AS c FROM hb GROUP BY ALL), p AS (SELECT DISTINCT p.pos_id, j.symbol, p.open_ts // {HOUR_MS} - 1 AS hour FROM positions p JOIN jobs j ON p.sim_id = j.sim_id AND p.v = j.idx WHERE j.symbol IS NOT NULL)
