@@ -58,3 +58,15 @@ def test_asof_over_a_gap(spark):
     right = spark.createDataFrame([("a", 4, 1.0), ("a", 5, 2.0)], "symbol string, hour long, c double")
     assert rows(joins.asof_backward(left, right, ["symbol"], "hour", ["c"]).select("symbol", "hour", "c").collect()) == [("a", 5, 2.0), ("a", 9, 2.0), ("b", 9, None)]
     assert rows(joins.asof_backward(left, right, ["symbol"], "hour", ["c"], strict=True, lookback=3).select("symbol", "hour", "c").collect()) == [("a", 5, 1.0), ("a", 9, None), ("b", 9, None)]
+
+
+#: All stamps in milliseconds, as in the SQL of p3_found.
+MS = "(SELECT * REPLACE (CASE WHEN timestamp < 100000000000 THEN timestamp * 1000 WHEN timestamp < 100000000000000 THEN timestamp ELSE timestamp // 1000 END AS timestamp) FROM ma_hourly)"
+
+
+@pytest.mark.parametrize("name", ["thin_hourly", "time_slice"])
+def test_runs_in_other_units(spark, name):
+    sql = without(name, " WHERE timestamp BETWEEN 100000000000 AND 99999999999999").replace("FROM ma_hourly", f"FROM {MS}")
+    same(spark, name, sql, ["ma_hourly"])
+    runs = duckdb.sql(f"SELECT count(DISTINCT (sim_id, v)) FROM '{SF}/ma_hourly.parquet'").fetchall()[0][0]
+    assert entry.queries()[name](spark, SF).select("sim_id", "v").distinct().count() == runs

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import scalars as sc
 from tidemill.operators import aggregates as ag
 from tidemill.operators import joins, sessions, windows
+from tidemill.operators.regular_grid import epoch_ms
 from tidemill.operators.windows import Frames
 from tidemill.plans.registry import CORE
 from tidemill.plans.series import HOUR_MS, D, E, bars, bars_cte, daily, events, r
@@ -201,7 +202,7 @@ def round_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 @CORE.query("time_slice", "WITH b AS (SELECT sim_id, v, timestamp AS t, market_price FROM ma_hourly WHERE timestamp BETWEEN 100000000000 AND 99999999999999), k AS (SELECT sim_id, v, count_if(t BETWEEN 1550000000000 AND 1600000000000) AS n FROM b GROUP BY ALL) SELECT b.sim_id, b.v, count(*) AS n FROM b JOIN k USING (sim_id, v) WHERE k.n < 50 OR t BETWEEN 1550000000000 AND 1600000000000 GROUP BY ALL")
 def time_slice(spark: SparkSession, sf: str) -> DataFrame:
-    b = table(spark, sf, "ma_hourly").where("timestamp BETWEEN 100000000000 AND 99999999999999")
+    b = table(spark, sf, "ma_hourly").withColumn("timestamp", epoch_ms(F.col("timestamp")))
     return sc.time_slice(b, ["sim_id", "v"], "timestamp", F.lit(1550000000000), F.lit(1600000000000), 50).groupBy("sim_id", "v").agg(F.count("*").alias("n"))
 
 

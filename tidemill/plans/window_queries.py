@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators import blocks, windows
+from tidemill.operators.regular_grid import epoch_ms
 from tidemill.operators.windows import Frames
 from tidemill.plans.registry import CORE
 from tidemill.plans.series import DAY_MS, HOUR_MS, D, E, bars, bars_cte, daily, events, numbered, r, rolled
@@ -43,7 +44,7 @@ def dedupe_first(spark: SparkSession, sf: str) -> DataFrame:
     f"SELECT sim_id, v, timestamp // {HOUR_MS} AS hour, timestamp, market_price FROM ma_hourly WHERE timestamp BETWEEN 100000000000 AND 99999999999999 QUALIFY row_number() OVER (PARTITION BY sim_id, v, timestamp // {HOUR_MS} ORDER BY timestamp, market_price NULLS LAST) = 1",
 )
 def thin_hourly(spark: SparkSession, sf: str) -> DataFrame:
-    m = table(spark, sf, "ma_hourly").where("timestamp BETWEEN 100000000000 AND 99999999999999").withColumn("hour", F.floor(F.col("timestamp") / HOUR_MS))
+    m = table(spark, sf, "ma_hourly").withColumn("timestamp", epoch_ms(F.col("timestamp"))).withColumn("hour", F.floor(F.col("timestamp") / HOUR_MS))
     return windows.latest_version(m, ["sim_id", "v", "hour"], F.col("timestamp"), F.col("market_price").asc_nulls_last()).select("sim_id", "v", "hour", "timestamp", "market_price")
 
 
