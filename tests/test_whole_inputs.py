@@ -1,5 +1,7 @@
 """Queries over all rows of their tables, against their SQL without its filters."""
 
+from itertools import combinations
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -70,3 +72,14 @@ def test_runs_in_other_units(spark, name):
     same(spark, name, sql, ["ma_hourly"])
     runs = duckdb.sql(f"SELECT count(DISTINCT (sim_id, v)) FROM '{SF}/ma_hourly.parquet'").fetchall()[0][0]
     assert entry.queries()[name](spark, SF).select("sim_id", "v").distinct().count() == runs
+
+
+def test_all_years(spark):
+    years = "y2018, y2019, y2020, y2021"
+    same(spark, "unpivot_years", without("unpivot_years", years, years + ", y2022, y2023, y2024, y2025, y2026"), ["config_year_matrix"])
+
+
+def test_all_subsets(spark):
+    got = entry.queries()["config_subsets"](spark, SF).select("size", "first", "last", "total").collect()
+    want = [(n, c[0], c[-1], sum(c)) for n in (2, 3, 4, 5) for c in combinations(range(25), n)]
+    assert sorted(map(tuple, got)) == sorted(want)

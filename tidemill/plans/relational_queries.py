@@ -110,7 +110,7 @@ def venue_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 @CORE.query("config_subsets", "WITH p AS (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 8) SELECT 2 AS size, a.k AS first, b.k AS last, a.k + b.k AS total FROM p a JOIN p b ON a.k < b.k UNION ALL SELECT 3, a.k, c.k, a.k + b.k + c.k FROM p a JOIN p b ON a.k < b.k JOIN p c ON b.k < c.k")
 def config_subsets(spark: SparkSession, sf: str) -> DataFrame:
-    s = joins.subsets(table(spark, sf, "nation").where("n_nationkey < 8").select(F.col("n_nationkey").alias("k")), "k", [2, 3])
+    s = joins.subsets(table(spark, sf, "nation").select(F.col("n_nationkey").alias("k")), "k", [2, 3, 4, 5])
     return s.select(F.size("members").alias("size"), F.element_at("members", 1).alias("first"), F.element_at("members", -1).alias("last"), F.aggregate("members", F.lit(0).cast(s.schema["members"].dataType.elementType), lambda a, x: a + x).alias("total"))
 
 
@@ -139,8 +139,9 @@ def config_year_pivot(spark: SparkSession, sf: str) -> DataFrame:
 
 @CORE.query("unpivot_years", "SELECT cfg, run_ms, year, growth FROM (UNPIVOT (SELECT cfg, epoch_ms(run_ts) AS run_ms, y2018, y2019, y2020, y2021 FROM config_year_matrix) ON y2018, y2019, y2020, y2021 INTO NAME year VALUE growth)")
 def unpivot_years(spark: SparkSession, sf: str) -> DataFrame:
-    m = table(spark, sf, "config_year_matrix").select("cfg", F.unix_millis("run_ts").alias("run_ms"), "y2018", "y2019", "y2020", "y2021")
-    return m.unpivot(["cfg", "run_ms"], ["y2018", "y2019", "y2020", "y2021"], "year", "growth").where("growth IS NOT NULL")
+    years = [f"y{k}" for k in range(2018, 2027)]
+    m = table(spark, sf, "config_year_matrix").select("cfg", F.unix_millis("run_ts").alias("run_ms"), *years)
+    return m.unpivot(["cfg", "run_ms"], years, "year", "growth").where("growth IS NOT NULL")
 
 
 @CORE.query("sort_top_k", "SELECT DISTINCT cfg, port_DD, port_posMo FROM config_year_matrix ORDER BY port_DD, port_posMo DESC, cfg LIMIT 60")
