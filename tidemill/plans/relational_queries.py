@@ -23,13 +23,13 @@ def direction():
     return F.when(said.isin("LONG", "BUY"), 1).when(said.isin("SHORT", "SELL"), -1)
 
 
-@CORE.query("asof_backward", f"WITH {H}, t AS (SELECT symbol, hour, c FROM hb WHERE hour % 5 = 0), l AS (SELECT symbol, event_id, ts_ms // {HOUR_MS} AS hour FROM e) SELECT l.event_id, t.hour AS asof_hour, t.c FROM l ASOF LEFT JOIN t ON l.symbol = t.symbol AND l.hour >= t.hour")
+@CORE.query("asof_backward", f"WITH {H}, t AS (SELECT symbol, hour, c FROM hb), l AS (SELECT symbol, event_id, ts_ms // {HOUR_MS} AS hour FROM e) SELECT l.event_id, t.hour AS asof_hour, t.c FROM l ASOF LEFT JOIN t ON l.symbol = t.symbol AND l.hour >= t.hour")
 def asof_backward(spark: SparkSession, sf: str) -> DataFrame:
     ticks = events(spark, sf).select("symbol", "event_id", F.floor(F.col("ts_ms") / HOUR_MS).alias("hour"))
     return joins.asof_backward(ticks, hourly(spark, sf).select("symbol", "hour", "c"), ["symbol"], "hour", ["c"]).select("event_id", "asof_hour", "c")
 
 
-@CORE.query("asof_strict_recent", f"WITH {H}, t AS (SELECT symbol, hour, c FROM hb WHERE hour % 5 = 0), l AS (SELECT symbol, event_id, ts_ms // {HOUR_MS} AS hour FROM e) SELECT l.event_id, CASE WHEN l.hour - t.hour <= 3 THEN t.hour END AS asof_hour, CASE WHEN l.hour - t.hour <= 3 THEN t.c END AS c FROM l ASOF LEFT JOIN t ON l.symbol = t.symbol AND l.hour > t.hour")
+@CORE.query("asof_strict_recent", f"WITH {H}, t AS (SELECT symbol, hour, c FROM hb), l AS (SELECT symbol, event_id, ts_ms // {HOUR_MS} AS hour FROM e) SELECT l.event_id, CASE WHEN l.hour - t.hour <= 3 THEN t.hour END AS asof_hour, CASE WHEN l.hour - t.hour <= 3 THEN t.c END AS c FROM l ASOF LEFT JOIN t ON l.symbol = t.symbol AND l.hour > t.hour")
 def asof_strict_recent(spark: SparkSession, sf: str) -> DataFrame:
     ticks = events(spark, sf).select("symbol", "event_id", F.floor(F.col("ts_ms") / HOUR_MS).alias("hour"))
     return joins.asof_backward(ticks, hourly(spark, sf).select("symbol", "hour", "c"), ["symbol"], "hour", ["c"], strict=True, lookback=3).select("event_id", "asof_hour", "c")
@@ -108,7 +108,8 @@ def venue_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return joins.overlap(hourly(spark, sf).select("symbol", "hour", "c"), "symbol", "hour")
 
 
-@CORE.query("config_subsets", "WITH p AS (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 8) SELECT 2 AS size, a.k AS first, b.k AS last, a.k + b.k AS total FROM p a JOIN p b ON a.k < b.k UNION ALL SELECT 3, a.k, c.k, a.k + b.k + c.k FROM p a JOIN p b ON a.k < b.k JOIN p c ON b.k < c.k")
+@CORE.query("config_subsets", """WITH RECURSIVE p AS (SELECT n_nationkey AS k FROM nation), s AS (SELECT 1 AS size, k AS first, k AS last, k AS total FROM p UNION ALL SELECT size + 1, first, p.k, total + p.k FROM s JOIN p ON p.k > s.last WHERE size < 5)
+    SELECT size, first, last, total FROM s WHERE size >= 2""")
 def config_subsets(spark: SparkSession, sf: str) -> DataFrame:
     s = joins.subsets(table(spark, sf, "nation").select(F.col("n_nationkey").alias("k")), "k", [2, 3, 4, 5])
     return s.select(F.size("members").alias("size"), F.element_at("members", 1).alias("first"), F.element_at("members", -1).alias("last"), F.aggregate("members", F.lit(0).cast(s.schema["members"].dataType.elementType), lambda a, x: a + x).alias("total"))
@@ -137,7 +138,7 @@ def config_year_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return ag.pivot(m, ["campaign"], "k", [f"w{k}" for k in range(5)], F.round(F.sum("port_DD"), 4))
 
 
-@CORE.query("unpivot_years", "SELECT cfg, run_ms, year, growth FROM (UNPIVOT (SELECT cfg, epoch_ms(run_ts) AS run_ms, y2018, y2019, y2020, y2021 FROM config_year_matrix) ON y2018, y2019, y2020, y2021 INTO NAME year VALUE growth)")
+@CORE.query("unpivot_years", "SELECT cfg, run_ms, year, growth FROM (UNPIVOT (SELECT cfg, epoch_ms(run_ts) AS run_ms, y2018, y2019, y2020, y2021, y2022, y2023, y2024, y2025, y2026 FROM config_year_matrix) ON y2018, y2019, y2020, y2021, y2022, y2023, y2024, y2025, y2026 INTO NAME year VALUE growth)")
 def unpivot_years(spark: SparkSession, sf: str) -> DataFrame:
     years = [f"y{k}" for k in range(2018, 2027)]
     m = table(spark, sf, "config_year_matrix").select("cfg", F.unix_millis("run_ts").alias("run_ms"), *years)
@@ -201,7 +202,7 @@ def round_levels(spark: SparkSession, sf: str) -> DataFrame:
     return daily(spark, sf).select("symbol", "day", sc.near_round_level(F.col("c"), levels, 0.05).alias("near"))
 
 
-@CORE.query("time_slice", "WITH b AS (SELECT sim_id, v, timestamp AS t, market_price FROM ma_hourly WHERE timestamp BETWEEN 100000000000 AND 99999999999999), k AS (SELECT sim_id, v, count_if(t BETWEEN 1550000000000 AND 1600000000000) AS n FROM b GROUP BY ALL) SELECT b.sim_id, b.v, count(*) AS n FROM b JOIN k USING (sim_id, v) WHERE k.n < 50 OR t BETWEEN 1550000000000 AND 1600000000000 GROUP BY ALL")
+@CORE.query("time_slice", "WITH b AS (SELECT sim_id, v, CASE WHEN timestamp < 100000000000 THEN timestamp * 1000 WHEN timestamp < 100000000000000 THEN timestamp ELSE timestamp // 1000 END AS t, market_price FROM ma_hourly), k AS (SELECT sim_id, v, count_if(t BETWEEN 1550000000000 AND 1600000000000) AS n FROM b GROUP BY ALL) SELECT b.sim_id, b.v, count(*) AS n FROM b JOIN k USING (sim_id, v) WHERE k.n < 50 OR t BETWEEN 1550000000000 AND 1600000000000 GROUP BY ALL")
 def time_slice(spark: SparkSession, sf: str) -> DataFrame:
     b = table(spark, sf, "ma_hourly").withColumn("timestamp", epoch_ms(F.col("timestamp")))
     return sc.time_slice(b, ["sim_id", "v"], "timestamp", F.lit(1550000000000), F.lit(1600000000000), 50).groupBy("sim_id", "v").agg(F.count("*").alias("n"))

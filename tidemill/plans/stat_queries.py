@@ -43,7 +43,7 @@ def cliffs_delta(spark: SparkSession, sf: str) -> DataFrame:
     return stats.cliffs_delta(features(spark, sf), ["symbol"], "y", "up").withColumns({"delta": r("delta") + 0.0, "auc": r("auc")})
 
 
-@CORE.query("bh_stepup", "WITH t AS (SELECT DISTINCT cfg, port_DD / 100 AS p FROM config_year_matrix WHERE cfg % 7 = 0), k AS (SELECT cfg, p, row_number() OVER (ORDER BY p, cfg)::INT AS rank, count(*) OVER () AS m FROM t) SELECT cfg, round(p, 6) AS p, rank, rank <= coalesce((SELECT max(rank) FROM k WHERE p <= 0.3 * rank / m), 0) AS passed, p <= 0.3 * rank / m AS per_rank FROM k")
+@CORE.query("bh_stepup", "WITH t AS (SELECT DISTINCT cfg, port_DD / 100 AS p FROM config_year_matrix), k AS (SELECT cfg, p, row_number() OVER (ORDER BY p, cfg)::INT AS rank, count(*) OVER () AS m FROM t) SELECT cfg, round(p, 6) AS p, rank, rank <= coalesce((SELECT max(rank) FROM k WHERE p <= 0.3 * rank / m), 0) AS passed, p <= 0.3 * rank / m AS per_rank FROM k")
 def bh_stepup(spark: SparkSession, sf: str) -> DataFrame:
     """The configurations stand for the hypotheses."""
     t = table(spark, sf, "config_year_matrix").select("cfg", (F.col("port_DD") / 100).alias("p")).distinct()

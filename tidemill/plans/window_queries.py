@@ -41,7 +41,7 @@ def dedupe_first(spark: SparkSession, sf: str) -> DataFrame:
 
 @CORE.query(
     "thin_hourly",
-    f"SELECT sim_id, v, timestamp // {HOUR_MS} AS hour, timestamp, market_price FROM ma_hourly WHERE timestamp BETWEEN 100000000000 AND 99999999999999 QUALIFY row_number() OVER (PARTITION BY sim_id, v, timestamp // {HOUR_MS} ORDER BY timestamp, market_price NULLS LAST) = 1",
+    f"SELECT sim_id, v, timestamp // {HOUR_MS} AS hour, timestamp, market_price FROM (SELECT * REPLACE (CASE WHEN timestamp < 100000000000 THEN timestamp * 1000 WHEN timestamp < 100000000000000 THEN timestamp ELSE timestamp // 1000 END AS timestamp) FROM ma_hourly) QUALIFY row_number() OVER (PARTITION BY sim_id, v, timestamp // {HOUR_MS} ORDER BY timestamp, market_price NULLS LAST) = 1",
 )
 def thin_hourly(spark: SparkSession, sf: str) -> DataFrame:
     m = table(spark, sf, "ma_hourly").withColumn("timestamp", epoch_ms(F.col("timestamp"))).withColumn("hour", F.floor(F.col("timestamp") / HOUR_MS))
