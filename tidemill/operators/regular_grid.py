@@ -3,7 +3,8 @@
 Readings of one source are taken in pairs of neighbours. The difference of a pair is spread over the grid cells that
 the time between the two readings overlaps, in proportion to the overlap. For a cumulative counter a fall is a reset,
 after which the whole new reading counts as increment; for a gauge the same rule yields its change within each cell
-and, at a cell's end, its level on the line between the two readings.
+and, at a cell's end, its level on the line between the two readings. A cell that a pair spans without either reading
+lying in it is uncovered, and so are cells before the first and after the last reading; these are the missing ones.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def regular_grid(rows: DataFrame, kind: str = "gauge") -> DataFrame:
     """``readings`` -> (source, slot_ms, n_readings, increment, level, missing), one row for every cell of every source.
 
     The cells of a source run from that of its first row to that of its last, rows with a null value included; a cell
-    is missing if no row in it has a value. ``increment`` is what the differences put into the cell (null where no two
+    is missing if the pair that spans it, or the end of the readings, leaves it uncovered: no row in it has a value. ``increment`` is what the differences put into the cell (null where no two
     readings enclose any part of it), ``level`` the value at the cell's end, or the last reading in the source's last
     cell (null beyond the readings, and for counters). Several versions of one stamp count once, by the latest version
     that has a value, of equal ones the largest value. An empty input gives an empty result.
@@ -85,6 +86,7 @@ def regular_grid(rows: DataFrame, kind: str = "gauge") -> DataFrame:
         "cell",
         "cell_ms",
         here.cast("int").alias("reading"),
+        ((F.col("cell") > F.col("slot0")) & ~here).alias("uncovered"),
         F.when(overlap > 0, F.col("step") * overlap / span).alias("part"),
         (level if kind == "gauge" else F.lit(None).cast("double")).alias("level"),
         F.when(here & F.lit(kind == "gauge"), F.struct("ts_ms", "value")).alias("latest"),
@@ -104,18 +106,18 @@ def regular_grid(rows: DataFrame, kind: str = "gauge") -> DataFrame:
         .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("s.y") - F.col("s.x")) / STRIDE))))
         .withColumn("from", F.col("s.x") + F.col("part") * STRIDE)
         .select("source", F.explode(F.sequence("from", F.least(F.col("s.y"), F.col("from") + (STRIDE - 1)))).alias("cell"), "cell_ms")
-        .select("source", "cell", "cell_ms", F.lit(0).alias("reading"), F.lit(None).cast("double").alias("part"), F.lit(None).cast("double").alias("level"), F.lit(None).cast("struct<ts_ms:bigint,value:double>").alias("latest"))
+        .select("source", "cell", "cell_ms", F.lit(0).alias("reading"), F.lit(True).alias("uncovered"), F.lit(None).cast("double").alias("part"), F.lit(None).cast("double").alias("level"), F.lit(None).cast("struct<ts_ms:bigint,value:double>").alias("latest"))
     )
     return (
         cells.unionByName(outer)
         .groupBy("source", "cell", "cell_ms")
-        .agg(F.sum("reading").cast("bigint").alias("n_readings"), F.sum("part").alias("increment"), F.max("level").alias("level"), F.max("latest").alias("latest"))
+        .agg(F.sum("reading").cast("bigint").alias("n_readings"), F.bool_or("uncovered").alias("missing"), F.sum("part").alias("increment"), F.max("level").alias("level"), F.max("latest").alias("latest"))
         .select(
             "source",
             (F.col("cell") * F.col("cell_ms")).alias("slot_ms"),
             "n_readings",
             "increment",
             F.coalesce("level", "latest.value").alias("level"),
-            (F.col("n_readings") == 0).alias("missing"),
+            "missing",
         )
     )

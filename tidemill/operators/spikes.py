@@ -2,17 +2,24 @@
 
 The residual of a bar is how far h, l and c lie from the level before it and from the level after it, whichever is
 nearer and only where both lie on the same side, in logs; a lasting change of level leaves no residual. Residuals are
-scaled by the source's ordinary residual at that hour of the day. Of the scaled residuals of one source, those over a
-high quantile are fitted with a generalised Pareto tail by quantiles (spikes in the tail hardly move it), and the value
-that the tail exceeds with a fixed small probability is the source's cutoff.
+scaled by the source's ordinary residual at that hour of the day. What a source's scaled residuals exceed its own 90 %
+quantile by is fitted with a generalised Pareto tail by maximum likelihood, and the value that the tail exceeds with a
+fixed small probability is the source's cutoff. The bad readings themselves are kept out of the fit: at first the top
+TRIM of the readings count only as "beyond", then everything beyond the cutoff found so far is left out and the tail is
+fitted as truncated there, until the cutoff stands.
+
+A short source says little about its tail. So the tail of all sources together, each in its own units, is fitted
+first, and a source's shape and scale are drawn towards it by a normal prior, whose weight fades as the source's own
+exceedances grow. There are no bounds on shape, scale or threshold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +33,16 @@ REACH = 9
 BINS_PER_E, FLOOR = 25, 1e-7
 #: Values at or beyond this are fillers, not readings.
 FILLER = 1e15
+#: Threshold quantile of the exceedances, and the share of all readings that may be bad before the first fit.
+THRESHOLD, TRIM = 0.90, 0.015
+#: Chance that an ordinary reading is taken for a spike.
+RISK = 3e-5
+#: How far sources differ in their tail's shape and log scale: the prior's standard deviations.
+SPREAD = (0.02, 0.1)
+#: An hour of the day with so many readings has half a say in its own scale.
+SEASON_PRIOR = 200
+#: Upper decile over the middle of ordinary residuals, where a coarse tick hides the middle.
+UPPER_OVER_MIDDLE = 2.8
 
 
 def _nearest_residual(h: np.ndarray, lo: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -50,10 +67,14 @@ def _nearest_residual(h: np.ndarray, lo: np.ndarray, c: np.ndarray) -> np.ndarra
     return out
 
 
+_FLAGGED = "symbol string, tf string, ts_ms bigint, resid double, impossible boolean, stuck boolean"
+
+
 def _block(stuck_bars: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn", kind="stable")
-        h, lo, c = (pdf[k].to_numpy("float64") for k in "hlc")
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("rn")
+        h, lo, c, ts = (rows[k].to_numpy() for k in ("h", "l", "c", "ts_ms"))
+        own = rows["own"].to_numpy(zero_copy_only=False).astype(bool)
         with np.errstate(invalid="ignore"):
             bad = ~((lo > 0) & (lo <= c) & (c <= h) & (h < FILLER))
             level = ~bad | ((c > 0) & (c < FILLER) & (h > 0) & (h < FILLER) & (lo > 0) & (lo < FILLER))
@@ -62,8 +83,8 @@ def _block(stuck_bars: int):
         start = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.array([], int)
         length = np.diff(np.append(start, len(c)))
         stuck = np.repeat(length, length) >= stuck_bars
-        own = pdf["own"].to_numpy(bool)
-        return pd.DataFrame({"symbol": pdf["symbol"], "tf": pdf["tf"], "ts_ms": pdf["ts_ms"], "resid": resid, "impossible": bad, "stuck": stuck})[own]
+        n = int(own.sum())
+        return pa.table({"symbol": pa.repeat(key[0], n), "tf": pa.repeat(key[1], n), "ts_ms": pa.array(ts[own]), "resid": pa.array(resid[own]), "impossible": pa.array(bad[own]), "stuck": pa.array(stuck[own])})
 
     return run
 
@@ -93,99 +114,189 @@ def bar_residuals(bars: DataFrame, tf_ms: Column, stuck_bars: int = 10) -> DataF
     block, at = F.floor(F.col("rn") / BLOCK), F.col("rn") % BLOCK
     places = F.array_compact(F.array(block, F.when((at < HALO) & (block > 0), block - 1), F.when(at >= BLOCK - HALO, block + 1)))
     spread = numbered.withColumn("home", block).withColumn("block", F.explode(places)).withColumn("own", F.col("home") == F.col("block")).drop("home")
-    return spread.groupBy("symbol", "tf", "block").applyInPandas(_block(stuck_bars), "symbol string, tf string, ts_ms bigint, resid double, impossible boolean, stuck boolean")
+    return spread.groupBy("symbol", "tf", "block").applyInArrow(_block(stuck_bars), _FLAGGED)
 
 
 def _weighted_quantile(bins: np.ndarray, counts: np.ndarray, q: float) -> float:
-    """Of a histogram with bins in order; bin -1 is zero."""
-    total = counts.sum()
-    k = int(np.searchsorted(np.cumsum(counts), q * total))
+    """Of a histogram with bins in order."""
+    k = int(np.searchsorted(np.cumsum(counts), q * counts.sum()))
     return float(bins[min(k, len(bins) - 1)])
 
 
-def tail_cutoff(z: np.ndarray, n: np.ndarray, risk: float, prior_n: float) -> tuple[float, float, float]:
-    """(cutoff, sigma, xi) of a generalised Pareto tail over the 90 % quantile of scaled residuals z with counts n.
+class Tail(NamedTuple):
+    """A generalised Pareto tail: shape and log of the scale."""
+
+    xi: float
+    log_sigma: float
+
+    def beyond(self, chance: float) -> float:
+        """The excess over the threshold that one exceedance in 1 / chance surpasses."""
+        if abs(self.xi) < 1e-6:
+            return float(-np.exp(self.log_sigma) * np.log(chance))
+        return float(np.exp(self.log_sigma) / self.xi * (chance**-self.xi - 1))
+
+
+#: Log chance that stands for "impossible", so that sums stay finite.
+NEVER = -1e9
+
+
+def _log_chances(excess: np.ndarray, xi: np.ndarray, log_sigma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log density, log chance beyond) of each excess (column) under each parameter pair (row)."""
+    inner = 1 + xi[:, None] * excess[None] / np.exp(log_sigma)[:, None]
+    inside = inner > 0
+    grown = np.log(np.where(inside, inner, 1.0))
+    beyond = np.where(inside, -grown / xi[:, None], NEVER)
+    return np.where(inside, beyond - grown - log_sigma[:, None], NEVER), beyond
+
+
+def fit_tail(excess: np.ndarray, n: np.ndarray, top: float, beyond: float | None = None, prior: Tail | None = None, spread: tuple[float, float] = (1.0, 1.0), start: Tail = Tail(0.1, 0.0)) -> Tail:
+    """Most likely tail of counted excesses up to ``top``; with a prior, the most likely one after it.
+
+    With ``beyond`` so many more exceedances are known to lie above ``top`` (censored); without it nothing is known of
+    them (truncated). The search starts from a wide net around ``start`` (or the prior) and follows the maximum, so no
+    parameter is held to a range.
+    """
+    at = prior or start
+    x, s = at
+    wx, ws = 0.6, 1.0
+    for _ in range(40):
+        gx, gs = (g.ravel() for g in np.meshgrid(np.linspace(x - wx, x + wx, 9), np.linspace(s - ws, s + ws, 9)))
+        gx = np.where(np.abs(gx) < 1e-6, 1e-6, gx)
+        density, survival = _log_chances(np.append(excess, top), gx, gs)
+        score = (density[:, :-1] * n[None]).sum(1)
+        if beyond is None:
+            score = score - n.sum() * np.log(np.maximum(-np.expm1(survival[:, -1]), 1e-12))
+        else:
+            score = score + beyond * survival[:, -1]
+        if prior is not None:
+            score = score - 0.5 * ((gx - prior.xi) / spread[0]) ** 2 - 0.5 * ((gs - prior.log_sigma) / spread[1]) ** 2
+        k = int(np.argmax(score))
+        edge = abs(gx[k] - x) > 0.99 * wx or abs(gs[k] - s) > 0.99 * ws
+        x, s = float(gx[k]), float(gs[k])
+        if not edge:  # the best point is inside the net: draw it in
+            wx, ws = wx / 3, ws / 3
+            if wx < 1e-4:
+                break
+    return Tail(x, s)
+
+
+def robust_tail(excess: np.ndarray, n: np.ndarray, chance: float, share: float, prior: Tail | None = None, spread: tuple[float, float] = (1.0, 1.0)) -> tuple[Tail, float]:
+    """(tail, excess at ``chance``) of sorted excesses with counts, the bad readings left out.
 
-    sigma and xi are solved from the 95 % and 98.5 % quantiles, so up to about one bad reading in a hundred leaves the
-    fit alone. Short sources lean on a prior tail (sigma 1.1, xi 0.12, in units of the median residual), worth
-    ``prior_n`` readings.
+    ``share`` is the part of the exceedances that may be bad (TRIM over the part of all readings that are exceedances).
     """
-    order = np.argsort(z)
-    z, n = z[order], n[order].astype(float)
-    u, q1, q2 = (_weighted_quantile(z, n, q) for q in (0.90, 0.95, 0.985))
-    e1, e2 = q1 - u, q2 - u
-    sigma, xi = 1.1, 0.12
-    if e1 > 0 and e2 > e1:
-        # excess quantiles at survival 1/2 and 0.15: e = sigma / xi * (s ** -xi - 1)
-        grid = np.linspace(-0.3, 0.6, 181)
-        grid = grid[np.abs(grid) > 1e-9]
-        ratio = (0.15**-grid - 1) / (0.5**-grid - 1)
-        xi_own = float(grid[np.argmin(np.abs(ratio - e2 / e1))])
-        sigma_own = e1 * xi_own / (0.5**-xi_own - 1)
-        w = n.sum() / (n.sum() + prior_n)
-        xi, sigma = w * xi_own + (1 - w) * xi, w * sigma_own + (1 - w) * sigma
-        u = w * u + (1 - w) * 2.8
-    else:
-        u = max(u, 2.8)
-    # Tails of market residuals; outside these bounds a fit has met bad readings or too few good ones.
-    xi = min(max(xi, 0.10), 0.15)
-    sigma = min(max(sigma, 0.6), 1.5)
-    u = min(max(u, 2.0), 4.0)
-    return u + sigma / xi * ((0.10 / risk) ** xi - 1), sigma, xi
-
-
-def _fit(risk: float, prior_n: float):
+    top = _weighted_quantile(excess, n, max(1 - share, 0.0))
+    low = excess <= top
+    tail = fit_tail(excess[low], n[low], top, float(n[~low].sum()), prior, spread)
+    cutoff = tail.beyond(chance)
+    for _ in range(12):
+        low = excess <= cutoff
+        if not low.any():
+            break
+        tail = fit_tail(excess[low], n[low], cutoff, None, prior, spread, tail)
+        last, cutoff = cutoff, tail.beyond(chance)
+        if abs(cutoff - last) <= 1e-3 * last:
+            break
+    return tail, cutoff
+
+
+def _scaled(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(scaled residuals in order, their counts, ordinary residual by hour of the day) from the histogram of one source.
+
+    The histogram (hour, bin, n) has at most 24 x some hundred rows. An hour's own middle counts the more, the more
+    readings it has.
+    """
+    value = np.where(pdf["bin"] < 0, 0.0, FLOOR * np.exp((pdf["bin"].to_numpy() + 0.5) / BINS_PER_E))
+    hour, n = pdf["hour"].to_numpy(), pdf["n"].to_numpy("float64")
+
+    def middle(mask: np.ndarray) -> float:
+        o = np.argsort(value[mask], kind="stable")
+        v, k = value[mask][o], n[mask][o]
+        m = _weighted_quantile(v, k, 0.5)
+        # a coarse tick leaves more than half of the residuals at zero: then by the upper quantile
+        return m if m > 0 else _weighted_quantile(v, k, 0.9) / UPPER_OVER_MIDDLE
+
+    base = middle(np.ones(len(n), bool))
+    if base <= 0:
+        positive = value[value > 0]
+        base = float(positive.min()) if len(positive) else FLOOR
+    season = np.ones(24)
+    for k in range(24):
+        mask = hour == k
+        if (m := n[mask].sum()) >= 30 and (own := middle(mask) / base) > 0:
+            season[k] = np.exp(m / (m + SEASON_PRIOR) * np.log(own))
+    z = value / (base * season[hour])
+    order = np.argsort(z, kind="stable")
+    return z[order], n[order], base * season
+
+
+def _exceedances(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What a source gives to the tail of all sources: counts of its excesses over its own threshold, by bin."""
+    z, n, _ = _scaled(pdf)
+    u = _weighted_quantile(z, n, THRESHOLD)
+    over = z > u
+    bins = np.floor(np.log(np.maximum(z[over] - u, 1e-12)) * BINS_PER_E).astype("int32")
+    return pd.DataFrame({"bin": bins, "n": n[over].astype("int64")})
+
+
+def common_tail(pooled: pd.DataFrame, risk: float) -> Tail:
+    """The tail of all sources together from their counted excesses (bin, n); a standard one where there are too few."""
+    pooled = pooled.sort_values("bin")
+    n = pooled["n"].to_numpy("float64")
+    if n.sum() < 50:
+        return Tail(0.1, 0.0)
+    return robust_tail(np.exp((pooled["bin"].to_numpy() + 0.5) / BINS_PER_E), n, risk / (1 - THRESHOLD), TRIM / (1 - THRESHOLD))[0]
+
+
+def source_tail(z: np.ndarray, n: np.ndarray, risk: float, prior: Tail, spread: tuple[float, float]) -> tuple[float, Tail, float]:
+    """(threshold, tail, cutoff) of scaled residuals in order with counts."""
+    u = _weighted_quantile(z, n, THRESHOLD)
+    over = z > u
+    rate = n[over].sum() / n.sum()
+    if not rate or risk >= rate:
+        return u, prior, u + prior.beyond(risk / (1 - THRESHOLD))
+    tail, excess = robust_tail(z[over] - u, n[over], risk / rate, min(TRIM / rate, 0.5), prior, spread)
+    return u, tail, u + excess
+
+
+def _fit(risk: float, prior: Tail, spread: tuple[float, float]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The histogram (hour, bin, n) of one source: at most 24 x some hundred rows."""
-        value = np.where(pdf["bin"] < 0, 0.0, FLOOR * np.exp((pdf["bin"] + 0.5) / BINS_PER_E))
-        hour, n = pdf["hour"].to_numpy(), pdf["n"].to_numpy("float64")
-
-        def middle(mask: np.ndarray) -> float:
-            o = np.argsort(value[mask])
-            v, k = value[mask][o], n[mask][o]
-            m = _weighted_quantile(v, k, 0.5)
-            # a coarse tick leaves more than half of the residuals at zero: then by the upper quantile
-            return m if m > 0 else _weighted_quantile(v, k, 0.9) / 2.8
-
-        base = middle(np.ones(len(n), bool))
-        if base <= 0:
-            positive = value[value > 0]
-            base = float(positive.min()) if len(positive) else FLOOR
-        hours = np.arange(24)
-        season = np.ones(24)
-        for k in hours:
-            mask = hour == k
-            if (m := n[mask].sum()) >= 30:
-                own = middle(mask) / base
-                season[k] = np.exp(m / (m + 200) * np.log(min(max(own, 0.5), 2.0))) if own > 0 else 1.0
-        cutoff, sigma, xi = tail_cutoff(value / (base * season[hour]), n, risk, prior_n)
-        return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "tf": pdf["tf"].iloc[0], "hour": hours.astype("int32"), "scale": base * season, "cutoff": cutoff, "sigma": sigma, "xi": xi})
+        z, n, scale = _scaled(pdf)
+        u, tail, cutoff = source_tail(z, n, risk, prior, spread)
+        return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "tf": pdf["tf"].iloc[0], "hour": np.arange(24, dtype="int32"), "scale": scale, "cutoff": cutoff, "threshold": u, "sigma": float(np.exp(tail.log_sigma)), "xi": tail.xi})
 
     return run
 
 
-def tail_cutoffs(residuals: DataFrame, risk: float = 5e-5, prior_n: float = 500) -> DataFrame:
-    """``bar_residuals`` -> (symbol, tf, hour, scale, cutoff, sigma, xi): 24 rows per source, from its histogram."""
-    hist = (
+def tail_cutoffs(residuals: DataFrame, risk: float = RISK, spread: tuple[float, float] = SPREAD) -> DataFrame:
+    """``bar_residuals`` -> (symbol, tf, hour, scale, cutoff, threshold, sigma, xi): 24 rows per source, from its histogram.
+
+    ``risk`` is the chance that an ordinary reading lies beyond the cutoff; ``spread`` are the standard deviations of
+    shape and log scale between sources. Only the counts of the excesses of all sources together (some hundred bins)
+    come to the driver.
+    """
+    hist = cut(
         residuals.where("resid IS NOT NULL AND NOT isnan(resid) AND NOT stuck")
         .groupBy("symbol", "tf", _hour().alias("hour"), F.when(F.col("resid") < FLOOR, F.lit(-1)).otherwise(F.floor(F.log(F.col("resid") / FLOOR) * BINS_PER_E).cast("int")).alias("bin"))
         .agg(F.count("*").alias("n"))
     )
-    return hist.groupBy("symbol", "tf").applyInPandas(_fit(risk, prior_n), "symbol string, tf string, hour int, scale double, cutoff double, sigma double, xi double")
+    pooled = hist.groupBy("symbol", "tf").applyInPandas(_exceedances, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+    prior = common_tail(pooled, risk)
+    return hist.groupBy("symbol", "tf").applyInPandas(_fit(risk, prior, spread), "symbol string, tf string, hour int, scale double, cutoff double, threshold double, sigma double, xi double")
 
 
 def _hour() -> Column:
     return (F.floor(F.col("ts_ms") / 3600000) % 24).cast("int")
 
 
-def implausible_bars(bars: DataFrame, tf_ms: Column, risk: float = 5e-5, stuck_bars: int = 10, prior_n: float = 500) -> DataFrame:
+def implausible_bars(bars: DataFrame, tf_ms: Column, risk: float = RISK, stuck_bars: int = 10, spread: tuple[float, float] = SPREAD) -> DataFrame:
     """(symbol, tf, ts_ms, score, impossible, stuck, spike) of the bad bars; ``score`` is the scaled residual over its cutoff.
 
     A source without residuals (fewer than three readings) has no spikes, only impossible and stuck bars. An empty
     input gives an empty result.
     """
     residuals = cut(bar_residuals(bars, tf_ms, stuck_bars))
-    cutoffs = tail_cutoffs(residuals, risk, prior_n)
+    cutoffs = tail_cutoffs(residuals, risk, spread)
     score = F.col("resid") / (F.col("scale") * F.col("cutoff"))
     return (
         residuals.withColumn("hour", _hour())

@@ -26,10 +26,11 @@ def daily_values(df: DataFrame, entity: str, day: Column, value: str, version: s
 def trailing_windows(daily: DataFrame, spans: Sequence[int] = (7, 30)) -> DataFrame:
     """(entity, day, value) -> one row per entity and calendar day with ``n``, ``total`` and ``avg`` for each span.
 
-    The calendar of an entity runs from its first to its last day. Each daily value is offered only to the coarse
-    date buckets that its longest window can reach (at most two), is joined there by entity and bucket to the calendar
-    dates whose window holds it, and the pairs are summed under the same partitioning, so one long-lived entity is
-    spread over its buckets. At most max(spans) pairs arise per date.
+    The calendar of an entity runs from its first to its last day. It is made bucket by bucket, so the dates of one
+    entity are made in many tasks. Each daily value is offered only to the coarse date buckets that its longest window
+    can reach (at most two) and joined there to the dates whose trailing bounds hold it, entity and bucket being the
+    equal keys and the bounds part of the condition: what leaves the join is at most max(spans) pairs a date. The pairs
+    are summed under the same partitioning.
 
     A window without a value has n = 0 and null total and average; an average divides by the days that have a value.
     An empty input gives an empty result.
@@ -37,11 +38,13 @@ def trailing_windows(daily: DataFrame, spans: Sequence[int] = (7, 30)) -> DataFr
     longest = max(spans)
     width = 64 if longest <= 64 else longest
     bounds = daily.groupBy("entity").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    dates = bounds.select("entity", F.explode(F.sequence("lo", "hi")).alias("day")).withColumn("bucket", F.floor(F.col("day") / width))
+    buckets = bounds.select("entity", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))).alias("bucket")).repartition("entity", "bucket")
+    within = F.sequence(F.greatest(F.col("lo"), F.col("bucket") * width), F.least(F.col("hi"), F.col("bucket") * width + (width - 1)))
+    dates = buckets.select("entity", "bucket", F.explode(within).alias("day"))
     reach = F.array_distinct(F.array(F.floor(F.col("day") / width), F.floor((F.col("day") + (longest - 1)) / width)))
-    offers = daily.where("value IS NOT NULL").select("entity", F.col("day").alias("at"), "value", F.explode(reach).alias("bucket"))
-    near = (F.col("at") <= F.col("day")) & (F.col("at") > F.col("day") - longest)
-    pairs = dates.join(offers, ["entity", "bucket"], "left").withColumn("value", F.when(near, F.col("value")))
+    offers = daily.where("value IS NOT NULL").select(F.col("entity").alias("_e"), F.col("day").alias("at"), "value", F.explode(reach).alias("_b"))
+    held = (F.col("entity") == F.col("_e")) & (F.col("bucket") == F.col("_b")) & F.col("at").between(F.col("day") - (longest - 1), F.col("day"))
+    pairs = dates.join(offers, held, "left")
     aggs = []
     for n in spans:
         x = F.when(F.col("at") > F.col("day") - n, F.col("value"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ def local_session(name: str = "tidemill", cores: int | str = 8, **conf: str) ->
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
@@ -33,15 +35,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where none is configured (tests, a laptop) is one made under the temporary directory of this machine.
+    Only a local session without one gets a folder of its own, which is gone when the process ends; a cluster must name
+    one, since what is written on one machine can't be read on another.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "tidemill-checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if named is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="tidemill-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it from there."""
+    """Write ``df`` once to the shared folder and read it from there.
+
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes it when the result is no longer referred to.
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
