@@ -18,13 +18,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import mail
+from tidemill.session import cut
 
 #: Words of a seed. Twenty words with three of them edited still hold a run of five.
 SEED = 5
-#: Passages in one block of the query set: its hash set is at most some ten MB, and larger sets go through in blocks.
-BLOCK_ITEMS = 4096
-#: A leak: matched words, words of the passage that the alignment spans, and edits per spanned word.
-MIN_SPAN, MIN_MATCHED, MAX_EDITS = 18, 17, 0.17
+#: Passages, and characters of their normalised text, in one block of the query set; larger sets go through in blocks.
+BLOCK_ITEMS, BLOCK_CHARS = 4096, 16_000_000
+#: Words of one segment: longer passages are cut, each segment beginning with the last OVERLAP words of the one before.
+SEGMENT, OVERLAP = 20_000, 200
+#: Words that a leak has at least, where the caller names no other number.
+LEAST = 20
+#: An alignment of such a leak may span SHORT words less and match UNMATCHED less (edits at and near its ends), with so
+#: many edits per spanned word.
+SHORT, UNMATCHED, MAX_EDITS = 2, 3, 0.17
 #: Diagonals on either side that an alignment may drift to.
 BAND = 8
 #: Around a seed, so many words to either side are compared, on the seed's diagonal and DRIFT others to either side.
@@ -61,7 +67,8 @@ def _hashes(ids: np.ndarray) -> np.ndarray:
 class PassageSet:
     """A block of passages: vocabulary, word ids, and the sorted seeds with the places where they occur."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], least: int = LEAST) -> None:
+        self.least = least
         self.vocabulary: dict[str, int] = {}
         by_words: dict[tuple[int, ...], list[int]] = defaultdict(list)
         for item, passage in items:
@@ -86,10 +93,11 @@ class PassageSet:
         self.seeds, self.which, self.where = flat[order], which[order].astype(np.int64), where[order].astype(np.int64)
 
     def _needed(self, passage: np.ndarray) -> int:
-        """Uncommon words that any leak of the passage keeps: those of its poorest MIN_SPAN words less the edits, SUPPORT at most."""
+        """Uncommon words that any leak of the passage keeps: those of its poorest stretch less the edits, SUPPORT at most."""
+        span = self.least - SHORT
         rare = np.concatenate([[0], np.cumsum(self.rare[passage])])
-        poorest = int((rare[MIN_SPAN:] - rare[:-MIN_SPAN]).min()) if len(passage) >= MIN_SPAN else int(rare[-1])
-        return min(SUPPORT, max(0, poorest - int(MAX_EDITS * MIN_SPAN)))
+        poorest = int((rare[span:] - rare[:-span]).min()) if len(passage) >= span else int(rare[-1])
+        return min(SUPPORT, max(0, poorest - int(MAX_EDITS * span)))
 
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position, passage, position in the passage) of every seed that occurs."""
@@ -151,31 +159,31 @@ def align(doc: list[int], passage: list[int], shift: int) -> list[tuple[int, int
     return pairs[::-1]
 
 
-def stretch(pairs: list[tuple[int, int]]) -> tuple[int, int, int, int] | None:
+def stretch(pairs: list[tuple[int, int]], least: int = LEAST) -> tuple[int, int, int, int] | None:
     """(first, last, span, edits) of the longest run of matched words that is a leak, first and last as numbers in ``pairs``."""
     edits = [0]
     for (i, j), (i2, j2) in zip(pairs, pairs[1:]):
         edits.append(edits[-1] + max(i2 - i, j2 - j) - 1)
-    for n in range(len(pairs), MIN_MATCHED - 1, -1):
+    for n in range(len(pairs), least - UNMATCHED - 1, -1):
         for a in range(len(pairs) - n + 1):
             z = a + n - 1
             span, e = pairs[z][1] - pairs[a][1] + 1, edits[z] - edits[a]
-            if passes(span, n, e):
+            if passes(span, n, e, least):
                 return a, z, span, e
     return None
 
 
-def stretches(pairs: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+def stretches(pairs: list[tuple[int, int]], least: int = LEAST) -> list[tuple[int, int, int, int]]:
     """``stretch``, and those of what is left on either side of it."""
-    if (got := stretch(pairs)) is None:
+    if (got := stretch(pairs, least)) is None:
         return []
     first, last = got[:2]
-    after = [(a + last + 1, z + last + 1, *more) for a, z, *more in stretches(pairs[last + 1 :])]
-    return [*stretches(pairs[:first]), got, *after]
+    after = [(a + last + 1, z + last + 1, *more) for a, z, *more in stretches(pairs[last + 1 :], least)]
+    return [*stretches(pairs[:first], least), got, *after]
 
 
-def passes(span: int, matched: int, edits: int) -> bool:
-    return span >= MIN_SPAN and matched >= MIN_MATCHED and edits <= MAX_EDITS * span
+def passes(span: int, matched: int, edits: int, least: int = LEAST) -> bool:
+    return span >= least - SHORT and matched >= least - UNMATCHED and edits <= MAX_EDITS * span
 
 
 class Found(NamedTuple):
@@ -190,16 +198,23 @@ class Found(NamedTuple):
     words: str
 
 
+Body = tuple[int, int, list[str]]  # row, number of the text part, its words
+
+
+def bodies_of(texts: Sequence[str | None]) -> list[Body]:
+    """The decoded, normalised text parts of messages."""
+    return [(r, k, mail.words(mail.readable(part))) for r, text in enumerate(texts) for k, part in enumerate(mail.parts(text))]
+
+
 def scan(texts: Sequence[str | None], passages: PassageSet) -> list[Found]:
+    return scan_bodies(bodies_of(texts), passages)
+
+
+def scan_bodies(found_bodies: list[Body], passages: PassageSet) -> list[Found]:
     """All disjoint leaks of each (text part, passage) whose surroundings of a seed hold enough further words of the passage."""
-    bodies: list[list[str]] = []
-    origin: list[tuple[int, int]] = []
-    for r, text in enumerate(texts):
-        for k, part in enumerate(mail.parts(text)):
-            body = mail.words(mail.readable(part))
-            if len(body) >= MIN_MATCHED:
-                bodies.append(body)
-                origin.append((r, k))
+    kept_bodies = [b for b in found_bodies if len(b[2]) >= passages.least - UNMATCHED]
+    bodies = [b[2] for b in kept_bodies]
+    origin = [b[:2] for b in kept_bodies]
     if not bodies or not passages.passages:
         return []
     # All parts in one array, with unknown words between them.
@@ -245,7 +260,7 @@ def scan(texts: Sequence[str | None], passages: PassageSet) -> list[Found]:
             a, z = lo + pairs[0][0], lo + pairs[-1][0] + 1
             seen.append((a, z, w - at))
             row, number = origin[k]
-            for first, last, span, edits in stretches(pairs):
+            for first, last, span, edits in stretches(pairs, passages.least):
                 d0, d1 = lo + pairs[first][0], lo + pairs[last][0] + 1
                 found[k, p].append(Found(row, number, p, span, last - first + 1, edits, d0, d1, " ".join(bodies[k][d0:d1])))
             if z <= at:
@@ -265,59 +280,123 @@ def scan(texts: Sequence[str | None], passages: PassageSet) -> list[Found]:
     return out
 
 
-def is_leak(f: Found) -> bool:
-    return passes(f.span, f.matched, f.edits)
+def is_leak(f: Found, least: int = LEAST) -> bool:
+    return passes(f.span, f.matched, f.edits, least)
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def _slices(sizes: Sequence[int]) -> Iterator[tuple[int, int]]:
     """Ranges of a batch of about SLICE characters, or one text if that is longer."""
     a = size = 0
-    for k, t in enumerate(texts):
-        if k > a and size + len(t or "") > SLICE:
+    for k, n in enumerate(sizes):
+        if k > a and size + n > SLICE:
             yield a, k
             a, size = k, 0
-        size += len(t or "")
-    if a < len(texts):
-        yield a, len(texts)
+        size += n
+    if a < len(sizes):
+        yield a, len(sizes)
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("part", pa.int32()), ("span", pa.int32()), ("matched", pa.int32()), ("edits", pa.int32()), ("begin", pa.int32()), ("end", pa.int32()), ("words", pa.string())])
+_COLUMNS = "doc_id bigint, item_id bigint, part int, span int, matched int, edits int, begin int, end int, words string"
+
+
+def _rows(ids: list[int], found: list[Found], passages: PassageSet) -> list[tuple]:
+    return [(ids[f.row], item, f.part, f.span, f.matched, f.edits, f.begin, f.end, f.words) for f in found if is_leak(f, passages.least) for item in passages.items[f.passage]]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(_SCHEMA), _SCHEMA.types)], schema=_SCHEMA)
 
 
 def _scanning(shared):
+    """(id, raw text) -> leaks of one block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages: PassageSet = shared.value
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             rows = []
-            for lo, hi in _slices(texts):
-                for f in scan(texts[lo:hi], passages):
-                    if is_leak(f):
-                        rows += [(ids[lo + f.row], item, f.part, f.span, f.matched, f.edits, f.begin, f.end, f.words) for item in passages.items[f.passage]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(_SCHEMA), _SCHEMA.types)], schema=_SCHEMA)
+            for lo, hi in _slices([len(t or "") for t in texts]):
+                rows += _rows(ids[lo:hi], scan(texts[lo:hi], passages), passages)
+            yield _batch(rows)
+
+    return run
+
+
+def _decoding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, raw text) -> (id, part, its words in one string)."""
+    for b in batches:
+        ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+        for lo, hi in _slices([len(t or "") for t in texts]):
+            found = bodies_of(texts[lo:hi])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[lo + r] for r, _, _ in found], pa.int64()), pa.array([k for _, k, _ in found], pa.int32()), pa.array([" ".join(w) for _, _, w in found], pa.string())], names=["d", "part", "w"])
+
+
+def _scanning_decoded(shared):
+    """(id, part, words) -> leaks of one block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passages: PassageSet = shared.value
+        for b in batches:
+            ids, part, words = (b.column(k).to_pylist() for k in range(3))
+            rows = []
+            for lo, hi in _slices([len(w) for w in words]):
+                bodies = [(k - lo, part[k], words[k].split(" ")) for k in range(lo, hi)]
+                rows += _rows(ids[lo:hi], scan_bodies(bodies, passages), passages)
+            yield _batch(rows)
 
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage") -> DataFrame:
+def segments(items: DataFrame, item_id: str, passage: str) -> DataFrame:
+    """(i, p): normalised passages, each row once; those of more than SEGMENT words in overlapping segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, out = [], []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held = mail.words(text)
+                for at in range(0, max(len(held) - OVERLAP, 1), SEGMENT - OVERLAP):
+                    ids.append(i)
+                    out.append(" ".join(held[at : at + SEGMENT]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["i", "p"])
+
+    rows = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(passage).alias("p")).where("i IS NOT NULL AND p IS NOT NULL")
+    return rows.mapInArrow(run, "i bigint, p string").distinct()
+
+
+def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", least: int = LEAST) -> DataFrame:
     """(doc_id, item_id, part, span, matched, edits, begin, end, words): the leaked passages of each document, one row per stretch.
 
-    ``part`` numbers the text parts of the message, ``begin`` and ``end`` are word numbers in the part. Items that
-    share a passage are all reported. Items go through in blocks of at most BLOCK_ITEMS, each against all documents, so
-    what is broadcast stays bounded. Passages of fewer than SEED words, null ids, null and empty texts match nothing;
-    empty tables give an empty result.
+    A leak is a stretch of at least ``least`` words of a passage, about one in ten of them edited; a passage that is
+    shorter than that by more than UNMATCHED words is never found. ``part`` numbers the text parts of the message,
+    ``begin`` and ``end`` are word numbers in the part. Items that share a passage are all reported, a document that
+    stands in the table twice is reported twice.
+
+    What is broadcast is one block of passages: at most BLOCK_ITEMS of them and BLOCK_CHARS characters, both checked.
+    A set that fits one block is scanned for in the pass that decodes the documents. For more blocks the decoded words
+    are written once to the shared folder, and each block scans those.
+
+    Passages of fewer than SEED words, null ids, null and empty texts match nothing; empty tables give an empty result.
     """
     spark = documents.sparkSession
-    held = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(passage).alias("p")).where("i IS NOT NULL AND p IS NOT NULL").distinct()
-    blocks = max(1, -(-held.count() // (BLOCK_ITEMS // 2)))
+    held = cut(segments(items, item_id, passage))
+    size = held.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("p")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-size["n"] // (BLOCK_ITEMS // 2)) if size["n"] > BLOCK_ITEMS else 1, -(-size["chars"] // (BLOCK_CHARS // 2)) if size["chars"] > BLOCK_CHARS else 1)
     rows = documents.select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).alias("t")).where("d IS NOT NULL AND t IS NOT NULL")
+    if blocks > 1:
+        rows = cut(rows.mapInArrow(_decoding, "d bigint, part int, w string"))
     out = None
     for k in range(blocks):
-        block = [(r.i, r.p) for r in held.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).collect()]
+        of = held.where(F.pmod(F.xxhash64("i", "p"), F.lit(blocks)) == k)
+        room = of.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("p")), F.lit(0)).alias("chars")).first()
+        if room["n"] > BLOCK_ITEMS or room["chars"] > BLOCK_CHARS:
+            raise ValueError("a block of passages is larger than its bound")
+        block = [(r.i, r.p) for r in of.collect()]
         if not block and out is not None:
             continue
-        shared = spark.sparkContext.broadcast(PassageSet(block))
-        found = rows.mapInArrow(_scanning(shared), "doc_id bigint, item_id bigint, part int, span int, matched int, edits int, begin int, end int, words string")
+        shared = spark.sparkContext.broadcast(PassageSet(block, least))
+        found = rows.mapInArrow((_scanning if blocks == 1 else _scanning_decoded)(shared), _COLUMNS)
         out = found if out is None else out.unionByName(found)
     return out
 

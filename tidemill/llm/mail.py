@@ -23,6 +23,7 @@ class Part(NamedTuple):
 _HEADER = re.compile(r"[!-9;-~]+[ \t]*:")
 _PARAM = re.compile(r';\s*([\w*-]+)\s*=\s*("([^"]*)"|[^\s;]+)')
 _B64_LINE = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}$")
+_MARKUP = re.compile(r"\s*<(?:html[\s>]|!doct)", re.I)
 _NOT_B64 = re.compile(r"[^A-Za-z0-9+/]+")
 
 
@@ -97,42 +98,38 @@ def parts(text: str | None) -> list[Part]:
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     out: list[Part] = []
-    counter = [0]
-    _walk(text, 0, 0, out, counter)
+    alternatives = 0
+    pending = [(text, 0)]  # what is still to be read, the next piece last; nesting may be of any depth
+    while pending:
+        piece, alternative = pending.pop()
+        head, body = _headers(piece)
+        kind = head.get("content-type", "")
+        main = kind.split(";", 1)[0].strip().lower()
+        if main.startswith("multipart/"):
+            boundary = _params(kind).get("boundary")
+            if not boundary and (m := re.search(r"^--(\S.*)$", body, re.M)):
+                boundary = m[1].rstrip()
+            if boundary:
+                if main == "multipart/alternative":
+                    alternatives += 1
+                    alternative = alternatives
+                pending += [(p, alternative) for p in reversed(list(_pieces(body, boundary)))]
+                continue
+        if main and not main.startswith(("text/", "multipart/", "message/")):
+            continue
+        content = _decode(body, head.get("content-transfer-encoding", ""), _params(kind).get("charset", "utf-8"))
+        if main == "message/rfc822":
+            pending.append((content, alternative))
+            continue
+        sub = main[5:] if main.startswith("text/") else "plain"
+        if sub == "plain" and _MARKUP.match(content):
+            sub = "html"
+        if "\r" in content:
+            content = content.replace("\r\n", "\n").replace("\r", "\n")
+        out.append(Part(sub, content, head.get("content-disposition", "").lower().startswith("attachment"), alternative))
     return out
 
 
-def _walk(text: str, depth: int, alternative: int, out: list[Part], counter: list[int]) -> None:
-    head, body = _headers(text)
-    kind = head.get("content-type", "")
-    main = kind.split(";", 1)[0].strip().lower()
-    if main.startswith("multipart/") and depth < 20:
-        boundary = _params(kind).get("boundary")
-        if not boundary and (m := re.search(r"^--(\S.*)$", body, re.M)):
-            boundary = m[1].rstrip()
-        if boundary:
-            if main == "multipart/alternative":
-                counter[0] += 1
-                alternative = counter[0]
-            for piece in _pieces(body, boundary):
-                _walk(piece, depth + 1, alternative, out, counter)
-            return
-    if main and not main.startswith(("text/", "multipart/", "message/")):
-        return
-    params = _params(kind)
-    attached = head.get("content-disposition", "").lower().startswith("attachment")
-    content = _decode(body, head.get("content-transfer-encoding", ""), params.get("charset", "utf-8"))
-    if main == "message/rfc822" and depth < 20:
-        _walk(content, depth + 1, alternative, out, counter)
-        return
-    sub = main[5:] if main.startswith("text/") else "plain"
-    if sub == "plain" and content[:200].lstrip()[:6].lower() in ("<html>", "<!doct", "<html "):
-        sub = "html"
-    if "\r" in content:
-        content = content.replace("\r\n", "\n").replace("\r", "\n")
-    out.append(Part(sub, content, attached, alternative))
-
-
 def _pieces(body: str, boundary: str) -> Iterator[str]:
     mark = "--" + boundary
     pieces = re.split(r"(?m)^" + re.escape(mark) + r"(--)?[ \t]*$\n?", body)
@@ -184,6 +181,9 @@ def words(text: str) -> list[str]:
     return _WORD.findall(_SOFT.sub("", text).lower() if not text.isascii() else text.lower())
 
 
+#: A paragraph with one cue of small print is small print up to so many words.
+FEW_WORDS = 40
+
 # ---- what the sender wrote -------------------------------------------------------------------------------------
 
 #: Openings and closings of letters, words of disclaimers, and rulers.
@@ -191,7 +191,10 @@ _GREETING = re.compile(r"(?:hi|hello|hey|dear|morning|good (?:morning|afternoon|
 _NAME_GREETING = re.compile(r"[A-Z][\w'-]+(?: [A-Z][\w'-]+)?\s*[,:–-]$")
 _CLOSING = re.compile(r"(?:best|best wishes|best regards|cheers|regards|kind regards|warm regards|many thanks|thanks|thank you|thx|sincerely|yours(?: \w+)?|all the best|br|take care|ciao|gru(?:ß|ss)|viele gr(?:ü|ue)(?:ß|ss)e|mit freundlichen gr(?:ü|ue)(?:ß|ss)en|saludos|cordialement|best)\s*[,.!-]*$", re.I)
 _RULER = re.compile(r"\s*[_=*~#-]{8,}\s*$")
-_DISCLAIMER = re.compile(r"confidential|disclaimer|intended (?:exclusively|solely|only) for|consider the environment|not indicative of|without delay and destroy|sent from my|unsubscribe|no liability", re.I)
+_DISCLAIMER = [re.compile(x, re.I) for x in (
+    r"confidential|privileged", r"disclaimer|disclaims?", r"intended (?:only|solely|exclusively|recipient|for the)", r"un-?authori[sz]ed|prohibited|not the (?:intended|named)", r"no liability|not liable|accepts? no|cannot guarantee|not indicative|no warrant",
+    r"delete|destroy|notify (?:the|us)|in error", r"consider the environment|before printing|think before", r"sent from my", r"unsubscribe|mailing list", r"views? (?:or opinions? )?(?:expressed|presented)|does not constitute|past performance", r"virus|registered (?:in|office|number)",
+)]
 _ORIGINAL = re.compile(r"\s*-{2,}\s*(?:original message|forwarded message|urspr\S+ nachricht|mensaje original|message d'origine)\s*-{2,}\s*$|\s*begin forwarded message:?\s*$", re.I)
 _FIELD = re.compile(r"\s*\*?(?:from|sent|to|cc|date|subject|von|gesendet|an|betreff|de|enviado|para|asunto)\*?\s*:", re.I)
 _INTRO_END = re.compile(r"(?:wrote|writes|schrieb|escribi\S+|a \xe9crit|כתב|>)[^:]{0,80}:\s*$|:\s*$", re.I)
@@ -320,6 +323,12 @@ def _is_closing(lines: list[str], i: int) -> bool:
     return bool(x) and len(x) < 40 and bool(_CLOSING.match(x)) and (i == 0 or not lines[i - 1].strip())
 
 
+def _is_disclaimer(paragraph: str) -> bool:
+    """Two of the cues of legal small print, or one in a paragraph of few words."""
+    cues = sum(bool(c.search(paragraph)) for c in _DISCLAIMER)
+    return cues > 1 or (cues == 1 and len(paragraph.split()) <= FEW_WORDS)
+
+
 def _segment(run: list[str]) -> str:
     out: list[str] = []
     begun = False
@@ -329,9 +338,9 @@ def _segment(run: list[str]) -> str:
             break
         if x and (i == 0 or not run[i - 1].strip()):
             k = i
-            while k < len(run) and run[k].strip() and k < i + 8:
+            while k < len(run) and run[k].strip():
                 k += 1
-            if _DISCLAIMER.search(" ".join(run[i:k])):
+            if _is_disclaimer(" ".join(run[i:k])):
                 break
         if x and not begun:
             begun = True

@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,26 +44,24 @@ def _encoding(path: str):
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-#: Characters that are encoded at a time; a longer text is cut at line ends, where the pattern also splits.
+#: Characters that are encoded at a time, and on to the next place where a token ends in any case.
 STRETCH = 1_000_000
+#: The pattern never joins a letter, or a digit, to what follows its run; it looks at nothing before a token.
+_ENDS = regex.compile(r"\p{L}(?=\P{L})|\p{N}(?=\P{N})")
 
 
 def count_tokens(text: str, path: str) -> int:
+    """Tokens of the whole text, whatever its length."""
     enc = _encoding(path)
     return sum(len(enc.encode_ordinary(s)) for s in _stretches(text))
 
 
-def _stretches(text: str) -> Iterator[str]:
+def _stretches(text: str, size: int = STRETCH) -> Iterator[str]:
+    """The text in pieces of ``size`` characters or more, cut only where a letter or digit run ends."""
     at, n = 0, len(text)
-    while n - at > STRETCH:
-        end = text.rfind("\n", at + 1, at + STRETCH)
-        # before a line end that follows a visible character and precedes one, a token ends in any case
-        while end > at and (text[end - 1].isspace() or text[end + 1 : end + 2].isspace()):
-            end = text.rfind("\n", at + 1, end)
-        if end <= at:
-            end = at + STRETCH
-        yield text[at:end]
-        at = end
+    while n - at > size and (m := _ENDS.search(text, at + size - 1)):
+        yield text[at : m.end()]
+        at = m.end()
     yield text[at:]
 
 

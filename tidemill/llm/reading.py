@@ -2,108 +2,159 @@
 
 A Rasch-style model links a text's level theta and a word's difficulty b by the chance that the next word is w:
 p(w | theta) is proportional to exp(mu_w + theta * b_w). All words share one discrimination; a text's level is the
-theta at which the expected word difficulty equals the mean difficulty of its words. Words are hashed into BUCKETS
-parameters, which bounds what is broadcast and collected whatever the vocabulary. The references, whose levels are
+theta at which the expected word difficulty equals the mean difficulty of its words. The references, whose levels are
 given, fix the scale; the fit alternates between the levels of all texts (one pass over the corpus with the word
-parameters at every task) and the word parameters (from word counts by level, summed over the corpus).
+parameters at every task) and the word parameters (from word counts by level, summed over the corpus), until the
+parameters settle.
+
+The vocabulary is exact: every word of the references, and every word that makes up MIN_SHARE of the corpus or more,
+which are at most 1 / MIN_SHARE words whatever the corpus. A rarer word says nothing about a text's level.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm import language as lg
 from tidemill.llm import mail
 from tidemill.session import cut
 
-BUCKETS = 1 << 16
+#: Least share of the corpus' words that a word of the vocabulary has.
+MIN_SHARE = 2e-6
 #: Centres of the level classes in which corpus words are counted.
-BINS = np.arange(-2.5, 2.75, 0.5)
+BINS = np.arange(-4, 4.25, 0.5)
 GRID = np.linspace(-6, 6, 601)
-ROUNDS = 3
-#: A reference word counts as so many corpus words, and all corpus words together as at most so many times the references.
-ANCHOR, CORPUS_WEIGHT = 3.0, 50.0
+#: The fit has settled when the difficulties change by less than this on the corpus' average word; most rounds it may take.
+SETTLED, ROUNDS = 0.002, 40
+#: A reference word counts as so many corpus words, and all corpus words together as so many times the references, at any size.
+ANCHOR, CORPUS_WEIGHT = 3.0, 10.0
 MIN_WORDS = 40
+ENGLISH = "en"
+#: Reference passages are collected and held at every task; a graded set beyond this is refused.
+MAX_REFERENCES = 100_000
+#: Words whose parameters are worked on together.
+CHUNK = 8192
 
-#: Common function words of English and of other languages that the archives hold.
-ENGLISH = frozenset("the a an of to and in is it that this our we you i he she they was were for on with by at not do did had have has but so because while after before if then which from near be been as or are my your his her their its when where who can could would should may rather nor than no more".split())
-OTHER = frozenset("der die das und ist nicht ein eine mit den dem zu wir noch sie sich auf für el la los las que es y en del no se por con para una está le les des et est une pas dans du nous au avec sur pour il elle ce qui".split()) - ENGLISH
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 
 
 @lru_cache(maxsize=1 << 17)
-def bucket(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "replace")) & (BUCKETS - 1)
+def key_of(word: str) -> int:
+    """64 bits that stand for the word."""
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
 
 
 def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
-def is_english(found: Sequence[str]) -> bool:
-    en = sum(w in ENGLISH for w in found)
-    return en >= 0.12 * len(found) and en > 2 * sum(w in OTHER for w in found)
+def own_text(text: str | None) -> str:
+    """What the sender wrote themselves."""
+    return mail.own_text(mail.body_text(mail.parts(text)))
 
 
-def own_tokens(text: str | None, min_words: int = MIN_WORDS) -> list[str] | None:
+def own_tokens(text: str | None, languages: lg.Languages, min_words: int = MIN_WORDS) -> list[str] | None:
     """Tokens of what the sender wrote, if that is at least ``min_words`` words of English."""
-    own = mail.own_text(mail.body_text(mail.parts(text)))
-    if sum(any(c.isalnum() for c in w) for w in own.split()) < min_words:
+    own = own_text(text)
+    if sum(any(c.isalnum() for c in w) for w in own.split()) < min_words or languages.of(own) != ENGLISH:
         return None
-    found = tokens(own)
-    return found if found and is_english(found) else None
+    return tokens(own) or None
 
 
-def _encode(found: Sequence[str]) -> bytes:
-    return np.fromiter(map(bucket, found), np.uint16, len(found)).tobytes()
+def _keys(found: Sequence[str]) -> np.ndarray:
+    return np.fromiter(map(key_of, found), np.uint64, len(found))
 
 
-def own_words(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, words): the buckets of the sender's words, for the documents that ``own_tokens`` admits."""
+def own_words(documents: DataFrame, languages: lg.Languages, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, words): the keys of the sender's words, for the documents that ``own_tokens`` admits."""
+    shared = documents.sparkSession.sparkContext.broadcast(languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, out = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if (found := own_tokens(t, min_words)) is not None:
+                if (found := own_tokens(t, shared.value, min_words)) is not None:
                     ids.append(i)
-                    out.append(_encode(found))
+                    out.append(_keys(found).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "words"])
 
     rows = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     return rows.mapInArrow(run, "doc_id bigint, words binary")
 
 
+# ---- the vocabulary ----------------------------------------------------------------------------------------------------
+
+
+def _joined(words: Sequence[bytes], kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(all words of a batch, number of words of each text)."""
+    return np.frombuffer(b"".join(words), kind), np.array([len(w) // np.dtype(kind).itemsize for w in words], np.int64)
+
+
+def vocabulary(corpus: DataFrame, references: np.ndarray, min_share: float = MIN_SHARE) -> np.ndarray:
+    """Sorted keys of the words that have a difficulty; at most 1 / ``min_share`` of them come from the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, n = np.unique(_joined(b.column(0).to_pylist(), np.uint64)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    counts = cut(corpus.select("words").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    held = counts.where(F.col("n") >= min_share * total).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64)
+    return np.union1d(held, references)
+
+
+def places(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Number of each word in the vocabulary, -1 for words that it lacks."""
+    at = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
+    return np.where(keys[at] == words, at, -1).astype(np.int32)
+
+
+def numbered(corpus: DataFrame, keys: np.ndarray) -> DataFrame:
+    """``own_words`` with the words' numbers in the vocabulary in place of their keys."""
+    shared = corpus.sparkSession.sparkContext.broadcast(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, size = _joined(b.column(1).to_pylist(), np.uint64)
+            texts = np.split(places(shared.value, words), np.cumsum(size)[:-1]) if len(size) else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.tobytes() for t in texts], pa.binary())], names=["doc_id", "words"])
+
+    return corpus.mapInArrow(run, "doc_id bigint, words binary")
+
+
+# ---- the model ---------------------------------------------------------------------------------------------------------
+
+
+def _chunks(n: int) -> Iterator[slice]:
+    return (slice(a, min(a + CHUNK, n)) for a in range(0, n, CHUNK))
+
+
 class Model:
-    """Word parameters, and the mean difficulty at each level of GRID."""
-
-    def __init__(self, mu: np.ndarray, b: np.ndarray) -> None:
-        self.mu, self.b = mu, b
-        p = np.exp(mu[None] + GRID[:, None] * b[None] - mu.max())
-        self.mean = np.maximum.accumulate((p * b[None]).sum(1) / p.sum(1)) + np.arange(len(GRID)) * 1e-12
-
-    def at_buckets(self, seen: np.ndarray) -> "Model":
-        """The same with parameters spread over all buckets; unseen words say nothing (difficulty NaN)."""
-        out = object.__new__(Model)
-        out.mu, out.mean = self.mu, self.mean
-        out.b = np.full(BUCKETS, np.nan, np.float32)
-        out.b[seen] = self.b
-        return out
-
-    def level(self, words: Sequence[bytes]) -> np.ndarray:
-        """theta of each text; 0 for a text without a known word."""
-        out = np.zeros(len(words))
-        size = np.array([len(w) // 2 for w in words])
-        if not size.sum():
-            return out
-        b = self.b[np.frombuffer(b"".join(words), np.uint16)].astype(float)
+    """Word parameters, and the mean difficulty at each level of GRID; a word without counts says nothing (NaN)."""
+
+    def __init__(self, mu: np.ndarray, b: np.ndarray, seen: np.ndarray) -> None:
+        self.mu, self.b = mu, np.where(seen, b, np.nan).astype(np.float32)
+        top, mass, sums = mu.max(), np.zeros(len(GRID)), np.zeros(len(GRID))
+        for c in _chunks(len(mu)):
+            p = np.exp(mu[None, c] + GRID[:, None] * b[None, c] - top) * seen[None, c]
+            mass += p.sum(1)
+            sums += (p * b[None, c]).sum(1)
+        self.mean = np.maximum.accumulate(sums / mass) + np.arange(len(GRID)) * 1e-12
+
+    def level(self, words: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """theta of each text from its words' numbers; 0 for a text without a known word."""
+        if not len(words):
+            return np.zeros(len(size))
+        b = np.append(self.b, np.float32(np.nan))[words].astype(float)
         known = ~np.isnan(b)
         edge = np.concatenate([[0], np.cumsum(size)])
         total = np.concatenate([[0], np.cumsum(np.where(known, b, 0))])
@@ -116,15 +167,21 @@ class Model:
 def fit_words(counts: np.ndarray, theta: np.ndarray, start: tuple[np.ndarray, np.ndarray] | None = None, ridge: float = 1.0, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """mu and b by damped Newton steps from counts (level class x word) at levels theta."""
     total = counts.sum(0) + 0.01
-    mu, b = start if start is not None else (np.log(total / total.sum()), np.zeros(counts.shape[1]))
-    n, weighted = counts.sum(1), (counts * theta[:, None]).sum(0)
+    mu, b = (x.copy() for x in start) if start is not None else (np.log(total / total.sum()), np.zeros(counts.shape[1]))
+    n = counts.sum(1)
     for _ in range(steps):
-        logit = mu[None] + theta[:, None] * b[None]
-        p = np.exp(logit - logit.max(1, keepdims=True))
-        expect = n[:, None] * (p / p.sum(1, keepdims=True))
-        e0, e1, e2 = expect.sum(0) + 1e-9, (expect * theta[:, None]).sum(0), (expect * theta[:, None] ** 2).sum(0)
-        b = b + np.clip((weighted - e1 - ridge * b) / (e2 - e1**2 / e0 + ridge), -0.5, 0.5)
-        mu = mu + 0.7 * np.log(total / e0)
+        top = np.array([max((mu[c] + t * b[c]).max() for c in _chunks(len(mu))) for t in theta])
+        mass = sum(np.exp(mu[None, c] + theta[:, None] * b[None, c] - top[:, None]).sum(1) for c in _chunks(len(mu)))
+        moved = 0.0
+        for c in _chunks(len(mu)):
+            expect = (n / mass)[:, None] * np.exp(mu[None, c] + theta[:, None] * b[None, c] - top[:, None])
+            e0, e1, e2 = expect.sum(0) + 1e-9, (expect * theta[:, None]).sum(0), (expect * theta[:, None] ** 2).sum(0)
+            step = np.clip(((counts[:, c] * theta[:, None]).sum(0) - e1 - ridge * b[c]) / (e2 - e1**2 / e0 + ridge), -0.5, 0.5)
+            b[c] += step
+            mu[c] += 0.7 * np.log(total[c] / e0)
+            moved = max(moved, float(np.abs(step).max()))
+        if moved < 1e-4:
+            break
     return mu, b
 
 
@@ -132,72 +189,80 @@ def _counting(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            size = np.array([len(w) // 2 for w in words], int)
-            near = np.clip(np.round((model.level(words) - BINS[0]) / 0.5), 0, len(BINS) - 1).astype(np.int64)
-            key, n = np.unique(np.repeat(near, size) * BUCKETS + np.frombuffer(b"".join(words), np.uint16), return_counts=True)
+            words, size = _joined(batch.column(0).to_pylist(), np.int32)
+            near = np.clip(np.round((model.level(words, size) - BINS[0]) / 0.5), 0, len(BINS) - 1).astype(np.int64)
+            of = np.repeat(near, size)[words >= 0] * len(model.b) + words[words >= 0]
+            key, n = np.unique(of, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
 
     return run
 
 
-def fit(corpus: DataFrame, references: list[tuple[int, str]], rounds: int = ROUNDS) -> tuple[Model, np.ndarray, list[int]]:
+def fit(corpus: DataFrame, keys: np.ndarray, references: list[tuple[int, np.ndarray]], rounds: int = ROUNDS) -> tuple[Model, np.ndarray, list[int]]:
     """(model, bounds, levels): ``bounds[k]`` parts the texts of ``levels[k]`` from those of ``levels[k + 1]``.
 
-    ``corpus`` is ``own_words``. Without references there is no scale, which is an error.
+    ``corpus`` is ``numbered``, ``references`` are (level, numbers of the words).
     """
-    refs = [(lv, _encode(tokens(p))) for lv, p in references if p and tokens(p) and lv is not None]
-    if not refs:
-        raise ValueError("the scale needs graded reference passages")
-    levels = sorted({lv for lv, _ in refs})
-    centre = (levels[0] + levels[-1]) / 2
-    anchors = np.zeros((len(levels), BUCKETS))
-    for lv, w in refs:
-        np.add.at(anchors[levels.index(lv)], np.frombuffer(w, np.uint16), 1)
-    scale = np.array(levels, float) - centre
+    levels = sorted({lv for lv, _ in references})
+    anchors = np.zeros((len(levels), len(keys)))
+    for lv, w in references:
+        np.add.at(anchors[levels.index(lv)], w, 1)
+    scale = np.array(levels, float) - (levels[0] + levels[-1]) / 2
     spark = corpus.sparkSession
-    seen = np.flatnonzero(anchors.sum(0))
-    model = Model(*fit_words(anchors[:, seen], scale)).at_buckets(seen)
+    parameters = fit_words(anchors, scale)
+    model = Model(*parameters, anchors.sum(0) > 0)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
         rows = corpus.select("words").mapInArrow(_counting(shared), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-        found = np.zeros((len(BINS), BUCKETS))
+        found = np.zeros((len(BINS), len(keys)))
         key = rows["key"].to_numpy(np.int64)
-        found[key // BUCKETS, key % BUCKETS] = rows["n"].to_numpy(float)
+        found[key // len(keys), key % len(keys)] = rows["n"].to_numpy(float)
+        shared.unpersist()
         if not found.sum():
             break
-        found *= min(1.0, CORPUS_WEIGHT * anchors.sum() / found.sum())
-        seen = np.flatnonzero(anchors.sum(0) + found.sum(0))
-        model = Model(*fit_words(np.vstack([found[:, seen], ANCHOR * anchors[:, seen]]), np.concatenate([BINS, scale]))).at_buckets(seen)
-    own = model.level([w for _, w in refs])
-    of = np.array([lv for lv, _ in refs])
+        share = found.sum(0) / found.sum()
+        found *= CORPUS_WEIGHT * anchors.sum() / found.sum()
+        before = model.b
+        parameters = fit_words(np.vstack([found, ANCHOR * anchors]), np.concatenate([BINS, scale]), parameters)
+        model = Model(*parameters, share + anchors.sum(0) > 0)
+        if float((np.abs(np.nan_to_num(model.b) - np.nan_to_num(before)) * share).sum()) < SETTLED:
+            break
+    own = model.level(np.concatenate([w for _, w in references]), np.array([len(w) for _, w in references]))
+    of = np.array([lv for lv, _ in references])
     mean = [own[of == lv].mean() for lv in levels]
     spread = [max(own[of == lv].std(), 0.02) for lv in levels]
     bounds = np.array([(mean[k] * spread[k + 1] + mean[k + 1] * spread[k]) / (spread[k] + spread[k + 1]) for k in range(len(levels) - 1)])
     return model, np.maximum.accumulate(bounds) if len(bounds) else bounds, levels
 
 
-def reading_levels(documents: DataFrame, references: DataFrame, doc_id: str = "doc_id", text: str = "text", level: str = "reading_level", passage: str = "passage", min_words: int = MIN_WORDS, rounds: int = ROUNDS) -> DataFrame:
+def reading_levels(documents: DataFrame, references: DataFrame, doc_id: str = "doc_id", text: str = "text", level: str = "reading_level", passage: str = "passage", min_words: int = MIN_WORDS, rounds: int = ROUNDS, language: str | None = "lang") -> DataFrame:
     """(doc_id, reading_level, theta) of each document whose sender wrote at least ``min_words`` words of English.
 
-    ``references`` is a small graded set (at most MAX_REFERENCES rows, checked). Null ids, null and empty texts give no
-    row; a repeated document gives a row each time. An empty corpus gives an empty result.
+    ``references`` is a small graded set of English passages (at most MAX_REFERENCES rows, checked); without any there is
+    no scale, which is an error. English is told by a classifier that is fitted on the column ``language`` (a bounded
+    sample, see ``language.fit``) and the references; with None, or without labels, every text is taken for English.
+    Null ids, null and empty texts give no row; a repeated document gives a row each time. An empty corpus gives an
+    empty result.
     """
     graded = references.select(F.col(level).cast("int"), F.col(passage)).limit(MAX_REFERENCES + 1).collect()
     if len(graded) > MAX_REFERENCES:
         raise ValueError(f"more than {MAX_REFERENCES} reference passages")
-    corpus = cut(own_words(documents, doc_id, text, min_words))
-    model, bounds, levels = fit(corpus, sorted((r[0], r[1]) for r in graded if r[0] is not None and r[1]), rounds)
+    refs = sorted((r[0], r[1]) for r in graded if r[0] is not None and r[1] and tokens(r[1]))
+    if not refs:
+        raise ValueError("the scale needs graded reference passages")
+    sure = {ENGLISH: [p for _, p in refs]}
+    languages = lg.Languages({ENGLISH: np.ones(lg.BUCKETS)}) if language is None else lg.fit(documents, text, language, doc_id, own_text, sure)
+    own = cut(own_words(documents, languages, doc_id, text, min_words))
+    words = [(lv, _keys(tokens(p))) for lv, p in refs]
+    keys = vocabulary(own, np.unique(np.concatenate([w for _, w in words])))
+    corpus = cut(numbered(own, keys))
+    model, bounds, levels = fit(corpus, keys, [(lv, places(keys, w)) for lv, w in words], rounds)
     shared = documents.sparkSession.sparkContext.broadcast((model, bounds, np.array(levels)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted, parting, scale = shared.value
         for b in batches:
-            theta = fitted.level(b.column(1).to_pylist())
+            theta = fitted.level(*_joined(b.column(1).to_pylist(), np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scale[np.searchsorted(parting, theta)].astype(np.int32)), pa.array(theta)], names=["doc_id", "reading_level", "theta"])
 
     return corpus.select("doc_id", "words").mapInArrow(run, "doc_id bigint, reading_level int, theta double")
-
-
-#: Reference passages are collected and held at every task; a graded set beyond this is refused.
-MAX_REFERENCES = 100_000

@@ -25,28 +25,43 @@ def latest_score(df: DataFrame, groups: Sequence[str], item: str, score: str, ve
     )
 
 
+#: At most so many groups are heavy; any other group then has at most one row in so many of all.
+MAX_HEAVY = 10_000
+
+
+def heavy_groups(scored: DataFrame, groups: Sequence[str], heavy_rows: int) -> list:
+    """Keys of the groups of more than ``heavy_rows`` rows, the MAX_HEAVY largest of them if they are more."""
+    sizes = scored.groupBy(*groups).agg(F.count("*").alias("_size")).where(F.col("_size") > heavy_rows)
+    return sizes.orderBy(F.col("_size").desc(), *groups).limit(MAX_HEAVY).select(*groups).collect()
+
+
 def top_per_group(scored: DataFrame, groups: Sequence[str], item: str, n: int, heavy_rows: int = 10_000) -> DataFrame:
     """(groups, item, score, rank) of the ``n`` best of each group; equal scores: smaller item first.
 
-    Groups are counted exactly. Those of more than ``heavy_rows`` items are sorted by range: their rows are spread by
-    score over partitions, each partition of a group keeps its own ``n`` best (the partition is the salt), and what
-    remains is ranked once more. All other groups go through one ordinary window. Both give the same ranks; the bound
-    only decides where the work is done. An empty input gives an empty result.
+    Groups are counted exactly. The keys of the heavy ones (more than ``heavy_rows`` rows, at most MAX_HEAVY keys) are
+    broadcast and tell heavy rows from light ones where they are, so no group is brought together to be sized. Heavy
+    rows are sorted by range: they are spread by group and score over partitions, each partition of a group keeps its
+    own ``n`` best (the partition is the salt), and what remains is ranked once more. All other rows go through one
+    ordinary window. Both give the same ranks; the bound only decides where the work is done. Null groups form their
+    own group. An empty input gives an empty result.
     """
     groups = list(groups)
-    counts = scored.groupBy(*groups).count()
-    on = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in groups]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    sized = scored.alias("a").join(counts.alias("b"), cond).select("a.*", F.col("b.count").alias("_size"))
     best = [F.col("score").desc(), F.col(item).asc()]
+    rows = scored.select(*groups, item, "score")
 
     def ranked(df: DataFrame, by: Sequence[str]) -> DataFrame:
         return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*best))).where(F.col("rank") <= n)
 
-    light = ranked(sized.where(F.col("_size") <= heavy_rows), groups)
-    ranges = sized.where(F.col("_size") > heavy_rows).repartitionByRange(*groups, *best).withColumn("_salt", F.spark_partition_id())
+    keys = heavy_groups(rows, groups, heavy_rows)
+    if not keys:
+        return ranked(rows, groups)
+    named = rows.select(*(F.col(g).alias(f"_h{k}") for k, g in enumerate(groups))).schema
+    hot = F.broadcast(scored.sparkSession.createDataFrame(keys, named))
+    same = F.lit(True)
+    for k, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_h{k}"))
+    light = ranked(rows.join(hot, same, "left_anti"), groups)
+    ranges = rows.join(hot, same, "left_semi").repartitionByRange(*groups, *best).withColumn("_salt", F.spark_partition_id())
     heavy = ranked(ranked(ranges, [*groups, "_salt"]).drop("rank"), groups)
     cols = [*groups, item, "score", "rank"]
     return light.select(*cols).unionByName(heavy.select(*cols))
