@@ -23,9 +23,10 @@ _OTHER = regex.compile(r"[^\p{L}]+")
 
 def trigrams(text: str) -> np.ndarray:
     """Buckets of the trigrams of the text's letters, words apart by one blank."""
-    x = np.frombuffer(f" {_OTHER.sub(' ', text.lower())} ".encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    if len(x) < 3:
+    letters = _OTHER.sub(" ", text.lower()).strip()
+    if not letters:
         return np.empty(0, np.int64)
+    x = np.frombuffer(f" {letters} ".encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     h = (x[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (x[2:] * np.uint64(0x165667B19E3779F9))
     h ^= h >> np.uint64(31)
     return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(50)).astype(np.int64) & (BUCKETS - 1)

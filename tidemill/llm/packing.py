@@ -157,8 +157,10 @@ def plan(histogram: dict[int, int], capacity: int, classes: int = CLASSES, depth
         for j, combo in enumerate(combos):
             for c in combo:
                 a[c, j] += 1
+        # what is left of a long class is harder to place than of a short one: errors count by length
+        hard = np.maximum(np.arange(classes + 1), 1) / classes
         scale = max(1.0, weight.max())
-        repeats = np.floor(nnls(a, weight / scale) * scale + 1e-6).astype(np.int64)
+        repeats = np.floor(nnls(a * hard[:, None], hard * weight / scale) * scale + 1e-6).astype(np.int64)
         lengths = sorted(class_of)
 
         def longest(at_most: int, least: int, taken: dict[int, int]) -> int | None:

@@ -165,7 +165,7 @@ class Model:
 
 
 def fit_words(counts: np.ndarray, theta: np.ndarray, start: tuple[np.ndarray, np.ndarray] | None = None, ridge: float = 1.0, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """mu and b by damped Newton steps from counts (level class x word) at levels theta."""
+    """mu and b by Newton steps, for each word in both at once, from counts (level class x word) at levels theta."""
     total = counts.sum(0) + 0.01
     mu, b = (x.copy() for x in start) if start is not None else (np.log(total / total.sum()), np.zeros(counts.shape[1]))
     n = counts.sum(1)
@@ -176,9 +176,10 @@ def fit_words(counts: np.ndarray, theta: np.ndarray, start: tuple[np.ndarray, np
         for c in _chunks(len(mu)):
             expect = (n / mass)[:, None] * np.exp(mu[None, c] + theta[:, None] * b[None, c] - top[:, None])
             e0, e1, e2 = expect.sum(0) + 1e-9, (expect * theta[:, None]).sum(0), (expect * theta[:, None] ** 2).sum(0)
-            step = np.clip(((counts[:, c] * theta[:, None]).sum(0) - e1 - ridge * b[c]) / (e2 - e1**2 / e0 + ridge), -0.5, 0.5)
+            short = total[c] - e0
+            step = np.clip(((counts[:, c] * theta[:, None]).sum(0) - e1 - ridge * b[c] - e1 / e0 * short) / (e2 - e1**2 / e0 + ridge), -0.5, 0.5)
             b[c] += step
-            mu[c] += 0.7 * np.log(total[c] / e0)
+            mu[c] += np.clip((short - e1 * step) / e0, -1, 1)
             moved = max(moved, float(np.abs(step).max()))
         if moved < 1e-4:
             break
