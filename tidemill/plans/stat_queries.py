@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators import chain, fold, grids, stats
-from tidemill.operators import metrics as mt
 from tidemill.operators.aggregates import average_rank
 from tidemill.operators.windows import Frames
 from tidemill.plans.metric_queries import CAL, RUN, P, S, closed, run_months, symbol_months
@@ -212,13 +211,3 @@ def trade_chain(spark: SparkSession, sf: str) -> DataFrame:
 def replay_fold(spark: SparkSession, sf: str) -> DataFrame:
     bars, configs = strategy_inputs(spark, sf)
     return fold.replay_grid(bars.drop("i"), configs).select("symbol", "config_id", "open_ts", "exit_ts", "reason", r(F.col("balance") / 10_000, 8).alias("growth"))
-
-
-@CORE.query("replay_summary")
-def replay_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Trades, growth, drawdown, share of stops and of green months of each configuration and series."""
-    bars, configs = strategy_inputs(spark, sf)
-    p = fold.replay_grid(bars.drop("i"), configs)
-    by = ["symbol", "config_id"]
-    base = p.groupBy(*by).agg(F.count_if(F.col("reason") != "LIQ").alias("n_trades"), (F.max_by("balance", "exit_ts") / 10_000).alias("growth"), F.avg((F.col("reason") == "SL").cast("double")).alias("stop_share"), F.count_if((F.col("risk") > 0) & (F.try_divide("pnl", "risk") > 5)).alias("gt5r")).where("n_trades >= 2")
-    return base.join(mt.drawdown(p, by, "exit_ts", "balance"), by).join(mt.green_share(mt.monthly(p, by, "exit_ts", "balance"), by), by, "left")
