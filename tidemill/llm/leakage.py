@@ -39,6 +39,8 @@ AROUND, DRIFT = 22, 3
 SUPPORT, COMMON = 9, 0.015
 #: A word with fewer places in all passages is uncommon in any case: in a small set every word has a large share.
 LEAST_COMMON = 20
+#: Probes that are scored together.
+TOGETHER = 2048
 #: Characters that are scanned together.
 SLICE = 2_000_000
 #: Unknown words between the parts of a batch.
@@ -119,6 +121,32 @@ class PassageSet:
         return (same & self.rare[doc]).sum(axis=1) >= self.needed[which]
 
 
+    def reachable(self, ids: np.ndarray, pos: np.ndarray, which: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """Whether an alignment around the seed can score what the least leak scores; the score alone, all probes at once.
+
+        The score is that of ``align`` on the same band, over the passage's whole length, so no leak is lost.
+        """
+        out = np.zeros(len(pos), bool)
+        least = 2 * (self.least - UNMATCHED) - int(MAX_EDITS * self.least)
+        width = 2 * BAND + 1
+        ramp = np.arange(width, dtype=np.int32)
+        size = np.array([len(p) for p in self.passages])[which]
+        order = np.argsort(size, kind="stable")
+        for k in range(0, len(order), TOGETHER):
+            at = order[k : k + TOGETHER]
+            word, place = pos[at] - where[at] - BAND, self.start[which[at]] - 2 * BAND
+            prev, best = np.zeros((len(at), width + 1), np.int32), np.zeros(len(at), np.int32)
+            for i in range(int(size[at].max()) + 2 * BAND):
+                doc = ids[np.clip(word + i, 0, len(ids) - 1)]
+                same = (self.flat[np.clip((place + i)[:, None] + ramp, 0, len(self.flat) - 1)] == doc[:, None]) & (doc > 0)[:, None]
+                cell = np.where(same, prev[:, :-1] + 2, np.maximum(prev[:, :-1], prev[:, 1:]) - 1)
+                row = np.maximum(np.maximum.accumulate(cell + ramp, axis=1) - ramp, 0)
+                np.maximum(best, row.max(axis=1), out=best)
+                prev[:, :-1] = row
+            out[at] = best >= least
+        return out
+
+
 def align(doc: list[int], passage: list[int], shift: int) -> list[tuple[int, int]]:
     """Matched words (place in ``doc``, place in ``passage``), in order, of the best local alignment near the diagonal
     ``shift`` (place in the passage less place in ``doc``).
@@ -235,6 +263,8 @@ def scan_bodies(found_bodies: list[Body], passages: PassageSet) -> list[Found]:
     pos, which, where = pos[lead], which[lead], where[lead]
     enough = np.concatenate([passages.support(ids, pos[k : k + 65536], which[k : k + 65536], where[k : k + 65536]) for k in range(0, len(pos), 65536)])
     pos, which, where = pos[enough], which[enough], where[enough]
+    enough = passages.reachable(ids, pos, which, where)
+    pos, which, where = pos[enough], which[enough], where[enough]
     order = np.lexsort((pos, which))
     part = np.searchsorted(begin, pos, "right") - 1
     found: dict[tuple[int, int], list[Found]] = defaultdict(list)
