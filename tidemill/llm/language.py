@@ -5,20 +5,20 @@ The labels may be wrong now and then: after a first fit the sample is labelled a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Buckets of the trigrams; trigrams that share one are told apart by the others of a text.
 BUCKETS = 1 << 14
 #: Texts of the training sample for each label, in expectation; the most labels; the least share of the labelled rows.
-PER_LABEL, MAX_LABELS, LEAST_SHARE = 2000, 20, 0.005
-_OTHER = regex.compile(r"[^\p{L}]+")
+PER_LABEL, MAX_LABELS, LEAST_SHARE = 1000, 20, 0.005
+_OTHER = re.compile(r"[\W\d_]+")
 
 
 def trigrams(text: str) -> np.ndarray:

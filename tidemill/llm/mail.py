@@ -191,10 +191,11 @@ _GREETING = re.compile(r"(?:hi|hello|hey|dear|morning|good (?:morning|afternoon|
 _NAME_GREETING = re.compile(r"[A-Z][\w'-]+(?: [A-Z][\w'-]+)?\s*[,:–-]$")
 _CLOSING = re.compile(r"(?:best|best wishes|best regards|cheers|regards|kind regards|warm regards|many thanks|thanks|thank you|thx|sincerely|yours(?: \w+)?|all the best|br|take care|ciao|gru(?:ß|ss)|viele gr(?:ü|ue)(?:ß|ss)e|mit freundlichen gr(?:ü|ue)(?:ß|ss)en|saludos|cordialement|best)\s*[,.!-]*$", re.I)
 _RULER = re.compile(r"\s*[_=*~#-]{8,}\s*$")
-_DISCLAIMER = [re.compile(x, re.I) for x in (
-    r"confidential|privileged", r"disclaimer|disclaims?", r"intended (?:only|solely|exclusively|recipient|for the)", r"un-?authori[sz]ed|prohibited|not the (?:intended|named)", r"no liability|not liable|accepts? no|cannot guarantee|not indicative|no warrant",
-    r"delete|destroy|notify (?:the|us)|in error", r"consider the environment|before printing|think before", r"sent from my", r"unsubscribe|mailing list", r"views? (?:or opinions? )?(?:expressed|presented)|does not constitute|past performance", r"virus|registered (?:in|office|number)",
-)]
+_SMALL_PRINT = (
+    ("confidential", "privileged"), ("disclaim",), ("intended only", "intended solely", "intended exclusively", "intended recipient", "intended for the"), ("unauthorised", "unauthorized", "un-authori", "prohibited", "not the intended", "not the named"),
+    ("no liability", "not liable", "accept no", "accepts no", "cannot guarantee", "not indicative", "no warrant"), ("delete", "destroy", "notify the", "notify us", "in error"), ("consider the environment", "before printing", "think before"),
+    ("sent from my",), ("unsubscribe", "mailing list"), ("expressed", "does not constitute", "past performance"), ("virus", "registered office", "registered in", "registered number"),
+)
 _ORIGINAL = re.compile(r"\s*-{2,}\s*(?:original message|forwarded message|urspr\S+ nachricht|mensaje original|message d'origine)\s*-{2,}\s*$|\s*begin forwarded message:?\s*$", re.I)
 _FIELD = re.compile(r"\s*\*?(?:from|sent|to|cc|date|subject|von|gesendet|an|betreff|de|enviado|para|asunto)\*?\s*:", re.I)
 _INTRO_END = re.compile(r"(?:wrote|writes|schrieb|escribi\S+|a \xe9crit|כתב|>)[^:]{0,80}:\s*$|:\s*$", re.I)
@@ -325,7 +326,8 @@ def _is_closing(lines: list[str], i: int) -> bool:
 
 def _is_disclaimer(paragraph: str) -> bool:
     """Two of the cues of legal small print, or one in a paragraph of few words."""
-    cues = sum(bool(c.search(paragraph)) for c in _DISCLAIMER)
+    low = paragraph.lower()
+    cues = sum(any(c in low for c in cue) for cue in _SMALL_PRINT)
     return cues > 1 or (cues == 1 and len(paragraph.split()) <= FEW_WORDS)
 
 
