@@ -8,8 +8,11 @@ the same result within the block as over the series.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,11 @@ def rolling(df: DataFrame, keys: Sequence[str], order: Column, chunk_width: floa
     ``fn`` adds columns from windows partitioned by ``window_keys`` and ordered by ``_rn``; frames reach at most
     ``behind`` rows back and ``ahead`` rows on.
     """
+    return windowed(numbered(df, keys, order, chunk_width, ties), keys, behind, fn, ahead, block)
+
+
+def windowed(df: DataFrame, keys: Sequence[str], behind: int, fn: Callable[[DataFrame, list[str]], DataFrame], ahead: int = 0, block: int = BLOCK) -> DataFrame:
+    """``rolling`` for rows that have their number ``_rn`` already."""
     if max(behind, ahead) > block:
         raise ValueError("a halo is at most one block")
     at, own = F.col("_rn") % block, F.floor(F.col("_rn") / block)
@@ -41,7 +49,7 @@ def rolling(df: DataFrame, keys: Sequence[str], order: Column, chunk_width: floa
         places.append(F.when(at >= block - behind, own + 1))
     if ahead:
         places.append(F.when((at < ahead) & (own > 0), own - 1))
-    spread = numbered(df, keys, order, chunk_width, ties).withColumn("_block", F.explode(F.array_compact(F.array(*places))))
+    spread = df.withColumn("_block", F.explode(F.array_compact(F.array(*places))))
     return fn(spread, [*keys, "_block"]).where(F.floor(F.col("_rn") / block) == F.col("_block")).drop("_block")
 
 
@@ -69,3 +77,113 @@ def recurrences(df: DataFrame, keys: Sequence[str], of: dict[str, tuple[str, flo
     carried = ends.select(*keys, "_b", *(carry(k, q).alias(f"_c_{k}") for k, (_, q) in of.items()))
     out = rows.join(carried, [*keys, "_b"]).withColumns({k: F.col(f"_s_{k}") + power(q, F.col("_i") + 1) * F.col(f"_c_{k}") for k, (_, q) in of.items()})
     return out.drop("_b", "_i", *(f"_s_{k}" for k in of), *(f"_c_{k}" for k in of))
+
+
+def filled(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], chunk: int = 4096) -> DataFrame:
+    """``values`` carried forward along the numeric column ``order``, chunk by chunk; each chunk's last value goes on to the next."""
+    keys = list(keys)
+    rows = df.withColumn("_chunk", F.floor(F.col(order) / chunk)).repartition(*keys, "_chunk")
+    within = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.groupBy(*keys, "_chunk").agg(*(F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(f"_e_{v}") for v in values))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "_chunk", *(F.last(f"_e_{v}", ignorenulls=True).over(before).alias(f"_c_{v}") for v in values))
+    out = rows.join(carried, [*keys, "_chunk"]).withColumns({v: F.coalesce(F.last(v, ignorenulls=True).over(within), F.col(f"_c_{v}")) for v in values})
+    return out.drop("_chunk", *(f"_c_{v}" for v in values))
+
+
+def running_max(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str, chunk: int) -> DataFrame:
+    """Largest value so far along the numeric column ``order``, chunk by chunk of ``chunk`` order units."""
+    keys = list(keys)
+    rows = df.withColumn("_chunk", F.floor(F.col(order) / chunk)).repartition(*keys, "_chunk")
+    within = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    tops = rows.groupBy(*keys, "_chunk").agg(F.max(value).alias("_top"))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(*keys, "_chunk", F.max("_top").over(before).alias("_top"))
+    return rows.join(carried, [*keys, "_chunk"]).withColumn(name, F.greatest(F.max(value).over(within), F.col("_top"))).drop("_chunk", "_top")
+
+
+def _with_column(df: DataFrame, names: Sequence[str]) -> str:
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"{n} double" for n in names])
+
+
+def rank_pct(df: DataFrame, keys: Sequence[str], x: str, n: int, name: str, rn: str = "_rn", block: int = 16384) -> DataFrame:
+    """Rank of x among the last n rows as a share, ties sharing their average rank; null unless all n have a value.
+
+    ``rn`` numbers the rows of a series. Blocks with the n - 1 rows before them are ranked window by window in vectors.
+    """
+    keys = list(keys)
+    own = F.floor(F.col(rn) / block)
+    spread = df.withColumn("_block", F.explode(F.array_compact(F.array(own, F.when(F.col(rn) % block >= block - (n - 1), own + 1)))))
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(rn)
+        v = np.array([np.nan if y is None else y for y in rows[x].to_pylist()], float)
+        out = np.full(len(v), np.nan)
+        if len(v) >= n:
+            windows = np.lib.stride_tricks.sliding_window_view(v, n)
+            for a in range(0, len(windows), 1024):
+                w = windows[a : a + 1024]
+                last = w[:, -1:]
+                share = ((w < last).sum(1) + ((w == last).sum(1) + 1) / 2) / n
+                out[n - 1 + a : n - 1 + a + len(w)] = np.where(np.isnan(w).any(1), np.nan, share)
+        mine = np.asarray(rows[rn].to_numpy()) // block == key[-1].as_py()
+        return rows.drop_columns(["_block"]).append_column(name, pa.array(out, mask=np.isnan(out))).filter(pa.array(mine))
+
+    return spread.groupBy(*keys, "_block").applyInArrow(run, _with_column(df, [name]))
+
+
+class Quantile:
+    """Exact quantile (linear between neighbours) of a growing set of numbers, by two heaps."""
+
+    def __init__(self, p: float) -> None:
+        self.p, self.low, self.high = p, [], []  # low: negated, the smaller part
+
+    def add(self, x: float) -> None:
+        if self.low and x <= -self.low[0]:
+            heapq.heappush(self.low, -x)
+        else:
+            heapq.heappush(self.high, x)
+        want = int((len(self.low) + len(self.high) - 1) * self.p) + 1
+        while len(self.low) < want:
+            heapq.heappush(self.low, -heapq.heappop(self.high))
+        while len(self.low) > want:
+            heapq.heappush(self.high, -heapq.heappop(self.low))
+
+    def value(self) -> float:
+        n = len(self.low) + len(self.high)
+        if not n:
+            return float("nan")
+        part = (n - 1) * self.p % 1
+        a = -self.low[0]
+        return a if not part or not self.high else a + (self.high[0] - a) * part
+
+
+def expanding_quantiles(df: DataFrame, keys: Sequence[str], order: str, x: str, of: dict[str, float], least: int, inclusive: bool = False) -> DataFrame:
+    """For each ``name: p``, the exact p-quantile of x over all earlier rows (with ``inclusive`` the current one as well).
+
+    Null until there are ``least`` values; nulls and NaN are no values. One pass over a series, a logarithmic step a row:
+    what a row needs is the whole past, so the series is the unit of work.
+    """
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(order)
+        heaps = {name: Quantile(p) for name, p in of.items()}
+        out = {name: np.full(rows.num_rows, np.nan) for name in of}
+        count = 0
+        for i, v in enumerate(rows[x].to_pylist()):
+            held = v is not None and v == v
+            if inclusive and held:
+                count += 1
+                for h in heaps.values():
+                    h.add(v)
+            if count >= least:
+                for name, h in heaps.items():
+                    out[name][i] = h.value()
+            if held and not inclusive:
+                count += 1
+                for h in heaps.values():
+                    h.add(v)
+        for name, v in out.items():
+            rows = rows.append_column(name, pa.array(v, mask=np.isnan(v)))
+        return rows
+
+    return df.groupBy(*keys).applyInArrow(run, _with_column(df, list(of)))

@@ -7,41 +7,72 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.operators import blocks, joins
+from tidemill.operators.smoothing import ewm_adjusted, rsi_wilder
 from tidemill.operators.windows import Frames
 
-#: Dates of halvings, and the levels that count as round numbers.
+#: Dates of halvings; a new moon in days since 1970 (6 January 2000, 18:14 UTC), the length of a lunation,
+#: and the phases that bound new and full moon; the years whose holidays count; share of a level that is near it.
 HALVINGS = ["2016-07-09", "2020-05-11", "2024-04-20"]
-LEVELS = [0.1, 0.5, 1.0, 5.0, 10.0, 50.0, 100.0, 500.0, 1000.0, 5000.0, 10000.0, 50000.0, 100000.0]
-NEW_MOON, SYNODIC = 10962.76, 29.530588  # days since 1970 of a new moon, length of a lunation
+NEW_MOON, SYNODIC, LATE, FULL = 10962 + (18 * 60 + 14) / 1440, 29.530588, 26.53, 14.765
+HOLIDAY_YEARS = (2018, 2025)
+NEAR = 0.005
 
+TECHNICAL = [
+    "golden_state", "momentum12m", "momentum90d", "dip5", "dip10", "rsi_oversold", "rsi_overbought", "above_ma200", "macd_bull", "macd_bullcross_w5", "bb_lower", "bb_upper", "squeeze_w10",
+    "breakout_highvol", "breakout_lowvol", "breakout50", "round_number", "mayer_low", "mayer_high", "picycle_w90", "near_200wma",
+]
+#: Windows that begin the day after their event and are not lagged again.
+AFTER = {"deadcat_w20": 20, "engulf_w5": 5}
 
-def daily_flags(bars: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """(keys, day, flags...) of daily bars (keys, day, _rn, o, h, l, c, v).
 
-    A flag whose windows aren't filled is false. Technical flags are those of the day before.
+def round_levels(closes: DataFrame, key: str, c: str = "c") -> DataFrame:
+    """(key, levels): the round numbers of a series' own size: 1 to 9.5 in halves, times the power of ten below its median."""
+    size = F.pow(F.lit(10.0), F.floor(F.log10(F.percentile(F.when(F.col(c) > 0, F.col(c)), F.lit(0.5)))))
+    return closes.groupBy(key).agg(size.alias("_s")).select(key, F.transform(F.sequence(F.lit(2), F.lit(19)), lambda k: k / 2 * F.col("_s")).alias("levels"))
+
+
+def technical(bars: DataFrame, levels: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """(keys, day, TECHNICAL, AFTER) of daily bars (keys, day, _rn, o, h, l, c, v); ``levels`` is ``round_levels``.
+
+    Each is the state of the day itself, not yet lagged; a flag whose windows aren't filled is false. Windows after an
+    event go by calendar days.
     """
     keys = list(keys)
-    f, c = Frames(keys), F.col("c")
+    f, days, c = Frames(keys), Frames(keys, "day"), F.col("c")
     m = {n: f.mean(c, n) for n in (20, 50, 111, 200, 350, 1400)}
-    df = bars.withColumns({f"m{n}": x for n, x in m.items()} | {"s20": f.std(c, 20), "chg": f.change("c"), "diff": c - f.lag("c"), "hi20": f.highest(F.col("h"), 20, 1), "hi50": f.highest(F.col("h"), 50, 1), "v20": f.mean(F.col("v"), 20, 1)})
-    df = df.withColumns({"rsi": f.rsi_simple("diff", 14), "width": F.try_divide(4 * F.col("s20"), F.col("m20"))})
-    df = df.withColumns({"squeeze": f.rank_pct(F.col("width"), 120) < 0.10, "pi": (F.col("m111") > 2 * F.col("m350"))})
-    engulf = (f.lag("c") < f.lag("o")) & (c > F.col("o")) & (c >= f.lag("o")) & (F.col("o") <= f.lag("c"))
-    tech: dict[str, Column] = {
+    df = bars.withColumns({f"m{n}": x for n, x in m.items()} | {"s20": f.std(c, 20), "chg": f.change("c"), "hi20": f.highest(F.col("h"), 20, 1), "hi50": f.highest(F.col("h"), 50, 1), "v20": f.mean(F.col("v"), 20, 1)})
+    df = blocks.rank_pct(df.withColumn("width", F.try_divide(4 * F.col("s20"), F.col("m20"))), keys, "width", 250, "narrow")
+    df = ewm_adjusted(ewm_adjusted(ewm_adjusted(df, keys, "c", 12, "e12"), keys, "c", 26, "e26").withColumn("macd", F.col("e12") - F.col("e26")), keys, "macd", 9, "sig")
+    df = rsi_wilder(df, keys).join(levels, keys[-1], "left")
+    bull, pi = F.col("macd") > F.col("sig"), F.coalesce(F.col("m111") > 2 * F.col("m350"), F.lit(False))
+    df = df.withColumns({"bull": bull, "pi": pi})
+    onset = lambda x: F.col(x) & ~F.coalesce(f.lag(x), F.lit(False))
+    engulf = (c > F.col("o")) & (f.lag("o") > f.lag("c")) & (c > f.lag("o")) & (F.col("o") < f.lag("c"))
+    df = df.withColumns({"e_squeeze": F.coalesce(F.col("narrow") < 0.10, F.lit(False)), "e_bull": onset("bull"), "e_pi": onset("pi"), "e_cat": F.coalesce((f.change("c", 10) <= -0.20) & (F.col("chg") >= 0.05), F.lit(False)), "e_engulf": F.coalesce(engulf, F.lit(False))})
+    up20 = c > F.col("hi20")
+    flag: dict[str, Column] = {
         "golden_state": F.col("m50") > F.col("m200"), "momentum12m": f.change("c", 365) > 0, "momentum90d": f.change("c", 90) > 0, "dip5": F.col("chg") <= -0.05, "dip10": F.col("chg") <= -0.10,
-        "rsi_oversold": F.col("rsi") < 30, "rsi_overbought": F.col("rsi") > 70, "above_ma200": c > F.col("m200"), "above_ma50": c > F.col("m50"), "bb_lower": c < F.col("m20") - 2 * F.col("s20"), "bb_upper": c > F.col("m20") + 2 * F.col("s20"),
-        "breakout_highvol": (c > F.col("hi20")) & (F.col("v") >= 1.5 * F.col("v20")), "breakout_lowvol": (c > F.col("hi20")) & (F.col("v") < 1.5 * F.col("v20")), "breakout50": c > F.col("hi50"),
-        "round_number": F.exists(F.array(*map(F.lit, LEVELS)), lambda v: F.abs(c / v - 1) < 0.005), "mayer_low": c < F.col("m200"), "mayer_high": c > 2.4 * F.col("m200"), "near_200wma": c <= 1.05 * F.col("m1400"),
-        "squeeze_w10": F.max(F.coalesce(F.col("squeeze"), F.lit(False)).cast("int")).over(f.rows(-10)) == 1,
-        "picycle_w90": F.max((F.coalesce(F.col("pi"), F.lit(False)) & ~F.coalesce(f.lag("pi"), F.lit(False))).cast("int")).over(f.rows(-90)) == 1,
+        "rsi_oversold": F.col("rsi") < 30, "rsi_overbought": F.col("rsi") > 70, "above_ma200": c > F.col("m200"), "macd_bull": F.col("bull"), "macd_bullcross_w5": days.after_event(F.col("e_bull"), 5),
+        "bb_lower": c < F.col("m20") - 2 * F.col("s20"), "bb_upper": c > F.col("m20") + 2 * F.col("s20"), "squeeze_w10": days.after_event(F.col("e_squeeze"), 10),
+        "breakout_highvol": up20 & (F.col("v") > 1.5 * F.col("v20")), "breakout_lowvol": up20 & (F.col("v") <= 1.5 * F.col("v20")), "breakout50": c > F.col("hi50"),
+        "round_number": F.exists(F.coalesce("levels", F.array().cast("array<double>")), lambda v: F.abs(c / v - 1) < NEAR), "mayer_low": c < F.col("m200"), "mayer_high": c > 2.4 * F.col("m200"),
+        "picycle_w90": days.after_event(F.col("e_pi"), 90), "near_200wma": c <= 1.05 * F.col("m1400"), "deadcat_w20": days.after_event(F.col("e_cat"), 20, False), "engulf_w5": days.after_event(F.col("e_engulf"), 5, False),
     }
-    after = {"deadcat_w20": F.coalesce((f.change("c", 10) <= -0.20) & (F.col("chg") >= 0.05), F.lit(False)), "engulf_w5": F.coalesce(engulf, F.lit(False))}
-    df = df.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in tech.items()} | {f"_{k}": v for k, v in after.items()})
-    lagged = {k: F.coalesce(f.lag(k), F.lit(False)) for k in tech}
-    lagged |= {"deadcat_w20": F.coalesce(F.max(F.col("_deadcat_w20").cast("int")).over(f.rows(-20, -1)) == 1, F.lit(False)), "engulf_w5": F.coalesce(F.max(F.col("_engulf_w5").cast("int")).over(f.rows(-5, -1)) == 1, F.lit(False))}
-    d = F.date_from_unix_date(F.col("day").cast("int"))
-    out = df.select(*keys, "day", *(v.alias(k) for k, v in lagged.items()))
-    return out.select("*", *(v.alias(k) for k, v in calendar_flags(d).items()))
+    return df.select(*keys, "day", "_rn", *(F.coalesce(flag[k], F.lit(False)).alias(k) for k in (*TECHNICAL, *AFTER)))
+
+
+def daily_flags(bars: DataFrame, levels: DataFrame, keys: Sequence[str] = ("symbol",), events: DataFrame | None = None) -> DataFrame:
+    """(keys, day, flags...): the technical flags of the day before, those of AFTER and of the calendar on their day.
+
+    ``events`` (day) names the days of an outside calendar; its flag is ``event_w``.
+    """
+    keys = list(keys)
+    f = Frames(keys)
+    t = technical(bars, levels, keys)
+    out = t.select(*keys, "day", *(F.coalesce(f.lag(k), F.lit(False)).alias(k) for k in TECHNICAL), *AFTER)
+    out = out.select("*", *(v.alias(k) for k, v in calendar_flags(F.date_from_unix_date(F.col("day").cast("int"))).items()))
+    return out if events is None else joins.lookup(out, events.select("day").distinct().withColumn("event_w", F.lit(True)), ["day"], "event_w")
 
 
 def calendar_flags(d: Column) -> dict[str, Column]:
@@ -52,14 +83,17 @@ def calendar_flags(d: Column) -> dict[str, Column]:
     phase = F.pmod(F.unix_date(d).cast("double") + 0.5 - NEW_MOON, F.lit(SYNODIC))
     nxt = F.date_add(d, 1)
     nm, nd, nw = F.month(nxt), F.dayofmonth(nxt), F.weekday(nxt)
-    holiday = ((nm == 7) & (nd == 4)) | ((nm == 12) & (nd == 25)) | ((nm == 1) & (nd == 1)) | ((nm == 11) & (nw == 3) & (nd >= 22) & (nd <= 28)) | ((nm == 5) & (nw == 0) & (nd >= 25)) | ((nm == 9) & (nw == 0) & (nd <= 7))
+    fixed = ((nm == 7) & (nd == 4)) | ((nm == 12) & (nd == 25)) | ((nm == 1) & (nd == 1))
+    moving = ((nm == 11) & (nw == 3) & nd.between(22, 28)) | ((nm == 5) & (nw == 0) & (nd >= 25)) | ((nm == 9) & (nw == 0) & (nd <= 7))
     out = {
         "nov_apr": (month >= 11) | (month <= 4), "january": month == 1, "october": month == 10, "september": month == 9, "monday": dow == 0, "weekend": dow >= 5, "turn_of_month": (day >= 28) | (day <= 2),
-        "santa": ((month == 12) & (day >= 27)) | ((month == 1) & (day <= 2)), "opex_friday": (dow == 4) & (F.month(F.date_add(d, 7)) != month), "pre_holiday": holiday,
-        "new_moon_pm3": (phase <= 3) | (phase >= SYNODIC - 3), "full_moon_pm3": F.abs(phase - SYNODIC / 2) <= 3,
+        "santa": ((month == 12) & (day >= 27)) | ((month == 1) & (day <= 2)), "opex_friday": (dow == 4) & (F.month(F.date_add(d, 7)) != month), "pre_holiday": (fixed | moving) & F.year(nxt).between(*HOLIDAY_YEARS),
+        "new_moon_pm3": (phase <= 3) | (phase >= LATE), "full_moon_pm3": F.abs(phase - FULL) <= 3,
     }
-    out |= {f"halving_yr{k + 1}": F.coalesce(F.floor(since / 365) == k, F.lit(False)) for k in range(4)}
-    return out
+    return out | {f"halving_yr{k + 1}": F.coalesce((since >= 365 * k) & (since < 365 * (k + 1)), F.lit(False)) for k in range(4)}
+
+
+CALENDAR = ["nov_apr", "january", "october", "september", "monday", "weekend", "turn_of_month", "santa", "opex_friday", "pre_holiday", "new_moon_pm3", "full_moon_pm3", "halving_yr1", "halving_yr2", "halving_yr3", "halving_yr4"]
 
 
 def unpivoted(flags: DataFrame, keys: Sequence[str] = ("symbol", "day")) -> DataFrame:
@@ -71,14 +105,3 @@ def session_of_day(ms: Column) -> Column:
     """US for 13 to 21 h UTC, Asia for 0 to 8 h, else other."""
     h = F.hour(F.timestamp_millis(ms))
     return F.when((h >= 13) & (h < 21), "us").when(h < 8, "asia").otherwise("other")
-
-
-#: Flags that FLAG_SQL states.
-CHECKED = ["dip5", "dip10", "above_ma50", "momentum90d", "bb_lower", "bb_upper", "breakout50", "breakout_highvol", "round_number", "engulf_w5", "nov_apr", "january", "monday", "weekend", "turn_of_month", "santa", "opex_friday"]
-FLAG_SQL = f"""fa AS (SELECT *, CASE WHEN count(c) OVER w50 = 50 THEN avg(c) OVER w50 END AS m50, CASE WHEN count(c) OVER w20 = 20 THEN avg(c) OVER w20 END AS m20, CASE WHEN count(c) OVER w20 = 20 THEN stddev_samp(c) OVER w20 END AS s20, c / lag(c) OVER p - 1 AS chg, c / lag(c, 90) OVER p - 1 AS c90,
-      CASE WHEN count(h) OVER b20 = 20 THEN max(h) OVER b20 END AS hi20, CASE WHEN count(h) OVER b50 = 50 THEN max(h) OVER b50 END AS hi50, CASE WHEN count(v) OVER b20 = 20 THEN avg(v) OVER b20 END AS v20, (lag(c) OVER p < lag(o) OVER p AND c > o AND c >= lag(o) OVER p AND o <= lag(c) OVER p) AS eng, DATE '1970-01-01' + day::INT AS d
-      FROM n WINDOW p AS (PARTITION BY symbol ORDER BY rn), w50 AS (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), w20 AS (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), b20 AS (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), b50 AS (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)),
-    fb AS (SELECT symbol, day, rn, d, chg <= -0.05 AS dip5, chg <= -0.10 AS dip10, c > m50 AS above_ma50, c90 > 0 AS momentum90d, c < m20 - 2 * s20 AS bb_lower, c > m20 + 2 * s20 AS bb_upper, c > hi50 AS breakout50, c > hi20 AND v >= 1.5 * v20 AS breakout_highvol, len(list_filter({LEVELS}, lambda q: abs(c / q - 1) < 0.005)) > 0 AS round_number, coalesce(eng, false) AS eng FROM fa),
-    fc AS (SELECT symbol, day, {', '.join(f'coalesce(lag({k}) OVER p, false) AS {k}' for k in CHECKED[:9])}, coalesce(bool_or(eng) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), false) AS engulf_w5,
-      month(d) >= 11 OR month(d) <= 4 AS nov_apr, month(d) = 1 AS january, isodow(d) = 1 AS monday, isodow(d) >= 6 AS weekend, day(d) >= 28 OR day(d) <= 2 AS turn_of_month, (month(d) = 12 AND day(d) >= 27) OR (month(d) = 1 AND day(d) <= 2) AS santa, isodow(d) = 5 AND month(d + 7) <> month(d) AS opex_friday FROM fb WINDOW p AS (PARTITION BY symbol ORDER BY rn)),
-    t AS (SELECT symbol, day, flag, is_on FROM (UNPIVOT fc ON {', '.join(CHECKED)} INTO NAME flag VALUE is_on))"""

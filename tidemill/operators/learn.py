@@ -7,42 +7,110 @@ from collections.abc import Sequence
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.operators import blocks, joins, windows
+from tidemill.operators.smoothing import ewm
 from tidemill.operators.windows import Frames
 
+#: The hourly features, in the order in which models take them.
+HOURLY = [
+    "ret_1h", "vol_24h", "vol_rank", "dist_ma", "ma_slope_24", "price_slope_24", "mom_5", "mom_10", "mom_20", "roc_5", "roc_10", "roc_20", "dist_sma_20", "dist_sma_50", "dist_sma_200",
+    "rsi_14", "macd_hist", "bb_width", "bb_pos", "adxproxy", "chop", "x_volrank_distma", "x_bbw_adx", "hour", "dow",
+]
+#: The minute features of a series itself, and those of the market it is seen against.
+MINUTE = [*(f"m_ret_{n}" for n in (1, 3, 5, 15, 30, 60)), "m_slope_15", "m_slope_60", "m_accel", *(f"m_rvol_{n}" for n in (15, 30, 60)), "m_vspike_15", "m_vspike_60", "m_entrybar_range", "m_whip_60", "m_whip_240", "m_dist_ma"]
+MARKET = ["btc_ret_60", "btc_ret_240", "btc_ret_1440", "btc_vs_sma1d", "btc_slope_240"]
+#: Bars that a series must have before a row for its minute features to count.
+HISTORY = 1500
 
-def hourly_features(bars: DataFrame, keys: list[str], ma: str = "ma") -> DataFrame:
-    """Features of (keys, _rn, ts_ms, c, ma) from the current and earlier bars only; null while their windows fill.
 
-    The share of choppy hours is taken against the median so far, so a row doesn't depend on later ones.
+def hourly_grid(readings: DataFrame, keys: Sequence[str], ms: str, price: str, ma: str) -> DataFrame:
+    """(keys, hour, _rn, c, ma): the last price and average of each hour, carried over hours without one.
+
+    The grid of a series begins with its first hour that has a price. Of readings at one instant the larger counts.
     """
-    f, c = Frames(keys), F.col("c")
-    r1 = F.try_divide(c, f.lag("c")) - 1
-    df = bars.withColumns({"ret_1h": r1, "diff": c - f.lag("c")})
-    df = df.withColumn("vol_24h", f.std(F.col("ret_1h"), 24))
-    width, pos = f.bollinger(c, 20)
-    out = {"vol_rank": f.rank_pct(F.col("vol_24h"), 120), "dist_ma": F.try_divide(c - F.col(ma), F.col(ma)), "ma_slope_24": f.slope(F.col(ma), 24), "price_slope_24": f.slope(c, 24), "rsi_14": f.rsi_simple("diff", 14), "bb_width": width, "bb_pos": pos}
-    out |= {f"mom_{n}": f.change("c", n) for n in (5, 10, 20)}
-    out |= {f"dist_sma_{n}": F.try_divide(c - f.mean(c, n), f.mean(c, n)) for n in (20, 50, 200)}
-    df = df.withColumns(out)
-    t = F.timestamp_millis("ts_ms")
-    chop = F.abs("price_slope_24") < F.percentile(F.abs("price_slope_24"), F.lit(0.5)).over(f.past)
-    return df.withColumns({"chop": chop.cast("double"), "x_volrank_distma": F.col("vol_rank") * F.col("dist_ma"), "hour": F.hour(t), "dow": F.weekday(t.cast("date"))}).drop("diff")
-
-
-def micro_features(bars: DataFrame, keys: list[str]) -> DataFrame:
-    """Short-horizon features of minute bars (keys, _rn, h, l, c, v) as known before the bar: every frame ends one bar back."""
-    f, c = Frames(keys), F.col("c")
-    df = bars.withColumn("r", F.try_divide(c, f.lag("c")) - 1)
-    df = df.withColumn("flip", (F.signum("r") * F.signum(f.lag("r")) < 0).cast("double"))
-    out = {f"m_ret_{n}": F.try_divide(f.lag("c", 1), f.lag("c", n + 1)) - 1 for n in (1, 3, 5, 15, 30, 60)}
-    out |= {f"m_rvol_{n}": F.when(F.count("r").over(f.rows(-n, -1)) == n, F.stddev_pop("r").over(f.rows(-n, -1))) for n in (15, 30, 60)}
-    out |= {f"m_whip_{n}": F.avg("flip").over(f.rows(-n, -1)) for n in (60, 240)}
-    out |= {f"m_vspike_{n}": F.try_divide(F.avg("v").over(f.rows(-n, -1)), F.avg("v").over(f.rows(-1440, -1))) for n in (15, 60)}
-    out["m_range"] = F.try_divide(f.lag("h") - f.lag("l"), f.lag("c"))
-    return df.withColumns(out).drop("r", "flip")
+    keys = list(keys)
+    last = lambda x: F.max_by(x, F.when(F.col(x).isNotNull(), F.struct(ms, x)))
+    by = readings.withColumn("hour", F.floor(F.col(ms) / 3_600_000)).groupBy(*keys, "hour").agg(last(price).alias("c"), last(ma).alias("ma"))
+    first = by.groupBy(*keys).agg(F.min(F.when(F.col("c").isNotNull(), F.col("hour"))).alias("_first"))
+    full = windows.calendar(by, keys, "hour").join(by, [*keys, "hour"], "left").join(first, keys)
+    return blocks.filled(full.where("hour >= _first"), keys, "hour", ["c", "ma"]).withColumn("_rn", F.col("hour") - F.col("_first")).drop("_first")
+
+
+def hourly_features(grid: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, hour, c, HOURLY) of ``hourly_grid``, from the row and earlier ones; null while a window fills.
+
+    An hour is choppy if its volatility is low and its trend weaker than the median of the hours before it, so that no
+    row rests on later ones.
+    """
+    keys = list(keys)
+    rows = ewm(ewm(grid, keys, "c", 12, "_e12"), keys, "c", 26, "_e26").withColumn("_macd", F.col("_e12") - F.col("_e26"))
+    rows = ewm(rows, keys, "_macd", 9, "_sig")
+
+    def fn(df: DataFrame, by: list[str]) -> DataFrame:
+        f, c = Frames(by), F.col("c")
+        df = df.withColumns({"ret_1h": f.change("c"), "_lr": f.log_return("c"), "_d": c - f.lag("c")})
+        width, pos = f.bollinger(c, 20)
+        out = {"vol_24h": f.std(F.col("_lr"), 24), "dist_ma": F.try_divide(c - F.col("ma"), F.col("ma")), "ma_slope_24": f.change("ma", 24), "price_slope_24": f.slope(c, 24), "rsi_14": f.rsi_simple("_d", 14), "bb_width": width, "bb_pos": pos, "macd_hist": F.try_divide(F.col("_macd") - F.col("_sig"), c)}
+        out |= {f"mom_{n}": f.change("c", n) for n in (5, 10, 20)} | {f"roc_{n}": f.change("c", n) for n in (5, 10, 20)}
+        out |= {f"dist_sma_{n}": F.try_divide(c - f.mean(c, n), f.mean(c, n)) for n in (20, 50, 200)}
+        return df.withColumns(out)
+
+    x = blocks.windowed(rows, keys, 200, fn)
+    x = blocks.rank_pct(x, keys, "vol_24h", 720, "vol_rank").withColumn("adxproxy", F.abs("price_slope_24") / (F.col("vol_24h") + 1e-9))
+    x = blocks.expanding_quantiles(x, keys, "_rn", "adxproxy", {"_typical": 0.5}, 1)
+    t = F.timestamp_seconds(F.col("hour") * 3600)
+    chop = F.coalesce((F.col("vol_rank") < 0.4) & (F.col("adxproxy") < F.col("_typical")), F.lit(False)).cast("double")
+    x = x.withColumns({"chop": chop, "x_volrank_distma": F.col("vol_rank") * F.abs("dist_ma"), "x_bbw_adx": F.col("bb_width") * F.col("adxproxy"), "dow": F.weekday(t.cast("date"))})
+    return x.select(*keys, F.col("hour").alias("slot"), "c", *(F.hour(t).alias("hour") if n == "hour" else F.col(n) for n in HOURLY))
+
+
+def _back(by: list[str], minutes: int) -> Column:
+    """The close of the last bar that is at least so many minutes old."""
+    return F.last("c", ignorenulls=True).over(Window.partitionBy(*by).orderBy("minute").rangeBetween(Window.unboundedPreceding, -minutes))
+
+
+def minute_features(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, minute, _next, _rn, MINUTE) of bars (keys, _rn, minute, h, l, c, v, ma) as of each bar's close.
+
+    Look-backs go by the clock, all other windows by bars. The volume of the last 15 or 60 bars, this one left out, is
+    set against that of the 1,440 before this one. Rows with fewer than HISTORY earlier bars are left out.
+    """
+
+    def fn(df: DataFrame, by: list[str]) -> DataFrame:
+        f, c = Frames(by), F.col("c")
+        df = df.withColumns({"_lr": f.log_return("c"), "_above": F.coalesce(c > F.col("ma"), F.lit(False))})
+        df = df.withColumn("_flip", F.coalesce(F.col("_above") != f.lag("_above"), F.lit(False)).cast("int"))
+        day = F.sum("v").over(f.rows(-1440, -1)) / 1440.0 + 1e-9
+        out = {f"m_ret_{n}": F.try_divide(c, _back(by, n)) - 1 for n in (1, 3, 5, 15, 30, 60)}
+        out |= {"m_slope_15": f.slope(c, 16), "m_slope_60": f.slope(c, 61)} | {f"m_rvol_{n}": f.gated(F.stddev_pop, F.col("_lr"), n) for n in (15, 30, 60)}
+        out |= {f"m_vspike_{n}": F.sum("v").over(f.rows(-n, -1)) / float(n) / day for n in (15, 60)}
+        out |= {"m_entrybar_range": F.try_divide(F.col("h") - F.col("l"), c), "m_dist_ma": F.try_divide(c, F.col("ma")) - 1} | {f"m_whip_{n}": F.sum("_flip").over(f.rows(-(n - 1))).cast("bigint") for n in (60, 240)}
+        return df.withColumns(out).withColumn("m_accel", F.col("m_slope_15") - F.col("m_slope_60")).select(*by, "minute", f.lead("minute").alias("_next"), "_rn", *MINUTE)
+
+    return blocks.windowed(bars, list(keys), 1441, fn, 1).where(F.col("_rn") >= HISTORY)
+
+
+def market_features(market: DataFrame) -> DataFrame:
+    """(minute, MARKET) of the bars (_rn, minute, c) of the series that stands for the market."""
+
+    def fn(df: DataFrame, by: list[str]) -> DataFrame:
+        f, c = Frames(by), F.col("c")
+        mean = f.mean(c, 1441)
+        out = {f"btc_ret_{n}": F.try_divide(c, _back(by, n)) - 1 for n in (60, 240, 1440)} | {"btc_vs_sma1d": F.try_divide(c, mean) - 1, "btc_slope_240": f.slope(c, 241)}
+        return df.withColumns(out).select(*by, "minute", "_rn", *MARKET)
+
+    return blocks.windowed(market.withColumn("_m", F.lit(0)), ["_m"], 1441, fn).where(F.col("_rn") >= HISTORY).select("minute", *MARKET)
+
+
+def micro_features(bars: DataFrame, keys: Sequence[str], market: DataFrame) -> DataFrame:
+    """(keys, minute, MINUTE, MARKET): what is known before each bar: the features as of the bar before it, and those of
+    the market as of then, at most a day old."""
+    own = minute_features(bars, keys)
+    seen = joins.asof_backward(own, market_features(market), [], "minute", MARKET, lookback=1440).drop("asof_minute")
+    return seen.where("_next IS NOT NULL").select(*keys, F.col("_next").alias("minute"), *MINUTE, *MARKET)
 
 
 def next_period_target(df: DataFrame, keys: Sequence[str], order: str, x: str, name: str = "target") -> DataFrame:

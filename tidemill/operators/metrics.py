@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.operators import blocks
+
 
 def _past(keys: Sequence[str], order: str):
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -135,9 +137,9 @@ def concentration(years: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def pairwise_corr(wide_rows: DataFrame, member: str, time: str, x: str, least: int = 3) -> DataFrame:
     """(a, b, n, corr) of each pair of members over the times that both have; members are few (symbols, configurations)."""
-    a = wide_rows.select(F.col(time), F.col(member).alias("a"), F.col(x).alias("_x"))
-    b = wide_rows.select(F.col(time), F.col(member).alias("b"), F.col(x).alias("_y"))
-    return a.join(b, time).where("a < b").groupBy("a", "b").agg(F.count(F.col("_x") + F.col("_y")).alias("n"), F.corr("_x", "_y").alias("corr")).where(F.col("n") >= least)
+    a = wide_rows.select(F.col(time).alias("_t"), F.col(member).alias("a"), F.col(x).alias("_x"))
+    b = wide_rows.select(F.col(time).alias("_s"), F.col(member).alias("b"), F.col(x).alias("_y"))
+    return a.join(b, (F.col("_t") == F.col("_s")) & (F.col("a") < F.col("b"))).groupBy("a", "b").agg(F.count(F.col("_x") + F.col("_y")).alias("n"), F.corr("_x", "_y").alias("corr")).where(F.col("n") >= least)
 
 
 def rebased(closes: DataFrame, keys: Sequence[str], day: str, c: str, base: float = 10_000.0) -> DataFrame:
@@ -165,9 +167,8 @@ def vol_target_leverage(daily: DataFrame, keys: Sequence[str], day: str, r: str,
 
     The target is the median of the volatilities so far, not of the whole sample, so no future enters.
     """
-    w = Window.partitionBy(*keys).orderBy(day)
-    f, past = w.rowsBetween(-window, -1), w.rowsBetween(Window.unboundedPreceding, 0)
-    vol = daily.withColumn("_vol", F.when(F.count(r).over(f) == window, F.stddev_samp(r).over(f) * 365**0.5))
-    target = F.when(F.count("_vol").over(past) >= least, F.percentile("_vol", F.lit(0.5)).over(past))
-    raw = F.try_divide(target, F.nullif("_vol", F.lit(0.0)))
-    return vol.withColumn("leverage", F.when(raw.isNotNull(), F.least(F.greatest(raw, F.lit(lo)), F.lit(hi)))).drop("_vol")
+    w = Window.partitionBy(*keys).orderBy(day).rowsBetween(-window, -1)
+    vol = daily.withColumn("_vol", F.when(F.count(r).over(w) == window, F.stddev_samp(r).over(w) * 365**0.5))
+    aimed = blocks.expanding_quantiles(vol, keys, day, "_vol", {"_target": 0.5}, least, inclusive=True)
+    raw = F.try_divide("_target", F.nullif("_vol", F.lit(0.0)))
+    return aimed.withColumn("leverage", F.when(raw.isNotNull(), F.least(F.greatest(raw, F.lit(lo)), F.lit(hi)))).drop("_vol", "_target")

@@ -58,14 +58,6 @@ class Frames:
     def lowest(self, x: Column, n: int, shift: int = 0) -> Column:
         return self.gated(F.min, x, n, shift)
 
-    def rank_pct(self, x: Column, n: int) -> Column:
-        """Rank of the current value among the last n, as a share; ties get their average rank."""
-        f = self.rows(-(n - 1))
-        seen = F.collect_list(x).over(f)
-        below = F.size(F.filter(seen, lambda v: v < x))
-        same = F.size(F.filter(seen, lambda v: v == x))
-        return F.when(F.count(x).over(f) == n, (below + (same + 1) / 2) / n)
-
     def slope(self, x: Column, n: int, at: str = "_rn") -> Column:
         """Least-squares slope of (x - x0) / x0 on 0..n-1, x0 the first value of the frame."""
         f = self.rows(-(n - 1))
@@ -90,8 +82,8 @@ class Frames:
 
     def rsi_simple(self, diff: str, n: int = 14) -> Column:
         d = F.col(diff)
-        up, down = self.mean(F.greatest(d, F.lit(0.0)), n), self.mean(F.greatest(-d, F.lit(0.0)), n)
-        return 100 - F.try_divide(F.lit(100.0), 1 + F.try_divide(up, down))
+        up, down = (self.mean(F.when(d.isNotNull(), F.greatest(x, F.lit(0.0))), n) for x in (d, -d))
+        return 100 - F.try_divide(F.lit(100.0), 1 + F.try_divide(up, F.nullif(down, F.lit(0.0))))
 
     def efficiency(self, c: str, step: str, n: int) -> Column:
         """|c - c[n back]| over the sum of the absolute steps between."""
@@ -120,17 +112,6 @@ class Frames:
         frame = self.by.rangeBetween(-days, 0 if inclusive else -1)
         return F.coalesce(F.max(event.cast("int")).over(frame) == 1, F.lit(False))
 
-    # ---- expanding ----------------------------------------------------------------------------------------------
-
-    def expanding_quantile(self, x: Column, p: float, least: int) -> Column:
-        """Exact quantile of all earlier rows, null until there are ``least`` values."""
-        return F.when(F.count(x).over(self.past) >= least, F.percentile(x, F.lit(p)).over(self.past))
-
-    def tercile(self, x: Column, least: int) -> Column:
-        """0, 1, 2 by the terciles of the earlier rows."""
-        lo, hi = self.expanding_quantile(x, 1 / 3, least), self.expanding_quantile(x, 2 / 3, least)
-        return F.when(lo.isNull() | x.isNull(), None).when(x <= lo, 0).when(x <= hi, 1).otherwise(2)
-
     # ---- fills --------------------------------------------------------------------------------------------------
 
     def ffill(self, x: Column | str) -> Column:
@@ -140,6 +121,11 @@ class Frames:
         return F.first(x, ignorenulls=True).over(self.by.rowsBetween(0, Window.unboundedFollowing))
 
 
+def tercile(x: Column, lo: Column, hi: Column) -> Column:
+    """0, 1, 2 by two bounds; null without a value or a bound."""
+    return F.when(lo.isNull() | x.isNull(), None).when(x <= lo, 0).when(x <= hi, 1).otherwise(2)
+
+
 def ohlcv(df: DataFrame, keys: Sequence[str], bucket: Column, order: Column, price: str, volume: Column, name: str = "bucket") -> DataFrame:
     """Ticks to bars: open and close by ``order``, which must break all ties."""
     rows = df.withColumn(name, bucket).withColumn("_ord", order)

@@ -7,12 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.operators import flags, grids, learn, stats
-from tidemill.operators.windows import Frames
+from tidemill.operators import grids, learn, stats
 from tidemill.plans.metric_queries import P, RUN, closed
 from tidemill.plans.registry import CORE
-from tidemill.plans.series import D, E, bars, daily, numbered, r
-from tidemill.plans.stat_queries import FX, features
+from tidemill.plans.panel_queries import hourly
+from tidemill.plans.series import E, r
 from tidemill.session import cut, shared_folder, table
 from tidemill.streaming import bars as streams
 
@@ -43,45 +42,13 @@ def tick_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return streams.sessions(ticks(spark, sf, False), "2 hours")
 
 
-@CORE.query("flag_battery", f"""WITH {FX}, {flags.FLAG_SQL}, o AS (SELECT t.symbol, t.day, t.flag, t.is_on, fx.y FROM t JOIN fx USING (symbol, day) WHERE fx.y IS NOT NULL)
-    SELECT flag, coalesce(count_if(is_on), 0)::BIGINT AS n_on, coalesce(count_if(NOT is_on), 0)::BIGINT AS n_off, round(avg(CASE WHEN is_on THEN y END) - avg(CASE WHEN NOT is_on THEN y END), 8) + 0.0 AS diff FROM o GROUP BY flag""")
-def flag_battery(spark: SparkSession, sf: str) -> DataFrame:
-    """Next-day return with each flag less without it, all flags in one pass over the unpivoted matrix."""
-    t = flags.unpivoted(flags.daily_flags(numbered(daily(spark, sf))))
-    o = t.where(F.col("flag").isin(*flags.CHECKED)).join(features(spark, sf).select("symbol", "day", "y"), ["symbol", "day"]).where("y IS NOT NULL")
-    on = F.col("is_on")
-    return o.groupBy("flag").agg(F.count_if(on).alias("n_on"), F.count_if(~on).alias("n_off"), (r(F.avg(F.when(on, F.col("y"))) - F.avg(F.when(~on, F.col("y"))), 8) + 0.0).alias("diff"))
-
-
-@CORE.query("flag_matrix")
-def flag_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return flags.unpivoted(flags.daily_flags(numbered(daily(spark, sf)))).groupBy("flag").agg(F.count("*").alias("days"), F.count_if("is_on").alias("days_on"))
-
-
-def _panel(spark: SparkSession, sf: str) -> DataFrame:
-    h = bars(spark, sf, "60m").where("c > 0 AND c < 1e9").withColumn("day", F.floor(F.col("ts_ms") / 3_600_000))
-    n = numbered(h)
-    return n.withColumn("ma", Frames(["symbol"]).mean(F.col("c"), 24, 1))
-
-
-@CORE.query("hourly_feature_panel")
-def hourly_feature_panel(spark: SparkSession, sf: str) -> DataFrame:
-    return learn.hourly_features(_panel(spark, sf), ["symbol"])
-
-
-@CORE.query("micro_feature_panel")
-def micro_feature_panel(spark: SparkSession, sf: str) -> DataFrame:
-    m = bars(spark, sf, "1m").where("c > 0 AND c < 1e9").withColumn("day", F.floor(F.col("ts_ms") / 60_000))
-    return learn.micro_features(numbered(m), ["symbol"])
-
-
 LEARNED = ["ret_1h", "vol_24h", "dist_ma", "price_slope_24", "rsi_14", "bb_width", "bb_pos", "mom_5"]
 
 
 def _folded(spark: SparkSession, sf: str) -> DataFrame:
-    x = learn.next_period_target(learn.hourly_features(_panel(spark, sf), ["symbol"]), ["symbol"], "_rn", "ret_1h")
-    rows = x.na.drop(subset=[*LEARNED, "target"]).select("symbol", "ts_ms", "target", *LEARNED)
-    return cut(grids.folds(rows, ["symbol"], ["ts_ms"], 3))  # models pass over it many times
+    x = learn.next_period_target(hourly(spark, sf), RUN, "slot", "ret_1h")
+    rows = x.na.drop(subset=[*LEARNED, "target"]).select(*RUN, "slot", "target", *LEARNED)
+    return cut(grids.folds(rows, RUN, ["slot"], 3))  # models pass over it many times
 
 
 @CORE.query("walk_forward_scores")
@@ -103,7 +70,7 @@ def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
     model = learn._fit("logistic", rows.where("fold < 3"), LEARNED, "target", 0)
     test, out = rows.where("fold = 3"), None
     for f in ["", *LEARNED]:
-        x = learn.permuted(test, f, ["symbol", "ts_ms"]) if f else test
+        x = learn.permuted(test, f, [*RUN, "slot"]) if f else test
         s = learn.predict(model, x, LEARNED).select(F.lit(f or "none").alias("feature"), "p", "target")
         out = s if out is None else out.unionByName(s)
     return stats.cliffs_delta(out, ["feature"], "p", "target", 1).select("feature", "auc")

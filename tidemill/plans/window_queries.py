@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.operators import blocks, windows
+from tidemill.operators import blocks, smoothing, windows
 from tidemill.operators.regular_grid import epoch_ms
 from tidemill.operators.windows import Frames
 from tidemill.plans.registry import CORE
@@ -151,7 +151,7 @@ def rolling_stats(spark: SparkSession, sf: str) -> DataFrame:
     SELECT symbol, day, round(CASE WHEN k = 20 THEN (lo + (eq + 1) / 2) / 20 END, 6) AS pct FROM p""",
 )
 def roll_rank_pct(spark: SparkSession, sf: str) -> DataFrame:
-    return rolled(daily(spark, sf), lambda df, keys: df.select("symbol", "day", "_rn", "_block", r(Frames(keys).rank_pct(F.col("c"), 20)).alias("pct")), 20).drop("_rn")
+    return blocks.rank_pct(numbered(daily(spark, sf)), ["symbol"], "c", 20, "pct").select("symbol", "day", r("pct").alias("pct"))
 
 
 @CORE.query(
@@ -176,55 +176,40 @@ def roll_corr_beta(spark: SparkSession, sf: str) -> DataFrame:
     return rolled(daily(spark, sf), fn, 31).drop("_rn")
 
 
-def _ewm_sql(cte: str, x: str, alpha: float, start: str) -> str:
-    return f"{cte} AS (SELECT symbol, rn, {start}::DOUBLE AS e FROM n WHERE rn = 0 UNION ALL SELECT n.symbol, n.rn, p.e * {1 - alpha} + {x} FROM {cte} p JOIN n ON n.symbol = p.symbol AND n.rn = p.rn + 1)"
+def ewm_sql(cte: str, x: str, alpha: float, start: str, src: str = "n") -> str:
+    """Recursion e = (1 - alpha) e + x along rn; ``x`` may name the row as n."""
+    return f"{cte} AS (SELECT symbol, rn, {start}::DOUBLE AS e FROM {src} WHERE rn = 0 UNION ALL SELECT n.symbol, n.rn, p.e * {1 - alpha} + {x} FROM {cte} p JOIN {src} n ON n.symbol = p.symbol AND n.rn = p.rn + 1)"
 
 
 @CORE.query(
     "ewm_macd",
-    f"""WITH RECURSIVE {D}, {_ewm_sql('fast', f'{2 / 13} * n.c', 2 / 13, 'c')}, {_ewm_sql('slow', f'{2 / 27} * n.c', 2 / 27, 'c')}, {_ewm_sql('num', 'n.c', 2 / 13, 'c')}, {_ewm_sql('den', '1', 2 / 13, '1')}
+    f"""WITH RECURSIVE {D}, {ewm_sql('fast', f'{2 / 13} * n.c', 2 / 13, 'c')}, {ewm_sql('slow', f'{2 / 27} * n.c', 2 / 27, 'c')}, {ewm_sql('num', 'n.c', 2 / 13, 'c')}, {ewm_sql('den', '1', 2 / 13, '1')}
     SELECT n.symbol, n.day, round(fast.e - slow.e, 8) AS macd, round(num.e / den.e, 8) AS ewm_adjusted FROM n JOIN fast USING (symbol, rn) JOIN slow USING (symbol, rn) JOIN num USING (symbol, rn) JOIN den USING (symbol, rn)""",
 )
 def ewm_macd(spark: SparkSession, sf: str) -> DataFrame:
     """Exponential means of span 12 and 26 from the first value on, and the one of span 12 with adjusted weights."""
-    first = F.col("_rn") == 0
-    y = {"one": F.lit(1.0), "y12": F.when(first, F.col("c")).otherwise(2 / 13 * F.col("c")), "y26": F.when(first, F.col("c")).otherwise(2 / 27 * F.col("c"))}
-    of = {"fast": ("y12", 11 / 13), "slow": ("y26", 25 / 27), "num": ("c", 11 / 13), "den": ("one", 11 / 13)}
-    df = blocks.recurrences(numbered(daily(spark, sf)).withColumns(y), ["symbol"], of)
-    return df.select("symbol", "day", r(F.col("fast") - F.col("slow"), 8).alias("macd"), r(F.col("num") / F.col("den"), 8).alias("ewm_adjusted"))
-
-
-def _wilder(df: DataFrame, of: dict[str, str], n: int) -> DataFrame:
-    """Smoothing of each ``name: x``: s[n-1] = mean of the first n values (nulls count as 0), then s = s + (x - s) / n."""
-    seed = Frames(["symbol"]).rows(-(n - 1))
-    x = {k: F.coalesce(F.col(v), F.lit(0.0)) for k, v in of.items()}
-    y = {f"_y_{k}": F.when(F.col("_rn") == n - 1, F.sum(v).over(seed) / n).when(F.col("_rn") >= n, v / n).otherwise(0.0) for k, v in x.items()}
-    out = blocks.recurrences(df.withColumns(y), ["symbol"], {k: (f"_y_{k}", 1 - 1 / n) for k in of})
-    return out.withColumns({k: F.when(F.col("_rn") >= n - 1, F.col(k)) for k in of}).drop(*y)
+    df = numbered(daily(spark, sf))
+    for fn, span, name in ((smoothing.ewm, 12, "fast"), (smoothing.ewm, 26, "slow"), (smoothing.ewm_adjusted, 12, "adjusted")):
+        df = fn(df, ["symbol"], "c", span, name)
+    return df.select("symbol", "day", r(F.col("fast") - F.col("slow"), 8).alias("macd"), r("adjusted", 8).alias("ewm_adjusted"))
 
 
-def _wilder_sql(name: str, x: str, n: int = 14) -> str:
-    return f"{name} AS (SELECT symbol, {n - 1}::BIGINT AS rn, sum(coalesce({x}, 0)) / {n} AS e FROM m WHERE rn < {n} GROUP BY symbol HAVING count(*) = {n} UNION ALL SELECT m.symbol, m.rn, p.e * {1 - 1 / n} + coalesce(m.{x}, 0) / {n} FROM {name} p JOIN m ON m.symbol = p.symbol AND m.rn = p.rn + 1)"
+def wilder_sql(name: str, x: str, src: str = "m", n: int = 14) -> str:
+    """Seeded in row n with the mean of the differences of rows 1 to n."""
+    return f"{name} AS (SELECT symbol, {n}::BIGINT AS rn, sum(coalesce({x}, 0)) / {n} AS e FROM {src} WHERE rn BETWEEN 1 AND {n} GROUP BY symbol HAVING count(*) = {n} UNION ALL SELECT s.symbol, s.rn, p.e * {1 - 1 / n} + coalesce(s.{x}, 0) / {n} FROM {name} p JOIN {src} s ON s.symbol = p.symbol AND s.rn = p.rn + 1)"
 
 
 @CORE.query(
     "wilder_atr_rsi_adx",
-    f"""WITH RECURSIVE {D}, m0 AS (SELECT symbol, day, rn, c, greatest(h, lag(c) OVER p) - least(l, lag(c) OVER p) AS tr0, h - lag(h) OVER p AS up, lag(l) OVER p - l AS dn, c - lag(c) OVER p AS dc FROM n WINDOW p AS (PARTITION BY symbol ORDER BY rn)),
-    m AS (SELECT symbol, day, rn, c, CASE WHEN rn > 0 THEN tr0 END AS tr, CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END AS pdm, CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0 END AS mdm, greatest(dc, 0) AS gain, greatest(-dc, 0) AS loss FROM m0),
-    {_wilder_sql('atr', 'tr')}, {_wilder_sql('wp', 'pdm')}, {_wilder_sql('wm', 'mdm')}, {_wilder_sql('wg', 'gain')}, {_wilder_sql('wl', 'loss')}
-    SELECT m.symbol, m.day, round(atr.e / m.c * 100, 5) AS atr_pct, round(100 - 100 / (1 + wg.e / nullif(wl.e, 0)), 5) AS rsi, round(100 * abs(wp.e - wm.e) / nullif(wp.e + wm.e, 0), 5) AS dx
-    FROM m LEFT JOIN atr USING (symbol, rn) LEFT JOIN wp USING (symbol, rn) LEFT JOIN wm USING (symbol, rn) LEFT JOIN wg USING (symbol, rn) LEFT JOIN wl USING (symbol, rn)""",
+    f"""WITH RECURSIVE {D}, m AS (SELECT symbol, day, rn, c, greatest(h, lag(c) OVER p) - least(l, lag(c) OVER p) AS tr, h - lag(h) OVER p AS up, lag(l) OVER p - l AS dn, CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END AS pdm, CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0 END AS mdm, greatest(c - lag(c) OVER p, 0) AS gain, greatest(lag(c) OVER p - c, 0) AS loss FROM n WINDOW p AS (PARTITION BY symbol ORDER BY rn)),
+    {wilder_sql('atr', 'tr')}, {wilder_sql('wp', 'pdm')}, {wilder_sql('wm', 'mdm')}, {wilder_sql('wg', 'gain')}, {wilder_sql('wl', 'loss')},
+    dx AS (SELECT m.symbol, m.rn, CASE WHEN atr.e > 0 THEN 100 * abs(wp.e - wm.e) / nullif(wp.e + wm.e, 0) END AS dx FROM m LEFT JOIN atr USING (symbol, rn) LEFT JOIN wp USING (symbol, rn) LEFT JOIN wm USING (symbol, rn)), {wilder_sql('adx', 'dx', 'dx')}
+    SELECT m.symbol, m.day, round(atr.e / m.c, 7) AS atrp, round(100 - 100 / (1 + wg.e / nullif(wl.e, 0)), 5) AS rsi, round(adx.e, 5) AS adx
+    FROM m LEFT JOIN atr USING (symbol, rn) LEFT JOIN adx USING (symbol, rn) LEFT JOIN wg USING (symbol, rn) LEFT JOIN wl USING (symbol, rn)""",
 )
 def wilder_atr_rsi_adx(spark: SparkSession, sf: str) -> DataFrame:
-    f = Frames(["symbol"])
-    df = numbered(daily(spark, sf))
-    up, down = windows.directional_moves(f)
-    dc = F.col("c") - f.lag("c")
-    df = df.withColumns({"tr": F.when(F.col("_rn") > 0, windows.true_range(f)), "pdm": up, "mdm": down, "gain": F.greatest(F.coalesce(dc, F.lit(0.0)), F.lit(0.0)), "loss": F.greatest(F.coalesce(-dc, F.lit(0.0)), F.lit(0.0))})
-    df = _wilder(df, {"atr": "tr", "wp": "pdm", "wm": "mdm", "wg": "gain", "wl": "loss"}, 14)
-    rsi = 100 - F.try_divide(F.lit(100.0), 1 + F.try_divide("wg", F.nullif("wl", F.lit(0.0))))
-    dx = F.try_divide(100 * F.abs(F.col("wp") - F.col("wm")), F.nullif(F.col("wp") + F.col("wm"), F.lit(0.0)))
-    return df.select("symbol", "day", r(F.col("atr") / F.col("c") * 100, 5).alias("atr_pct"), r(rsi, 5).alias("rsi"), r(dx, 5).alias("dx"))
+    df = smoothing.rsi_wilder(smoothing.adx(numbered(daily(spark, sf)), ["symbol"]), ["symbol"])
+    return df.select("symbol", "day", r(F.col("atr") / F.col("c"), 7).alias("atrp"), r("rsi", 5).alias("rsi"), r("adx", 5).alias("adx"))
 
 
 @CORE.query(
@@ -235,11 +220,7 @@ def wilder_atr_rsi_adx(spark: SparkSession, sf: str) -> DataFrame:
 def rsi_simple(spark: SparkSession, sf: str) -> DataFrame:
     def fn(df, keys):
         f = Frames(keys)
-        df = df.withColumn("x", F.col("c") - f.lag("c"))
-        x = F.col("x")
-        up = f.mean(F.when(x.isNotNull(), F.greatest(x, F.lit(0.0))), 14)
-        down = f.mean(F.when(x.isNotNull(), F.greatest(-x, F.lit(0.0))), 14)
-        return df.select("symbol", "day", "_rn", "_block", r(100 - F.try_divide(F.lit(100.0), 1 + F.try_divide(up, F.nullif(down, F.lit(0.0)))), 5).alias("rsi"))
+        return df.withColumn("x", F.col("c") - f.lag("c")).select("symbol", "day", "_rn", "_block", r(f.rsi_simple("x", 14), 5).alias("rsi"))
 
     return rolled(daily(spark, sf), fn, 15).drop("_rn")
 
@@ -259,15 +240,15 @@ def efficiency_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 @CORE.query(
     "bollinger",
-    f"""WITH {D}, q AS (SELECT symbol, day, c, ln(1 + v) AS lv, CASE WHEN count(c) OVER w = 20 THEN avg(c) OVER w END AS m, CASE WHEN count(c) OVER w = 20 THEN stddev_samp(c) OVER w END AS s,
-      CASE WHEN count(*) OVER x = 30 THEN avg(ln(1 + v)) OVER x END AS vm, CASE WHEN count(*) OVER x = 30 THEN stddev_samp(ln(1 + v)) OVER x END AS vs FROM n WINDOW {w(20)}, {w(30, 0, 'x')})
+    f"""WITH {D}, q AS (SELECT symbol, day, c, CASE WHEN v > 0 THEN ln(v) END AS lv, CASE WHEN count(c) OVER w = 20 THEN avg(c) OVER w END AS m, CASE WHEN count(c) OVER w = 20 THEN stddev_samp(c) OVER w END AS s,
+      CASE WHEN count(CASE WHEN v > 0 THEN 1 END) OVER x = 30 THEN avg(CASE WHEN v > 0 THEN ln(v) END) OVER x END AS vm, CASE WHEN count(CASE WHEN v > 0 THEN 1 END) OVER x = 30 THEN stddev_samp(CASE WHEN v > 0 THEN ln(v) END) OVER x END AS vs FROM n WINDOW {w(20)}, {w(30, 0, 'x')})
     SELECT symbol, day, round(4 * s / m, 5) AS bb_width, round((c - (m - 2 * s)) / nullif(4 * s, 0), 5) AS bb_pos, round((lv - vm) / nullif(vs, 0), 5) AS vol_z FROM q""",
 )
 def bollinger(spark: SparkSession, sf: str) -> DataFrame:
     def fn(df, keys):
         f = Frames(keys)
         width, pos = f.bollinger(F.col("c"), 20)
-        return df.select("symbol", "day", "_rn", "_block", r(width, 5).alias("bb_width"), r(pos, 5).alias("bb_pos"), r(f.zscore(F.log(1 + F.col("v")), 30), 5).alias("vol_z"))
+        return df.select("symbol", "day", "_rn", "_block", r(width, 5).alias("bb_width"), r(pos, 5).alias("bb_pos"), r(f.zscore(F.log(F.when(F.col("v") > 0, F.col("v"))), 30), 5).alias("vol_z"))
 
     return rolled(daily(spark, sf), fn, 30).drop("_rn")
 
@@ -328,8 +309,9 @@ def post_event_window(spark: SparkSession, sf: str) -> DataFrame:
     SELECT symbol, day, CASE WHEN k < 30 THEN NULL WHEN c <= lo THEN 0 WHEN c <= hi THEN 1 ELSE 2 END AS tercile, round(CASE WHEN k >= 30 THEN med END, 6) AS median, coalesce(k >= 30 AND c > q80, false) AS above_q80 FROM x""",
 )
 def expanding_tercile(spark: SparkSession, sf: str) -> DataFrame:
-    f, c = Frames(["symbol"], "day"), F.col("c")
-    return daily(spark, sf).select("symbol", "day", f.tercile(c, 30).alias("tercile"), r(f.expanding_quantile(c, 0.5, 30)).alias("median"), F.coalesce(c > f.expanding_quantile(c, 0.8, 30), F.lit(False)).alias("above_q80"))
+    c = F.col("c")
+    q = blocks.expanding_quantiles(daily(spark, sf), ["symbol"], "day", "c", {"lo": 1 / 3, "hi": 2 / 3, "med": 0.5, "q80": 0.8}, 30)
+    return q.select("symbol", "day", windows.tercile(c, F.col("lo"), F.col("hi")).alias("tercile"), r("med").alias("median"), F.coalesce(c > F.col("q80"), F.lit(False)).alias("above_q80"))
 
 
 @CORE.query(
