@@ -103,6 +103,37 @@ def signals(b: Bars, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
     return signal, live
 
 
+class Tally:
+    """Running measures of K accounts, taken at every close: what a sweep keeps instead of the trades themselves."""
+
+    def __init__(self, k: int, start: float, month: np.ndarray) -> None:
+        self.start, self.month = start, month
+        self.trades, self.stops, self.liquidated, self.months, self.green = (np.zeros(k, np.int64) for _ in range(5))
+        self.last, self.top, self.fall = np.full(k, np.nan), np.full(k, -np.inf), np.zeros(k)
+        self.at, self.end = np.full(k, -1, np.int64), np.full(k, np.nan)
+
+    def add(self, q: np.ndarray, i: int, bal: np.ndarray, reason: int) -> None:
+        self._turn(q[(self.at[q] >= 0) & (self.at[q] != self.month[i])])
+        self.at[q], self.last[q] = self.month[i], bal
+        self.trades[q] += reason != 3
+        self.liquidated[q] += reason == 3
+        self.stops[q] += reason == 0
+        self.top[q] = np.maximum(self.top[q], bal)
+        self.fall[q] = np.maximum(self.fall[q], 1 - bal / np.where(self.top[q] > 0, self.top[q], 1.0))
+
+    def _turn(self, q: np.ndarray) -> None:
+        """The months of these accounts are over."""
+        known = ~np.isnan(self.end[q])
+        self.months[q] += known
+        self.green[q] += known & (self.last[q] > np.nan_to_num(self.end[q]))
+        self.end[q] = self.last[q]
+
+    def columns(self) -> list[np.ndarray]:
+        self._turn(np.flatnonzero(self.at >= 0))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return [self.trades, self.last / self.start, self.fall * 100, self.stops / np.where(self.trades > 0, self.trades, np.nan), self.green / np.where(self.months > 0, self.months, np.nan) * 100, self.liquidated]
+
+
 @dataclass
 class _Book:
     """State of K configurations. ``stop``, ``liq``, ``rung`` and ``trail`` are prices times the direction."""
@@ -123,18 +154,20 @@ class _Book:
         self.tpd, self.ntp, self.sltp = np.zeros(k), np.zeros(k, np.int64), np.zeros(k, np.int64)
         self.streak, self.until = np.zeros(k, np.int64), np.full(k, -1, np.int64)
         self.closed: list[tuple[np.ndarray, ...]] = []
+        self.tally: Tally | None = None
 
 
-def replay(b: Bars, cfg: dict[str, np.ndarray], start: float = 10_000.0, floor: int = 0, rules: Rules = Rules(), schedule: dict[str, np.ndarray] | None = None, breaker: Breaker | None = None, stop_at: int | None = None, daily: int = 0) -> tuple[list[np.ndarray], np.ndarray | None, np.ndarray]:
+def replay(b: Bars, cfg: dict[str, np.ndarray], start: float = 10_000.0, floor: int = 0, rules: Rules = Rules(), schedule: dict[str, np.ndarray] | None = None, breaker: Breaker | None = None, stop_at: int | None = None, daily: int = 0, tally: Tally | None = None) -> tuple[list[np.ndarray], np.ndarray | None, np.ndarray]:
     """(columns of POSITION with the place in ``cfg`` for config_id, equity by day, throttled days) of all configurations.
 
     ``floor`` is the least bar number that trades, ``stop_at`` the first that no longer does. ``schedule`` gives
     SCHEDULED parameters as (row, configuration) matrices, rows named by ``b.day``. With ``daily`` days the equity,
     marked to the close, is kept as of each day's last bar (NaN for a day without one); on a bar without an average it
-    is the balance.
+    is the balance. With a ``tally`` the closes go there and no positions are kept.
     """
     k = len(cfg["lev"])
     a = _Book(k, start)
+    a.tally = tally
     signal, live = signals(b, rules)
     n = len(b.c) if stop_at is None else min(stop_at, len(b.c))
     equity = np.full((daily, k), np.nan) if daily else None
@@ -189,7 +222,7 @@ def _manage(a: _Book, i: int, b: Bars, cfg: dict, rules: Rules, sig: int, traili
         q = j[dead]
         if len(q):
             a.bal[q] = np.maximum(a.bal[q] - a.rem[q] / a.qty[q] * a.bal0[q], 0.0)
-            _close(a, q, b.ts[i], a.pos[q] * a.liq[q], 3)
+            _close(a, q, i, b.ts[i], a.pos[q] * a.liq[q], 3)
         j = j[~dead]
     hit = worst[j] <= level[j]
     q = j[hit]
@@ -198,7 +231,7 @@ def _manage(a: _Book, i: int, b: Bars, cfg: dict, rules: Rules, sig: int, traili
         _fill(a, q, price, a.rem[q], cfg)
         if breaker is not None:
             _count(a, q, (price - a.entry[q]) * a.pos[q] <= 0, b.day[i], breaker)
-        _close(a, q, b.ts[i], price, 0)
+        _close(a, q, i, b.ts[i], price, 0)
     j = j[~hit]
     q = j[best[j] >= a.rung[j]]
     while len(q):
@@ -212,7 +245,7 @@ def _manage(a: _Book, i: int, b: Bars, cfg: dict, rules: Rules, sig: int, traili
         a.rung[q] = np.where(a.hit[q] < a.ntp[q], a.pos[q] * (a.entry[q] * (1 + a.pos[q] * a.tpd[q] * (a.hit[q] + 1))), np.inf)
         gone = a.rem[q] <= rules.dust
         if gone.any():
-            _close(a, q[gone], b.ts[i], price[gone], 1)
+            _close(a, q[gone], i, b.ts[i], price[gone], 1)
             q = q[~gone]
         q = q[best[q] >= a.rung[q]]
     if sig:
@@ -222,7 +255,7 @@ def _manage(a: _Book, i: int, b: Bars, cfg: dict, rules: Rules, sig: int, traili
             _fill(a, q, np.full(len(q), b.c[i]), a.rem[q], cfg)
             if breaker is not None:
                 _count(a, q, a.bal[q] < before, b.day[i], breaker)
-            _close(a, q, b.ts[i], np.full(len(q), b.c[i]), 2)
+            _close(a, q, i, b.ts[i], np.full(len(q), b.c[i]), 2)
             reversed_[q] = True
     return reversed_
 
@@ -237,8 +270,11 @@ def _fill(a: _Book, q: np.ndarray, price: np.ndarray, amount: np.ndarray, cfg: d
     a.rem[q] -= amount
 
 
-def _close(a: _Book, q: np.ndarray, t: int, price: np.ndarray, reason: int) -> None:
-    a.closed.append((q, a.opened[q], np.full(len(q), t, np.int64), a.pos[q], a.entry[q], price, a.qty[q], a.bal[q] - a.bal0[q], a.bal[q], np.full(len(q), reason), a.lev[q], a.risk[q], a.es[q]))
+def _close(a: _Book, q: np.ndarray, i: int, t: int, price: np.ndarray, reason: int) -> None:
+    if a.tally is not None:
+        a.tally.add(q, i, a.bal[q], reason)
+    else:
+        a.closed.append((q, a.opened[q], np.full(len(q), t, np.int64), a.pos[q], a.entry[q], price, a.qty[q], a.bal[q] - a.bal0[q], a.bal[q], np.full(len(q), reason), a.lev[q], a.risk[q], a.es[q]))
     a.pos[q], a.rem[q] = 0, 0.0
     a.stop[q], a.liq[q], a.rung[q], a.trail[q], a.armed[q] = -np.inf, -np.inf, np.inf, -np.inf, False
     a.peak[q] = np.maximum(a.peak[q], a.bal[q])
@@ -410,6 +446,40 @@ def replay_grid(bars: DataFrame, configs: DataFrame, keys: Sequence[str] = ("sym
     return handed.groupBy(*by).cogroup(work.groupBy(*by)).applyInArrow(run, ", ".join(x for x in (kinds_of(bars, names), POSITION) if x))
 
 
+METRICS = "config_id bigint, n_trades bigint, growth double, max_dd double, stop_share double, green double, liquidations bigint"
+
+
+def replay_metrics(bars: DataFrame, configs: DataFrame, keys: Sequence[str] = ("symbol",), start: float = 10_000.0, floor_per_w: int = 0, rules: Rules = Rules()) -> DataFrame:
+    """(keys, METRICS): one row for every configuration and series, measured while it runs, for sweeps.
+
+    Growth and drawdown are those of the closes (the drawdown's peak begins at the first), green is the share, in
+    percent, of the months with a close that end above the month with a close before. Without a close they are null.
+    """
+    names = list(keys)
+    handed, work = spread(cleaned(bars, names), with_defaults(configs), names)
+    schema = arrow_schema(bars, names, METRICS)
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        key = tuple(k.as_py() for k in key)[: len(names)]
+        right = right.sort_by("config_id")
+        b, cfg, ids = series_of(left), vectors(right), right["config_id"].to_numpy()
+        month = b.ts.astype("datetime64[ms]").astype("datetime64[M]").astype(np.int64)
+        found = []
+        for part in (slice(s, s + VECTOR) for s in range(0, len(ids), VECTOR)):
+            cut = _slice(cfg, part)
+            tally = Tally(len(cut["lev"]), start, month)
+            replay(b, cut, start, floor_per_w * int(right["w"][0].as_py()), rules, tally=tally)
+            c = tally.columns()
+            out = [pa.repeat(k, len(c[0])) for k in key] + [pa.array(ids[part]), *(pa.array(x, mask=np.isnan(x) if x.dtype.kind == "f" else None) for x in c)]
+            found.append(pa.table([x.cast(f.type) for x, f in zip(out, schema)], schema=schema))
+        return pa.concat_tables(found)
+
+    by = [*names, "w", "chunk"]
+    return handed.groupBy(*by).cogroup(work.groupBy(*by)).applyInArrow(run, ", ".join(x for x in (kinds_of(bars, names), METRICS) if x))
+
+
 EQUITY = "config_id bigint, day bigint, equity double, throttled boolean"
 
 

@@ -40,6 +40,19 @@ def replay_months(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("symbol", "config_id", "month", r(F.col("bal") / 10_000, 8).alias("bal"), (r("ret") + 0.0).alias("ret"))
 
 
+@CORE.query(
+    "replay_metrics",
+    f"""{_CLOSES}, mb AS (SELECT symbol, config_id, month, arg_max(bal, rn) AS bal FROM t GROUP BY ALL), mr AS (SELECT *, bal > lag(bal) OVER (PARTITION BY symbol, config_id ORDER BY month) AS up FROM mb),
+    g AS (SELECT symbol, config_id, avg(up::INT) * 100 AS green FROM mr GROUP BY ALL), fall AS (SELECT *, 1 - bal / max(bal) OVER (PARTITION BY symbol, config_id ORDER BY rn) AS dd FROM t)
+    SELECT symbol, config_id, count(*) AS n_trades, round(arg_max(bal, rn) / 10000, 8) AS growth, round(max(dd) * 100, 6) AS max_dd, round(avg((why = 'SL')::INT), 6) AS stop_share, round(any_value(green), 6) AS green FROM fall JOIN g USING (symbol, config_id) GROUP BY ALL""",
+)
+def replay_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """What a sweep keeps of every run: measured in the task that runs it, one row each."""
+    bars, configs = strategy_inputs(spark, sf)
+    m = fold.replay_metrics(bars.drop("i"), configs).where("n_trades > 0")
+    return m.select("symbol", "config_id", "n_trades", r("growth", 8).alias("growth"), r("max_dd").alias("max_dd"), r("stop_share").alias("stop_share"), r("green").alias("green"))
+
+
 @CORE.query("replay_halves")
 def replay_halves(spark: SparkSession, sf: str) -> DataFrame:
     """The first and the second half of the bars, each from a fresh balance: trades and growth in and out of sample."""
