@@ -142,6 +142,15 @@ def pairwise_corr(wide_rows: DataFrame, member: str, time: str, x: str, least: i
     return a.join(b, (F.col("_t") == F.col("_s")) & (F.col("a") < F.col("b"))).groupBy("a", "b").agg(F.count(F.col("_x") + F.col("_y")).alias("n"), F.corr("_x", "_y").alias("corr")).where(F.col("n") >= least)
 
 
+def extreme_pairs(pairs: DataFrame) -> DataFrame:
+    """(which, a, b, n, corr) of ``pairwise_corr``: the lowest pair, the highest, and the mean of all with their number."""
+    x = F.round("corr", 9)
+    ends = [pairs.orderBy(order, "a", "b").limit(1).select(F.lit(name).alias("which"), "a", "b", "n", "corr") for name, order in (("lowest", x.asc()), ("highest", x.desc()))]
+    kind = dict(pairs.dtypes)["a"]
+    mean = pairs.agg(F.count("*").alias("n"), F.avg("corr").alias("corr")).select(F.lit("mean").alias("which"), F.lit(None).cast(kind).alias("a"), F.lit(None).cast(kind).alias("b"), "n", "corr")
+    return ends[0].unionByName(ends[1]).unionByName(mean)
+
+
 def rebased(closes: DataFrame, keys: Sequence[str], day: str, c: str, base: float = 10_000.0) -> DataFrame:
     """Buy-and-hold benchmark on the calendar of days, filled both ways, beginning at ``base``."""
     bounds = closes.groupBy(*keys).agg(F.min(day).alias("_lo"), F.max(day).alias("_hi"))
