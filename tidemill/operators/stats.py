@@ -118,24 +118,130 @@ def draw(b: Column, j: Column, n: Column) -> Column:
 
 
 def block_bootstrap_drawdown(factors: DataFrame, by: Sequence[str], order: str, factor: str, block: int = 20, samples: int = 100) -> DataFrame:
-    """(by, b, max_dd): drawdown in percent of each of ``samples`` series stitched from blocks of ``block`` factors."""
+    """(by, b, max_dd): drawdown in percent of each of ``samples`` series stitched from blocks of ``block`` factors.
+
+    A block may begin anywhere; one that begins near the end is cut off there. The peak begins at 1.
+    """
     by = list(by)
     w = Window.partitionBy(*by).orderBy(order)
     rows = factors.select(*by, F.col(order), F.col(factor).alias("_f")).withColumn("_i", F.row_number().over(w) - 1)
     n = rows.groupBy(*by).agg(F.count("*").alias("_n"))
     plan = n.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("_n") / block) - 1)))
-    plan = plan.withColumn("_start", draw(F.col("b"), F.col("_j"), F.greatest(F.lit(1), F.col("_n") - block + 1)))
-    cells = plan.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).withColumns({"_t": F.col("_j") * block + F.col("_o"), "_i": F.col("_start") + F.col("_o")}).where("_t < _n AND _i < _n")
-    run = Window.partitionBy(*by, "b").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
-    eq = cells.join(rows.select(*by, "_i", "_f"), [*by, "_i"]).withColumn("_eq", F.product("_f").over(run)).withColumn("_pk", F.greatest(F.lit(1.0), F.max("_eq").over(run)))
+    plan = plan.withColumn("_start", draw(F.col("b"), F.col("_j"), F.col("_n")))
+    cells = plan.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).withColumns({"_t": F.col("_j") * block + F.col("_o"), "_i": F.col("_start") + F.col("_o")}).where("_i < _n")
+    run = Window.partitionBy(*by, "b").orderBy("_t")
+    upto = run.rowsBetween(Window.unboundedPreceding, 0)
+    eq = cells.join(rows.select(*by, "_i", "_f"), [*by, "_i"]).withColumn("_k", F.row_number().over(run)).where("_k <= _n").withColumn("_eq", F.product("_f").over(upto)).withColumn("_pk", F.greatest(F.lit(1.0), F.max("_eq").over(upto)))
     return eq.groupBy(*by, "b").agg((F.max(1 - F.col("_eq") / F.col("_pk")) * 100).alias("max_dd"))
 
 
-def shuffle_gate(base: DataFrame, idea: DataFrame, by: Sequence[str], quantile: float = 0.25) -> DataFrame:
-    """Whether the idea's median bootstrap drawdown is below the base's lower quantile."""
-    a = base.groupBy(*by).agg(F.percentile("max_dd", F.lit(quantile)).alias("base_q"))
-    b = idea.groupBy(*by).agg(F.percentile("max_dd", F.lit(0.5)).alias("idea_median"))
-    return a.join(b, list(by)).withColumn("passed", F.col("idea_median") < F.col("base_q"))
+def shuffle_gate(base: DataFrame, idea: DataFrame, by: Sequence[str], order: str, factor: str, block: int = 20, samples: int = 100) -> DataFrame:
+    """(by, real, shuffled_median, shuffled_q25, passed): does the idea lower the drawdown more in the true order than stitched?
+
+    ``base`` and ``idea`` are trade factors (by, order, factor). ``real`` is the fall of the drawdown in the true order;
+    sample b sets the base's stitched series b against the idea's. Passed: real is positive and above the median and the
+    lower quartile of those.
+    """
+    by = list(by)
+
+    def real(df: DataFrame, name: str) -> DataFrame:
+        upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        eq = df.withColumn("_eq", F.product(factor).over(upto))
+        return eq.withColumn("_pk", F.greatest(F.lit(1.0), F.max("_eq").over(upto))).groupBy(*by).agg((F.max(1 - F.col("_eq") / F.col("_pk")) * 100).alias(name))
+
+    a = block_bootstrap_drawdown(base, by, order, factor, block, samples).withColumnRenamed("max_dd", "_a")
+    z = block_bootstrap_drawdown(idea, by, order, factor, block, samples).withColumnRenamed("max_dd", "_z")
+    diff = a.join(z, [*by, "b"]).groupBy(*by).agg(F.percentile(F.col("_a") - F.col("_z"), F.array(F.lit(0.25), F.lit(0.5))).alias("_q"))
+    out = real(base, "_x").join(real(idea, "_y"), by).join(diff, by).select(*by, (F.col("_x") - F.col("_y")).alias("real"), F.col("_q")[1].alias("shuffled_median"), F.col("_q")[0].alias("shuffled_q25"))
+    real_, mid, low = (F.round(c, 9) for c in ("real", "shuffled_median", "shuffled_q25"))  # equal but for the order of sums is equal
+    return out.withColumn("passed", (real_ > 0) & (real_ > mid) & (real_ > low))
+
+
+def random_skip(df: DataFrame, by: Sequence[str], order: str, r: str, keep: str, draws: int = 30) -> DataFrame:
+    """(by, kept, growth, dd, random_growth, random_dd, better): skipping by a model against skipping as many at random.
+
+    ``keep`` tells which trades the model takes; draw b keeps the trades whose number it draws below the model's share.
+    Skipped trades return 0; growth and drawdown (percent, peak from the first) of the draws are medians.
+    """
+    by = list(by)
+    rows = df.select(*by, F.col(order).alias("_o"), F.coalesce(F.col(r), F.lit(0.0)).alias("_r"), F.coalesce(F.col(keep), F.lit(False)).alias("_k")).withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("_o")) - 1)
+    share = rows.groupBy(*by).agg(F.avg(F.col("_k").cast("double")).alias("kept"))
+    each = rows.join(share, by).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws))))
+    taken = F.when(F.col("b") == 0, F.col("_k")).otherwise(draw(F.col("b"), F.col("_i"), F.lit(10_007)) < F.floor(F.col("kept") * 10_007))
+    upto = Window.partitionBy(*by, "b").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
+    eq = each.withColumn("_eq", F.product(1 + F.when(taken, F.col("_r")).otherwise(0.0)).over(upto)).withColumn("_dd", 1 - F.col("_eq") / F.max("_eq").over(upto))
+    m = eq.groupBy(*by, "b").agg(F.max("kept").alias("kept"), F.max_by("_eq", "_o").alias("_g"), (F.max("_dd") * 100).alias("_d"))
+    first = lambda c: F.max(F.when(F.col("b") == 0, F.col(c)))
+    mid = lambda c: F.percentile(F.when(F.col("b") > 0, F.col(c)), F.lit(0.5))
+    out = m.groupBy(*by).agg(F.max("kept").alias("kept"), first("_g").alias("growth"), first("_d").alias("dd"), mid("_g").alias("random_growth"), mid("_d").alias("random_dd"))
+    return out.withColumn("better", (F.col("growth") > F.col("random_growth")) & (F.col("dd") < F.col("random_dd")))
+
+
+def feature_parameter(results: DataFrame, features: DataFrame, params: Sequence[str], least: int = 4) -> DataFrame:
+    """(param, feature, n, rho): does the parameter that paid in a year go with what the year was like?
+
+    ``results`` is (year, ret, params): the preferred value of a year is the mean weighted by the positive returns.
+    ``features`` is (year, feature, value). Rank correlation over at least ``least`` years.
+    """
+    w = F.when(F.col("ret") > 0, F.col("ret")).otherwise(0.0)
+    wanted = results.where(F.col("ret").isNotNull() & ~F.isnan("ret")).groupBy("year").agg(*(F.try_divide(F.sum(w * F.col(p)), F.nullif(F.sum(w), F.lit(0.0))).alias(p) for p in params))
+    long = wanted.unpivot(["year"], list(params), "param", "preferred").where("preferred IS NOT NULL")
+    return spearman(long.join(features, "year"), ["param", "feature"], "preferred", "value", least).where(F.col("n") >= least)
+
+
+def anatomy(weeks: DataFrame, series: str, week: str, growth: str, features: Sequence[str], least_weeks: int = 30, least: int = 8) -> DataFrame:
+    """(feature, loss, gain, n_series, consistent): how features differ between loss, gain and middle weeks.
+
+    Within each series of at least ``least_weeks`` weeks, the lowest tenth by growth are loss weeks, the highest tenth
+    gain weeks. ``loss`` and ``gain`` are Cliff's delta against the middle, pooled; ``consistent`` is the share of the
+    series whose own loss delta has the pooled sign.
+    """
+    q = weeks.groupBy(series).agg(F.count("*").alias("_n"), F.percentile(growth, F.array(F.lit(0.1), F.lit(0.9))).alias("_q")).where(F.col("_n") >= least_weeks)
+    kind = F.when(F.col(growth) <= F.col("_q")[0], "loss").when(F.col(growth) >= F.col("_q")[1], "gain").otherwise("mid")
+    rows = weeks.join(q, series).withColumn("_kind", kind).select(series, "_kind", *(F.col(f).cast("double").alias(f) for f in features))
+    long = rows.unpivot([series, "_kind"], list(features), "feature", "x").where("x IS NOT NULL")
+    delta = lambda which, by: cliffs_delta(long.where(F.col("_kind").isin(which, "mid")).withColumn("_is", F.col("_kind") == which), by, "x", "_is", least)
+    loss, gain = (delta(k, ["feature"]).select("feature", F.col("delta").alias(k)) for k in ("loss", "gain"))
+    own = delta("loss", ["feature", series]).where("delta IS NOT NULL").join(loss, "feature")
+    signs = own.groupBy("feature").agg(F.count("*").alias("n_series"), F.avg((F.signum("delta") == F.signum("loss")).cast("double")).alias("consistent"))
+    return loss.join(gain, "feature", "full").join(signs, "feature", "left")
+
+
+def average_scan(df: DataFrame, by: Sequence[str], order: str, c: str, outcome: str, lengths: Sequence[int], after: int = 10, least: int = 100) -> DataFrame:
+    """(w, kind, n_on, n_off, diff): outcome by state, for averages of many lengths at once.
+
+    "above": the value before lay above its average of w; "crossed": that changed within the last ``after`` rows, this
+    one included. An average comes from two running sums, so a row costs the same for every length. ``diff`` is null
+    with fewer than ``least`` rows on either side.
+    """
+    by = list(by)
+    w = Window.partitionBy(*by).orderBy(order)
+    sums = df.withColumns({"_s": F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_i": F.row_number().over(w)})
+    above = F.array(*(F.coalesce((F.col("_i") >= n) & (F.col(c) > (F.col("_s") - F.coalesce(F.lag("_s", n).over(w), F.lit(0.0))) / n), F.lit(False)) for n in lengths))
+    state = sums.withColumn("_above", above).withColumn("_state", F.coalesce(F.lag("_above").over(w), F.transform("_above", lambda x: F.lit(False))))
+    crossed = F.when(F.lag("_state").over(w).isNotNull(), F.zip_with("_state", F.lag("_state").over(w), lambda a, b: (a != b).cast("int")))
+    marked = state.withColumn("_x", crossed)
+    recent = F.collect_list("_x").over(w.rowsBetween(-after, 0))
+    near = F.aggregate(recent, F.transform("_state", lambda x: F.lit(0)), lambda acc, x: F.zip_with(acc, x, lambda a, b: F.greatest(a, b)))
+    rows = marked.withColumn("_near", F.transform(near, lambda x: x == 1)).where(F.col(outcome).isNotNull())
+    pairs = rows.select(F.col(outcome).alias("_y"), F.explode(F.arrays_zip(F.array(*map(F.lit, lengths)).alias("w"), F.col("_state").alias("above"), F.col("_near").alias("crossed"))).alias("_p"))
+    flat = pairs.select("_y", F.col("_p.w").alias("w"), F.col("_p.above").alias("above"), F.col("_p.crossed").alias("crossed"))
+    agg = {}
+    for kind in ("above", "crossed"):
+        on = F.col(kind)
+        agg[kind] = F.struct(F.lit(kind).alias("kind"), F.count_if(on).alias("n_on"), F.count_if(~on).alias("n_off"), (F.avg(F.when(on, F.col("_y"))) - F.avg(F.when(~on, F.col("_y")))).alias("diff"))
+    out = flat.groupBy("w").agg(F.array(*agg.values()).alias("_k")).select("w", F.explode("_k").alias("_k")).select("w", "_k.*")
+    return out.withColumn("diff", F.when((F.col("n_on") >= least) & (F.col("n_off") >= least), F.col("diff")))
+
+
+def event_controls(spans: DataFrame, by: Sequence[str], n: str, margin: int = 14, times: int = 4) -> DataFrame:
+    """(by, event_day): ``times`` control days for each of a series' events, drawn by formula within its span.
+
+    ``spans`` is (by, lo, hi, n): first and last day and number of events; days keep ``margin`` from both ends.
+    """
+    room = F.col("hi") - F.col("lo") - 2 * margin
+    rows = spans.where((room > 0) & (F.col(n) > 0)).withColumn("_b", F.explode(F.sequence(F.lit(1), F.col(n).cast("int") * times)))
+    return rows.select(*by, (F.col("lo") + margin + draw(F.col("_b"), F.lit(3), room)).cast("bigint").alias("event_day"))
 
 
 def lag_autocorrelation(df: DataFrame, by: Sequence[str], order: str, x: str, lags: Sequence[int]) -> DataFrame:
@@ -169,8 +275,8 @@ def average_precision(df: DataFrame, by: Sequence[str], score: str, label: str)
 def super_gate(row: DataFrame) -> DataFrame:
     """Six checks of an idea against its base: return over drawdown, matched leverage, bootstrap, right tail, holdout, breadth."""
     checks = {
-        "better": F.col("idea_rdd") > F.col("base_rdd"), "beats_matched": F.col("idea_rdd") > F.col("matched_rdd"), "bootstrap": F.col("shuffle_passed"),
-        "tail_kept": F.col("n5r_idea") >= 0.8 * F.col("n5r_base"), "holdout": F.col("oos_idea_rdd") >= F.col("oos_base_rdd"), "breadth": F.col("coins_passed") >= 3,
+        "better": F.col("idea_rdd") > F.col("base_rdd"), "beats_matched": F.col("matched_rdd").isNull() | (F.col("idea_rdd") > F.col("matched_rdd")), "bootstrap": F.col("shuffle_passed"),
+        "tail_kept": F.col("n5r_idea") >= F.col("n5r_base"), "holdout": F.col("oos_idea_rdd") >= F.col("oos_base_rdd"), "breadth": F.col("coins_passed") >= F.greatest(F.lit(3), F.col("coins") - 1),
     }
     out = row.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in checks.items()})
     passed = F.lit(True)

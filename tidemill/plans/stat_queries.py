@@ -59,22 +59,29 @@ def circular_shift_p(spark: SparkSession, sf: str) -> DataFrame:
     return stats.shift_null(features(spark, sf), ["symbol"], "day", "up", "y", 40, 5).withColumns({"observed": r("observed", 8) + 0.0, "p": r("p")})
 
 
-DRAW = "((b * 7919 + j * 104729 + b * j * 1299709 + (b * b % 1009) * 15485863) % greatest(1, n - 9))"
+DRAW = "((b * 7919 + j * 104729 + b * j * 1299709 + (b * b % 1009) * 15485863) % n)"
 
 
 @CORE.query("block_bootstrap_dd", f"""WITH {FX}, f AS (SELECT symbol, 1 + y AS f, row_number() OVER (PARTITION BY symbol ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM fx WHERE y IS NOT NULL), p AS (SELECT symbol, n, b, unnest(generate_series(0, ceil(n / 10)::BIGINT - 1)) AS j FROM (SELECT DISTINCT symbol, n FROM f), (SELECT unnest(generate_series(0, 19)) AS b)),
-    c AS (SELECT symbol, n, b, j * 10 + o AS t, {DRAW} + o AS i FROM p, (SELECT unnest(generate_series(0, 9)) AS o)), e AS (SELECT c.symbol, c.b, c.t, product(f.f) OVER (PARTITION BY c.symbol, c.b ORDER BY t) AS eq FROM c JOIN f ON f.symbol = c.symbol AND f.i = c.i WHERE c.t < c.n AND c.i < c.n),
+    c AS (SELECT symbol, n, b, j * 10 + o AS t, {DRAW} + o AS i FROM p, (SELECT unnest(generate_series(0, 9)) AS o)), z AS (SELECT *, row_number() OVER (PARTITION BY symbol, b ORDER BY t) AS k FROM c WHERE i < n), e AS (SELECT z.symbol, z.b, z.t, product(f.f) OVER (PARTITION BY z.symbol, z.b ORDER BY t) AS eq FROM z JOIN f ON f.symbol = z.symbol AND f.i = z.i WHERE z.k <= z.n),
     k AS (SELECT *, greatest(1, max(eq) OVER (PARTITION BY symbol, b ORDER BY t)) AS pk FROM e) SELECT symbol, b::INT AS b, round(max(1 - eq / pk) * 100, 5) AS max_dd FROM k GROUP BY ALL""")
 def block_bootstrap_dd(spark: SparkSession, sf: str) -> DataFrame:
     x = features(spark, sf).where("y IS NOT NULL").withColumn("f", 1 + F.col("y"))
     return stats.block_bootstrap_drawdown(x, ["symbol"], "day", "f", 10, 20).withColumn("max_dd", r("max_dd", 5))
 
 
-@CORE.query("shuffle_gate")
+_BOOT = lambda x, name: f"{name}p AS (SELECT symbol, n, b, unnest(generate_series(0, ceil(n / 10)::BIGINT - 1)) AS j FROM (SELECT DISTINCT symbol, n FROM f), (SELECT unnest(generate_series(0, 39)) AS b)), {name}c AS (SELECT symbol, n, b, j * 10 + o AS t, {DRAW} + o AS i FROM {name}p, (SELECT unnest(generate_series(0, 9)) AS o)), {name}z AS (SELECT *, row_number() OVER (PARTITION BY symbol, b ORDER BY t) AS k FROM {name}c WHERE i < n), {name}e AS (SELECT z.symbol, z.b, z.t, product(f.{x}) OVER (PARTITION BY z.symbol, z.b ORDER BY t) AS eq FROM {name}z z JOIN f ON f.symbol = z.symbol AND f.i = z.i WHERE z.k <= z.n), {name} AS (SELECT symbol, b, max(1 - eq / pk) * 100 AS dd FROM (SELECT *, greatest(1, max(eq) OVER (PARTITION BY symbol, b ORDER BY t)) AS pk FROM {name}e) GROUP BY ALL)"
+_TRUE = lambda x, name: f"{name} AS (SELECT symbol, max(1 - eq / greatest(1, pk)) * 100 AS dd FROM (SELECT symbol, i, eq, max(eq) OVER (PARTITION BY symbol ORDER BY i) AS pk FROM (SELECT symbol, i, product({x}) OVER (PARTITION BY symbol ORDER BY i) AS eq FROM f)) GROUP BY symbol)"
+
+
+@CORE.query("shuffle_gate", f"""WITH {FX}, f AS (SELECT symbol, 1 + y AS f, 1 + y / 2 AS g, row_number() OVER (PARTITION BY symbol ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM fx WHERE y IS NOT NULL), {_BOOT('f', 'ba')}, {_BOOT('g', 'bi')}, {_TRUE('f', 'ta')}, {_TRUE('g', 'ti')},
+    dq AS (SELECT symbol, quantile_cont(ba.dd - bi.dd, 0.5) AS q50, quantile_cont(ba.dd - bi.dd, 0.25) AS q25 FROM ba JOIN bi USING (symbol, b) GROUP BY symbol)
+    SELECT symbol, round(ta.dd - ti.dd, 5) + 0.0 AS real, round(q50, 5) + 0.0 AS shuffled_median, round(q25, 5) + 0.0 AS shuffled_q25, round(ta.dd - ti.dd, 9) > 0 AND round(ta.dd - ti.dd, 9) > round(q50, 9) AND round(ta.dd - ti.dd, 9) > round(q25, 9) AS passed FROM ta JOIN ti USING (symbol) JOIN dq USING (symbol)""")
 def shuffle_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Half the exposure against all of it: does it lower the drawdown by more than its size, in the true order?"""
     x = features(spark, sf).where("y IS NOT NULL").withColumns({"f": 1 + F.col("y"), "g": 1 + F.col("y") / 2})
-    base, idea = (stats.block_bootstrap_drawdown(x, ["symbol"], "day", k, 10, 40) for k in ("f", "g"))
-    return stats.shuffle_gate(base, idea, ["symbol"])
+    g = stats.shuffle_gate(x.select("symbol", "day", "f"), x.select("symbol", "day", F.col("g").alias("f")), ["symbol"], "day", "f", 10, 40)
+    return g.select("symbol", *((r(c, 5) + 0.0).alias(c) for c in ("real", "shuffled_median", "shuffled_q25")), "passed")
 
 
 @CORE.query("split_half_sign", f"WITH {FX}, b AS (SELECT *, (day % 2 = 0)::INT AS h FROM fx WHERE y IS NOT NULL), t AS (SELECT avg(CASE WHEN up THEN y END) - avg(CASE WHEN NOT up THEN y END) AS overall, avg(CASE WHEN up AND h = 0 THEN y END) - avg(CASE WHEN NOT up AND h = 0 THEN y END) AS first, avg(CASE WHEN up AND h = 1 THEN y END) - avg(CASE WHEN NOT up AND h = 1 THEN y END) AS second FROM b), e AS (SELECT symbol, avg(CASE WHEN up THEN y END) - avg(CASE WHEN NOT up THEN y END) AS d FROM b GROUP BY symbol HAVING count_if(up) >= 5 AND count_if(NOT up) >= 5) SELECT round(overall, 8) + 0.0 AS overall, sign(first) = sign(second) AS agree, (SELECT count(*) FROM e) AS series_n, (SELECT count(*) FROM e WHERE sign(d) = sign(overall)) AS series_same FROM t")
@@ -83,9 +90,9 @@ def split_half_sign(spark: SparkSession, sf: str) -> DataFrame:
     return stats.sign_agreement(x, ["all"], "symbol", (F.col("day") % 2 == 0).cast("int"), "up", "y").select((r("overall", 8) + 0.0).alias("overall"), "agree", "series_n", "series_same")
 
 
-@CORE.query("lag_autocorr", f"WITH {FX}, p AS (SELECT symbol, lag, x, CASE lag WHEN 1 THEN lead(x, 1) OVER w WHEN 2 THEN lead(x, 2) OVER w WHEN 7 THEN lead(x, 7) OVER w END AS z FROM fx, (VALUES (1), (2), (7)) l(lag) WINDOW w AS (PARTITION BY symbol, lag ORDER BY day)), b AS (SELECT * FROM p WHERE z IS NOT NULL), {rank_sql('r1', 'b', 'symbol, lag', 'x', 'rx')}, {rank_sql('r2', 'r1', 'symbol, lag', 'z', 'rz')} SELECT symbol, lag, count(*) AS n, round(corr(rx, rz), 6) + 0.0 AS rho FROM r2 GROUP BY ALL HAVING count(*) >= 3")
+@CORE.query("lag_autocorr", f"WITH {FX}, p AS (SELECT symbol, lag, x, CASE lag WHEN 1 THEN lead(x, 1) OVER w WHEN 2 THEN lead(x, 2) OVER w WHEN 3 THEN lead(x, 3) OVER w WHEN 5 THEN lead(x, 5) OVER w WHEN 7 THEN lead(x, 7) OVER w WHEN 14 THEN lead(x, 14) OVER w END AS z FROM fx, (VALUES (1), (2), (3), (5), (7), (14)) l(lag) WINDOW w AS (PARTITION BY symbol, lag ORDER BY day)), b AS (SELECT * FROM p WHERE z IS NOT NULL), {rank_sql('r1', 'b', 'symbol, lag', 'x', 'rx')}, {rank_sql('r2', 'r1', 'symbol, lag', 'z', 'rz')} SELECT symbol, lag, count(*) AS n, round(corr(rx, rz), 6) + 0.0 AS rho FROM r2 GROUP BY ALL HAVING count(*) >= 3")
 def lag_autocorr(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.lag_autocorrelation(features(spark, sf), ["symbol"], "day", "x", [1, 2, 7]).where("n >= 3").withColumn("rho", r("rho") + 0.0)
+    return stats.lag_autocorrelation(features(spark, sf), ["symbol"], "day", "x", [1, 2, 3, 5, 7, 14]).where("n >= 3").withColumn("rho", r("rho") + 0.0)
 
 
 @CORE.query("average_precision", f"WITH {FX}, c AS (SELECT symbol, round(x, 3) AS s, count(*) AS n, sum((y > 0)::INT) AS p FROM fx WHERE y IS NOT NULL GROUP BY ALL), k AS (SELECT *, sum(n) OVER w AS cn, sum(p) OVER w AS cp FROM c WINDOW w AS (PARTITION BY symbol ORDER BY s DESC)) SELECT symbol, round(sum(p * cp / cn) / nullif(sum(p), 0), 6) AS ap FROM k GROUP BY symbol")
@@ -102,17 +109,19 @@ def quintile_table(spark: SparkSession, sf: str) -> DataFrame:
     return b.groupBy("bin").agg(F.count("*").alias("n"), (r(F.avg("y"), 8) + 0.0).alias("mean"), (r(F.exp(F.avg(F.log(1 + F.col("y")))) - 1, 8) + 0.0).alias("geo"))
 
 
-SCAN = [5, 10, 20, 40]
+#: Lengths of the averages that are scanned.
+SCAN = list(range(10, 1001, 10))
 
 
-@CORE.query("ma_scan", f"""WITH {FX}, w AS (SELECT unnest({SCAN}) AS w), a AS (SELECT f.symbol, f.day, w.w, f.y, f.c, (SELECT CASE WHEN count(*) = w.w THEN avg(g.c) END FROM fx g WHERE g.symbol = f.symbol AND g.rn BETWEEN f.rn - w.w + 1 AND f.rn) AS ma FROM fx f, w WHERE f.y IS NOT NULL) SELECT w, count(*) AS n, coalesce(count_if(c > ma), 0)::BIGINT AS above, round(avg(CASE WHEN c > ma THEN y END) - avg(CASE WHEN c <= ma THEN y END), 8) + 0.0 AS diff FROM a WHERE ma IS NOT NULL GROUP BY w""")
+@CORE.query("ma_scan", f"""WITH {FX}, w AS (SELECT unnest({SCAN}) AS w), cs AS (SELECT symbol, day, rn, c, y, sum(c) OVER (PARTITION BY symbol ORDER BY rn ROWS UNBOUNDED PRECEDING) AS s FROM fx), a AS (SELECT f.symbol, f.day, f.rn, w.w, f.y, CASE WHEN f.rn >= w.w - 1 THEN f.c > (f.s - coalesce(g.s, 0)) / w.w ELSE false END AS above FROM cs f CROSS JOIN w LEFT JOIN cs g ON g.symbol = f.symbol AND g.rn = f.rn - w.w),
+    b AS (SELECT *, coalesce(lag(above) OVER p, false) AS state FROM a WINDOW p AS (PARTITION BY symbol, w ORDER BY rn)), k AS (SELECT *, state <> lag(state) OVER p AS crossed FROM b WINDOW p AS (PARTITION BY symbol, w ORDER BY rn)),
+    x AS (SELECT *, coalesce(bool_or(crossed) OVER (PARTITION BY symbol, w ORDER BY rn ROWS BETWEEN 10 PRECEDING AND CURRENT ROW), false) AS near FROM k),
+    l AS (SELECT w, 'above' AS kind, state AS is_on, y FROM x WHERE y IS NOT NULL UNION ALL SELECT w, 'crossed', near, y FROM x WHERE y IS NOT NULL)
+    SELECT w, kind, coalesce(count_if(is_on), 0)::BIGINT AS n_on, coalesce(count_if(NOT is_on), 0)::BIGINT AS n_off, CASE WHEN count_if(is_on) >= 100 AND count_if(NOT is_on) >= 100 THEN round(avg(CASE WHEN is_on THEN y END) - avg(CASE WHEN NOT is_on THEN y END), 8) + 0.0 END AS diff FROM l GROUP BY ALL""")
 def ma_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Next-day return above less below moving averages of several lengths, all lengths in one pass."""
-    f = Frames(["symbol"], "day")
-    each = F.array(*(F.struct(F.lit(w).alias("w"), f.mean(F.col("c"), w).alias("ma")) for w in SCAN))
-    x = features(spark, sf).withColumn("e", each).withColumn("e", F.explode("e")).select("y", "c", "e.w", "e.ma").where("y IS NOT NULL AND ma IS NOT NULL")
-    above = F.col("c") > F.col("ma")
-    return x.groupBy("w").agg(F.count("*").alias("n"), F.count_if(above).alias("above"), (r(F.avg(F.when(above, F.col("y"))) - F.avg(F.when(~above, F.col("y"))), 8) + 0.0).alias("diff"))
+    """Next-day return while the close of the day before was above its average, and within ten days of a crossing, against
+    the other days, for a hundred lengths in one pass; a difference needs a hundred days on either side."""
+    return stats.average_scan(features(spark, sf), ["symbol"], "day", "c", "y", SCAN).withColumn("diff", r("diff", 8) + 0.0)
 
 
 # ---- grids and splits ------------------------------------------------------------------------------------------------
