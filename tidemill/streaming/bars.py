@@ -70,21 +70,23 @@ def crossings(bars: DataFrame, w: int) -> DataFrame:
 def upsert(path: str, keys: Sequence[str], version: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink that a batch delivered twice doesn't change.
 
-    Each batch replaces the folder of its number; ``read_latest`` keeps the newest row of each key, so nothing is
-    counted twice.
+    Each batch keeps the newest row of each key by ``version`` and replaces the folder of its own number;
+    ``read_latest`` takes the newest over all batches, so nothing is counted twice.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        newest(batch, keys, version).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return write
 
 
-def read_latest(spark: SparkSession, path: str, keys: Sequence[str], version: str) -> DataFrame:
-    rows = spark.read.option("basePath", path).parquet(f"{path}/epoch=*")
+def newest(rows: DataFrame, keys: Sequence[str], *version: str) -> DataFrame:
     value = F.struct(*(c for c in rows.columns if c not in keys))
-    newest = rows.groupBy(*keys).agg(F.max_by(value, F.struct(version, "epoch")).alias("_r"))
-    return newest.select(*keys, "_r.*").drop("epoch")
+    return rows.groupBy(*keys).agg(F.max_by(value, F.struct(*version, value)).alias("_r")).select(*keys, "_r.*")
+
+
+def read_latest(spark: SparkSession, path: str, keys: Sequence[str], version: str) -> DataFrame:
+    return newest(spark.read.option("basePath", path).parquet(f"{path}/epoch=*"), keys, version, "epoch").drop("epoch")
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
