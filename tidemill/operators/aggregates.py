@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.session import cut
+
 
 def compound(r: Column) -> Column:
     """Product of 1 + r less 1, nulls left out."""
@@ -38,11 +40,28 @@ def pivot(df: DataFrame, by: Sequence[str], column: str, values: Sequence, agg:
     return df.groupBy(*by).pivot(column, list(values)).agg(agg)
 
 
+def distributed_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], rank: str = "_rank", count: str = "_n") -> DataFrame:
+    """Adds the row's number within ``by`` (from 1) along ``order``, which must break ties, and the group's size.
+
+    Rows are cut into ranges of (by, order); a rank is the number within the range plus the group's counts in the ranges
+    before, so a group of any size is spread over tasks. The ranges are written once, as they must not be drawn twice.
+    """
+    by = list(by)
+    ranged = cut(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy(*by, "_part").agg(F.count("*").alias("_k"))
+    w = Window.partitionBy(*by)  # one row per range of a group
+    offsets = counts.select(*(F.col(c).alias(f"_g{k}") for k, c in enumerate(by)), F.col("_part").alias("_p"), F.coalesce(F.sum("_k").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"), F.sum("_k").over(w).alias(count))
+    same = F.col("_part") == F.col("_p")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{k}"))
+    within = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
+    return ranged.withColumn(rank, within).join(offsets, same).withColumn(rank, F.col(rank) + F.col("_off")).drop("_part", "_p", "_off", *(f"_g{k}" for k in range(len(by))))
+
+
 def top_fraction(df: DataFrame, by: Sequence[str], order: Sequence[Column], fraction: float = 0.01, least: int = 20) -> DataFrame:
-    """The best max(least, fraction of the group) rows of each group."""
-    sized = df.join(df.groupBy(*by).agg(F.count("*").alias("_n")), list(by))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return sized.withColumn("_r", rank).where(F.col("_r") <= F.greatest(F.lit(least), F.floor(F.lit(fraction) * F.col("_n")))).drop("_n", "_r")
+    """The best max(least, fraction of the group) rows of each group; ``order`` must break ties."""
+    ranked = distributed_rank(df, by, order)
+    return ranked.where(F.col("_rank") <= F.greatest(F.lit(least), F.floor(F.lit(fraction) * F.col("_n")))).drop("_rank", "_n")
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:

@@ -14,7 +14,8 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: st
     Both sides go through one shuffle and one sort: right rows carry their values as a struct, left rows take the last
     one. With ``lookback`` (and only then) a right row serves for so long and the series is cut into parts of ``part``
     time units (default 16 lookbacks), right rows near a part's end being given to the next as well, so that a hot key
-    is spread. Right rows with equal keys and ts: the largest values win. Nothing before: nulls.
+    is spread. Without it ``part`` alone cuts the series, and the last right row of each part is carried to the parts
+    after it. Right rows with equal keys and ts: the largest values win. Nothing before: nulls.
     """
     payload = F.struct(F.col(ts).alias("_at"), *values)
     tag = 1 if strict else -1  # at equal times left rows come before right ones if strict
@@ -26,12 +27,37 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: st
         lf = lf.withColumn("_part", F.floor(F.col(ts) / part))
         rt = rt.withColumn("_part", F.explode(F.array_distinct(F.array(F.floor(F.col(ts) / part), F.floor((F.col(ts) + lookback) / part)))))
         by.append("_part")
+    elif part is not None:
+        return _asof_carried(left, lf, rt, by, ts, values, part)
     w = Window.partitionBy(*by).orderBy(F.col(ts), F.col("_side"), F.col("_v")).rowsBetween(Window.unboundedPreceding, 0)
     both = lf.unionByName(rt, allowMissingColumns=True).withColumn("_last", F.last("_v", ignorenulls=True).over(w)).where("_side = 0")
     fresh = F.col("_last") if lookback is None else F.when(F.col(ts) - F.col("_last._at") <= lookback, F.col("_last"))
     return both.withColumn("_last", fresh).select(*left.columns, F.col("_last._at").alias("asof_" + ts), *(F.col("_last")[v].alias(v) for v in values))
 
 
+def _asof_carried(left: DataFrame, lf: DataFrame, rt: DataFrame, by: list[str], ts: str, values: Sequence[str], part: int) -> DataFrame:
+    cut = F.floor(F.col(ts) / part)
+    lf, rt = lf.withColumn("_part", cut), rt.withColumn("_part", cut)
+    ends = rt.groupBy(*by, "_part").agg(F.max(F.struct(F.col(ts).alias("_t"), F.col("_v"))).alias("_end"), F.lit(1).alias("_r")).drop("_r")
+    seen = lf.select(*by, "_part").distinct().join(ends, [*by, "_part"], "full")
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = seen.select(*by, "_part", F.last("_end._v", ignorenulls=True).over(before).alias("_carry"))
+    w = Window.partitionBy(*by, "_part").orderBy(F.col(ts), F.col("_side"), F.col("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    both = lf.unionByName(rt, allowMissingColumns=True).withColumn("_last", F.last("_v", ignorenulls=True).over(w)).where("_side = 0")
+    both = both.join(carried, [*by, "_part"], "left").withColumn("_last", F.coalesce("_last", "_carry"))
+    return both.select(*left.columns, F.col("_last._at").alias("asof_" + ts), *(F.col("_last")[v].alias(v) for v in values))
+
+
+def asof_clipped(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str], part: int | None = None) -> DataFrame:
+    """``asof_backward`` whose left rows before all right rows of their keys get the first of these: a value from their
+    future, which only suits what isn't used for prediction."""
+    found = asof_backward(left, right, keys, ts, values, part=part)
+    first = right.groupBy(*keys).agg(F.min(F.struct(F.col(ts).alias("_t"), *values)).alias("_first"))
+    out = found.join(first, list(keys), "left")
+    none = F.col("asof_" + ts).isNull()
+    return out.select(*left.columns, F.when(none, F.col("_first._t")).otherwise(F.col("asof_" + ts)).alias("asof_" + ts), *(F.when(none, F.col("_first")[v]).otherwise(F.col(v)).alias(v) for v in values))
+
+
 def zero_fill(panel: DataFrame, outcomes: DataFrame, keys: Sequence[str], day: str, values: Sequence[str]) -> DataFrame:
     """Left join of outcomes; inside the span of a series' outcomes a missing value is 0, outside it is null."""
     span = outcomes.groupBy(*keys).agg(F.min(day).alias("_lo"), F.max(day).alias("_hi"))

@@ -14,12 +14,17 @@ def _past(keys: Sequence[str], order: str):
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def drawdown(eq: DataFrame, keys: Sequence[str], order: str, value: str, base: float | None = None) -> DataFrame:
-    """Largest fall from a running peak, in percent; with ``base`` the peak starts there, else at the first value."""
-    w = _past(keys, order)
-    peak = F.max(value).over(w)
-    peak = peak if base is None else F.greatest(peak, F.lit(float(base)))
-    return eq.withColumn("_dd", 1 - F.try_divide(F.col(value), F.nullif(peak, F.lit(0.0)))).groupBy(*keys).agg((F.max("_dd") * 100).alias("max_dd"))
+def drawdown(eq: DataFrame, keys: Sequence[str], order: str, value: str, base: float | None = None, chunk: int | None = None) -> DataFrame:
+    """Largest fall from a running peak, in percent; with ``base`` the peak starts there, else at the first value.
+
+    With ``chunk`` (units of a numeric ``order``) a long series is cut into chunks, whose peaks are carried on.
+    """
+    if chunk is None:
+        with_peak = eq.withColumn("_peak", F.max(value).over(_past(keys, order)))
+    else:
+        with_peak = blocks.running_max(eq, keys, order, value, "_peak", chunk)
+    peak = F.col("_peak") if base is None else F.greatest("_peak", F.lit(float(base)))
+    return with_peak.withColumn("_dd", 1 - F.try_divide(F.col(value), F.nullif(peak, F.lit(0.0)))).groupBy(*keys).agg((F.max("_dd") * 100).alias("max_dd"))
 
 
 def compounded(returns: DataFrame, keys: Sequence[str], order: str, r: str, name: str = "eq") -> DataFrame:

@@ -11,6 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemill.operators import blocks
+
 
 class Frames:
     """Windows over one series: ``keys`` partition it, ``order`` sorts it."""
@@ -149,9 +151,8 @@ def calendar(df: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
 
 def resample_last(df: DataFrame, keys: Sequence[str], bucket: str, value: str) -> DataFrame:
     """``df`` has one row per bucket; adds the empty buckets, with the last value before them and ``filled`` true."""
-    f = Frames(keys, bucket)
-    full = calendar(df, keys, bucket).join(df.select(*keys, bucket, value), [*keys, bucket], "left")
-    return full.withColumn("filled", F.col(value).isNull()).withColumn(value, f.ffill(value))
+    full = calendar(df, keys, bucket).join(df.select(*keys, bucket, value), [*keys, bucket], "left").withColumn("filled", F.col(value).isNull())
+    return blocks.filled(full, keys, bucket, [value])
 
 
 def latest_version(df: DataFrame, keys: Sequence[str], *best: Column) -> DataFrame:

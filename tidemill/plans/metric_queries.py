@@ -33,7 +33,8 @@ def run_months(spark: SparkSession, sf: str) -> DataFrame:
 @CORE.query("max_drawdown", f"WITH {P}, q AS (SELECT sim_id, v, balance, max(balance) OVER (PARTITION BY sim_id, v ORDER BY k) AS pk FROM eq) SELECT sim_id, v, round(max(1 - balance / pk) * 100, 6) AS dd_first, round(max(1 - balance / greatest(pk, 1000)) * 100, 6) AS dd_base FROM q GROUP BY ALL")
 def max_drawdown(spark: SparkSession, sf: str) -> DataFrame:
     eq = closed(spark, sf)
-    a, b = mt.drawdown(eq, RUN, "k", "balance"), mt.drawdown(eq, RUN, "k", "balance", 1000.0)
+    chunk = 90 * 86_400_000 * 1_000_000  # a quarter, in the units of k
+    a, b = mt.drawdown(eq, RUN, "k", "balance", chunk=chunk), mt.drawdown(eq, RUN, "k", "balance", 1000.0, chunk)
     return a.select(*RUN, r("max_dd").alias("dd_first")).join(b.select(*RUN, r("max_dd").alias("dd_base")), RUN)
 
 
@@ -54,10 +55,12 @@ def months_from_base(spark: SparkSession, sf: str) -> DataFrame:
     return mt.monthly(by, RUN, "exit_ts", "bal", "base", 1000.0).select(*RUN, "month", (r("ret") + 0.0).alias("ret"))
 
 
-@CORE.query("months_flat_start", f"WITH {P}, {M}, cal AS (SELECT sim_id, v, unnest(generate_series(24216, 24290)) AS month FROM (SELECT DISTINCT sim_id, v FROM mb)), j AS (SELECT cal.*, mb.bal AS b FROM cal LEFT JOIN mb USING (sim_id, v, month)), f AS (SELECT sim_id, v, month, coalesce(last_value(b IGNORE NULLS) OVER w, first_value(b IGNORE NULLS) OVER (PARTITION BY sim_id, v ORDER BY month ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS bal FROM j WINDOW w AS (PARTITION BY sim_id, v ORDER BY month)) SELECT sim_id, v, month, round(bal / nullif(lag(bal) OVER (PARTITION BY sim_id, v ORDER BY month), 0) - 1, 6) + 0.0 AS ret FROM f")
+@CORE.query("months_flat_start", f"WITH {P}, {M}, cal AS (SELECT sim_id, v, unnest(generate_series((SELECT min(month) FROM mb), (SELECT max(month) FROM mb))) AS month FROM (SELECT DISTINCT sim_id, v FROM mb)), j AS (SELECT cal.*, mb.bal AS b FROM cal LEFT JOIN mb USING (sim_id, v, month)), f AS (SELECT sim_id, v, month, coalesce(last_value(b IGNORE NULLS) OVER w, first_value(b IGNORE NULLS) OVER (PARTITION BY sim_id, v ORDER BY month ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS bal FROM j WINDOW w AS (PARTITION BY sim_id, v ORDER BY month)) SELECT sim_id, v, month, round(bal / nullif(lag(bal) OVER (PARTITION BY sim_id, v ORDER BY month), 0) - 1, 6) + 0.0 AS ret FROM f")
 def months_flat_start(spark: SparkSession, sf: str) -> DataFrame:
     by = closed(spark, sf).withColumn("m0", mt.month_number(F.col("exit_ts"))).groupBy(*RUN, "m0").agg(F.max_by("balance", "k").alias("bal"), F.max("exit_ts").alias("exit_ts"))
-    return mt.monthly(by, RUN, "exit_ts", "bal", "flat", span=(24216, 24290)).select(*RUN, "month", (r("ret") + 0.0).alias("ret"))
+    ends = by.agg(F.min("m0").alias("lo"), F.max("m0").alias("hi")).first()
+    span = (ends["lo"], ends["hi"]) if ends["lo"] is not None else (0, 0)
+    return mt.monthly(by, RUN, "exit_ts", "bal", "flat", span=span).select(*RUN, "month", (r("ret") + 0.0).alias("ret"))
 
 
 @CORE.query("yearly_returns", f"WITH {CAL} SELECT sim_id, v, month // 12 AS year, round(product(1 + ret) - 1, 6) + 0.0 AS ret FROM mr WHERE ret IS NOT NULL GROUP BY ALL")

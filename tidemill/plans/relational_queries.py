@@ -26,7 +26,15 @@ def direction():
 @CORE.query("asof_backward", f"WITH {H}, t AS (SELECT symbol, hour, c FROM hb), l AS (SELECT symbol, event_id, ts_ms // {HOUR_MS} AS hour FROM e) SELECT l.event_id, t.hour AS asof_hour, t.c FROM l ASOF LEFT JOIN t ON l.symbol = t.symbol AND l.hour >= t.hour")
 def asof_backward(spark: SparkSession, sf: str) -> DataFrame:
     ticks = events(spark, sf).select("symbol", "event_id", F.floor(F.col("ts_ms") / HOUR_MS).alias("hour"))
-    return joins.asof_backward(ticks, hourly(spark, sf).select("symbol", "hour", "c"), ["symbol"], "hour", ["c"]).select("event_id", "asof_hour", "c")
+    return joins.asof_backward(ticks, hourly(spark, sf).select("symbol", "hour", "c"), ["symbol"], "hour", ["c"], part=720).select("event_id", "asof_hour", "c")
+
+
+@CORE.query("asof_clipped", f"WITH {H}, l AS (SELECT symbol, event_id, ts_ms // {HOUR_MS} - 400000 AS hour FROM e), t AS (SELECT symbol, hour - 399900 AS hour, c FROM hb), f AS (SELECT symbol, min(hour) AS hour, arg_min(c, hour) AS c FROM t GROUP BY symbol) SELECT l.event_id, coalesce(t.hour, f.hour) AS asof_hour, coalesce(t.c, f.c) AS c FROM l ASOF LEFT JOIN t ON l.symbol = t.symbol AND l.hour >= t.hour LEFT JOIN f ON f.symbol = l.symbol")
+def asof_clipped(spark: SparkSession, sf: str) -> DataFrame:
+    """Ticks against hours that are shifted a hundred hours on, so that the first ticks have none before them."""
+    ticks = events(spark, sf).select("symbol", "event_id", (F.floor(F.col("ts_ms") / HOUR_MS) - 400_000).alias("hour"))
+    hours = hourly(spark, sf).select("symbol", (F.col("hour") - 399_900).alias("hour"), "c")
+    return joins.asof_clipped(ticks, hours, ["symbol"], "hour", ["c"], part=720).select("event_id", "asof_hour", "c")
 
 
 @CORE.query("asof_strict_recent", f"WITH {H}, t AS (SELECT symbol, hour, c FROM hb), l AS (SELECT symbol, event_id, ts_ms // {HOUR_MS} AS hour FROM e) SELECT l.event_id, CASE WHEN l.hour - t.hour <= 3 THEN t.hour END AS asof_hour, CASE WHEN l.hour - t.hour <= 3 THEN t.c END AS c FROM l ASOF LEFT JOIN t ON l.symbol = t.symbol AND l.hour > t.hour")
@@ -54,9 +62,10 @@ def zero_fill_left(spark: SparkSession, sf: str) -> DataFrame:
     return joins.zero_fill(daily(spark, sf).select("symbol", "day"), o, ["symbol"], "day", ["pnl"]).select("symbol", "day", r("pnl", 4).alias("pnl"))
 
 
-@CORE.query("panel_join", f"WITH {D}, m AS (SELECT symbol, day, avg(c) AS c, count(*) AS bars FROM (SELECT symbol, ts_ms // 86400000 AS day, c FROM bars WHERE tf = '60m' AND c BETWEEN 1e-9 AND 1e9) GROUP BY ALL) SELECT d.symbol, d.day, d.c, round(m.c, 6) AS c_x, m.bars FROM d LEFT JOIN m USING (symbol, day)")
+@CORE.query("panel_join", f"WITH {D}, m AS (SELECT symbol, ts_ms // 86400000 AS day, median(c) AS c, count(*) AS bars FROM bars WHERE tf = '60m' AND c IS NOT NULL GROUP BY ALL) SELECT d.symbol, d.day, d.c, round(m.c, 6) AS c_x, m.bars FROM d LEFT JOIN m USING (symbol, day)")
 def panel_join(spark: SparkSession, sf: str) -> DataFrame:
-    m = table(spark, sf, "bars").where("tf = '60m' AND c BETWEEN 1e-9 AND 1e9").groupBy("symbol", F.floor(F.col("ts_ms") / 86_400_000).alias("day")).agg(r(F.avg("c")).alias("c"), F.count("*").alias("bars"))
+    """Daily bars with the middle hourly close of the day and the number of deliveries."""
+    m = table(spark, sf, "bars").where("tf = '60m' AND c IS NOT NULL").groupBy("symbol", F.floor(F.col("ts_ms") / 86_400_000).alias("day")).agg(r(F.median("c")).alias("c"), F.count("*").alias("bars"))
     return joins.with_suffix(daily(spark, sf).select("symbol", "day", "c"), m, ["symbol", "day"])
 
 
