@@ -148,9 +148,10 @@ def test_search_and_its_resumption(spark, tmp_path):
     import shutil
 
     shutil.rmtree(f"{tmp_path}/s/round=1")
-    again = search.search(market(spark), folder=f"{tmp_path}/s", **args).orderBy("round", "config_id").collect()
+    second = search.search(market(spark), folder=f"{tmp_path}/s", **args)
+    again = second.orderBy("round", "config_id").collect()
     assert [(r["round"], r["config_id"], r["passed"]) for r in again] == [(r["round"], r["config_id"], r["passed"]) for r in got]
-    cal = search.calibration(found.where("round = 0").select("config_id", "objective"), found.where("round = 0"), 3).collect()
+    cal = search.calibration(second.where("round = 0").select("config_id", "objective"), second.where("round = 0"), 3).collect()
     assert len(cal) == 1 and -1 <= cal[0]["rho"] <= 1
 
 

@@ -13,7 +13,7 @@ from tidemill.sources import files, paged
 
 
 def rows(df, *columns):
-    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=lambda t: [(x is None, x) for x in t])
 
 
 def test_npz_with_and_without_optional_arrays(spark, tmp_path):

@@ -33,11 +33,12 @@ def folder(spark, tmp_path):
 
 
 def test_bars_go_out_once_and_late_ticks_are_dropped(folder, tmp_path):
-    stream = folder([tick(0, 1), tick(5, 3), tick(14, 2)], [tick(40, 9)], [tick(1, 99), tick(41, 8)], [tick(90, 7)])
+    # a tick is late against the watermark of the trigger before the last one
+    stream = folder([tick(0, 1), tick(5, 3), tick(14, 2)], [tick(40, 9)], [tick(42, 8.5)], [tick(1, 99), tick(41, 8)], [tick(90, 7)])
     got = sb.run_once(sb.windowed_ohlcv(stream, "15 minutes", "10 minutes"), f"{tmp_path}/out", f"{tmp_path}/state")
     rows = sorted((r["start_ms"], r["o"], r["h"], r["l"], r["c"], r["n"]) for r in got.collect())
     first = int(T0.timestamp() * 1000)
-    assert [r[1:] for r in rows] == [(1.0, 3.0, 1.0, 2.0, 3), (9.0, 9.0, 8.0, 8.0, 2)]
+    assert [r[1:] for r in rows] == [(1.0, 3.0, 1.0, 2.0, 3), (9.0, 9.0, 8.0, 8.5, 3)]
     assert rows[1][0] - rows[0][0] == 30 * 60_000 and first % 1000 == 0
 
 

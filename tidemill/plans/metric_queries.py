@@ -114,12 +114,12 @@ def leverage_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @CORE.query("scores", """WITH g AS (SELECT DISTINCT cfg, port_growth AS g, port_DD AS dd, port_posMo AS p FROM config_year_matrix WHERE isfinite(port_growth) AND port_growth > 0)
-    SELECT cfg, g, dd, p, round(CASE WHEN dd > 1e-9 THEN (g - 1) * 100 / dd END, 6) + 0.0 AS ret_dd, round(CASE WHEN dd > 1e-9 THEN (g - 1) * 100 / dd * (0.5 + 0.5 * p / 100) END, 6) + 0.0 AS objective, round(power(g, 12 / 60.0::DOUBLE) - 1, 6) + 0.0 AS cagr, round((power(g, 12 / 60.0::DOUBLE) - 1) * exp(-0.02 * dd), 6) + 0.0 AS cagr_score,
+    SELECT cfg, g, dd, p, round(CASE WHEN dd > 1e-9 THEN (g - 1) * 100 / dd END, 6) + 0.0 AS ret_dd, round(CASE WHEN dd > 1e-9 THEN (g - 1) * 100 / dd * (0.5 + 0.5 * p / 100) END, 9) + 0.0 AS objective, round(power(g, 12 / 60.0::DOUBLE) - 1, 6) + 0.0 AS cagr, round((power(g, 12 / 60.0::DOUBLE) - 1) * exp(-0.02 * dd), 6) + 0.0 AS cagr_score,
     round(ln(g) / greatest(dd, 5) * 100 + p, 6) AS log_score, round(p - 1.4 * dd + 6 * ln(1 + greatest(g - 1, -0.999999)), 6) + 0.0 AS ensemble FROM g""")
 def scores(spark: SparkSession, sf: str) -> DataFrame:
     g = table(spark, sf, "config_year_matrix").where("NOT isnan(port_growth) AND port_growth > 0 AND port_growth < double('infinity')").select("cfg", F.col("port_growth").alias("g"), F.col("port_DD").alias("dd"), F.col("port_posMo").alias("p")).distinct()
     gr, dd, p, n = F.col("g"), F.col("dd"), F.col("p"), F.lit(60.0)
-    return g.select("cfg", "g", "dd", "p", (r(mt.return_over_drawdown(gr, dd)) + 0.0).alias("ret_dd"), (r(mt.train_objective(gr, dd, p)) + 0.0).alias("objective"), (r(mt.cagr(gr, n)) + 0.0).alias("cagr"), (r(mt.cagr_score(gr, n, dd)) + 0.0).alias("cagr_score"), r(mt.log_growth_score(gr, dd, p, n)).alias("log_score"), (r(mt.ensemble_score(gr, dd, p)) + 0.0).alias("ensemble"))
+    return g.select("cfg", "g", "dd", "p", (r(mt.return_over_drawdown(gr, dd)) + 0.0).alias("ret_dd"), (r(mt.train_objective(gr, dd, p), 9) + 0.0).alias("objective"), (r(mt.cagr(gr, n)) + 0.0).alias("cagr"), (r(mt.cagr_score(gr, n, dd)) + 0.0).alias("cagr_score"), r(mt.log_growth_score(gr, dd, p, n)).alias("log_score"), (r(mt.ensemble_score(gr, dd, p)) + 0.0).alias("ensemble"))
 
 
 @CORE.query("concentration", f"WITH {S}, y AS (SELECT symbol, month // 12 AS y, product(1 + ret) AS g FROM rr GROUP BY ALL), x AS (SELECT symbol, CASE WHEN g > 1 THEN ln(g) END AS x FROM y) SELECT symbol, round(max(x) / sum(x), 6) AS concentration FROM x GROUP BY symbol")
