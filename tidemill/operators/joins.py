@@ -113,21 +113,33 @@ def overlap(series: DataFrame, member: str, ts: str) -> DataFrame:
     return series.crossJoin(F.broadcast(common)).where(F.col(ts).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
+#: Rows of a frame that is broadcast as an axis of a parameter grid, and members of a pool whose subsets are made.
+MAX_AXIS, MAX_POOL = 10_000, 256
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """``df`` for broadcasting, refused if it has more than ``most`` rows."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows to broadcast")
+    return F.broadcast(df)
+
+
 def grid(*axes: DataFrame) -> DataFrame:
-    """Cartesian product of small axis frames (a parameter grid, not data)."""
+    """Cartesian product of axis frames (a parameter grid, not data), all but the first of at most MAX_AXIS rows."""
     out = axes[0]
     for a in axes[1:]:
-        out = out.crossJoin(F.broadcast(a))
+        out = out.crossJoin(small(a, MAX_AXIS))
     return out
 
 
 def subsets(pool: DataFrame, item: str, sizes: Sequence[int]) -> DataFrame:
-    """(members ARRAY): all subsets of the given sizes of a small pool of candidates, in ascending order."""
+    """(members ARRAY): all subsets of the given sizes of a pool of at most MAX_POOL candidates, in ascending order."""
     base = pool.select(F.col(item)).distinct()
+    held = small(base, MAX_POOL)
     level, out = base.select(F.array(item).alias("members")), None
     for k in range(1, max(sizes) + 1):
         if k > 1:
-            level = level.join(F.broadcast(base), F.col(item) > F.element_at("members", -1)).select(F.concat("members", F.array(item)).alias("members"))
+            level = level.join(held, F.col(item) > F.element_at("members", -1)).select(F.concat("members", F.array(item)).alias("members"))
         if k in sizes:
             out = level if out is None else out.unionByName(level)
     return out

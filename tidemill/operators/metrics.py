@@ -140,8 +140,17 @@ def concentration(years: DataFrame, keys: Sequence[str]) -> DataFrame:
     return years.groupBy(*keys).agg(F.try_divide(F.max(pos), F.sum(pos)).alias("concentration"))
 
 
+#: Members whose pairs are formed.
+MAX_MEMBERS = 5000
+
+
 def pairwise_corr(wide_rows: DataFrame, member: str, time: str, x: str, least: int = 3) -> DataFrame:
-    """(a, b, n, corr) of each pair of members over the times that both have; members are few (symbols, configurations)."""
+    """(a, b, n, corr) of each pair of members over the times that both have.
+
+    The pairs are the result; they grow with the square of the members, of which there may be at most MAX_MEMBERS.
+    """
+    if wide_rows.select(member).distinct().limit(MAX_MEMBERS + 1).count() > MAX_MEMBERS:
+        raise ValueError(f"more than {MAX_MEMBERS} members")
     a = wide_rows.select(F.col(time).alias("_t"), F.col(member).alias("a"), F.col(x).alias("_x"))
     b = wide_rows.select(F.col(time).alias("_s"), F.col(member).alias("b"), F.col(x).alias("_y"))
     return a.join(b, (F.col("_t") == F.col("_s")) & (F.col("a") < F.col("b"))).groupBy("a", "b").agg(F.count(F.col("_x") + F.col("_y")).alias("n"), F.corr("_x", "_y").alias("corr")).where(F.col("n") >= least)
@@ -176,13 +185,19 @@ def skip_above(p: Column, threshold: Column, r: Column) -> Column:
     return F.when(p > threshold, F.lit(0.0)).otherwise(r)
 
 
-def vol_target_leverage(daily: DataFrame, keys: Sequence[str], day: str, r: str, window: int = 60, lo: float = 0.5, hi: float = 2.0, least: int = 120) -> DataFrame:
+def vol_target_leverage(daily: DataFrame, keys: Sequence[str], day: str, r: str, window: int = 60, lo: float = 0.5, hi: float = 2.0, least: int = 120, static: float | None = None) -> DataFrame:
     """Leverage of the next day: target over the realised volatility of the last ``window`` days, clipped.
 
-    The target is the median of the volatilities so far, not of the whole sample, so no future enters.
+    The target is the median of the volatilities so far, not of the whole sample, so no future enters. With ``static``
+    the leverage is scaled so that its mean so far is that, and clipped again.
     """
     w = Window.partitionBy(*keys).orderBy(day).rowsBetween(-window, -1)
     vol = daily.withColumn("_vol", F.when(F.count(r).over(w) == window, F.stddev_samp(r).over(w) * 365**0.5))
     aimed = blocks.expanding_quantiles(vol, keys, day, "_vol", {"_target": 0.5}, least, inclusive=True)
     raw = F.try_divide("_target", F.nullif("_vol", F.lit(0.0)))
-    return aimed.withColumn("leverage", F.when(raw.isNotNull(), F.least(F.greatest(raw, F.lit(lo)), F.lit(hi)))).drop("_vol", "_target")
+    clip = lambda x: F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
+    out = aimed.withColumn("leverage", clip(raw)).drop("_vol", "_target")
+    if static is None:
+        return out
+    mean = F.avg("leverage").over(Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, 0))
+    return out.withColumn("leverage", clip(F.col("leverage") * static / mean))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,44 +23,50 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, least: int = 3) -
     return out.withColumn("rho", F.when((F.col("n") >= least) & ~F.isnan("rho"), F.col("rho")))
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    out = d
-    for m in range(1, 300):
+def _beta_fraction(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
+    """Continued fraction of the incomplete beta function (modified Lentz), for all values at once."""
+    kept = lambda v: np.where(np.abs(v) > 1e-300, v, 1e-300)
+    c, d = np.ones_like(x), 1 / kept(1 - (a + b) * x / (a + 1))
+    out = d.copy()
+    for m in range(1, 400):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + num * d
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = 1 + num / c
-            c = c if abs(c) > tiny else tiny
-            out *= c * d
-        if abs(c * d - 1) < 1e-14:
+            d = 1 / kept(1 + num * d)
+            c = kept(1 + num / c)
+            out = out * c * d
+        if (np.abs(c * d - 1) < 1e-14).all():
             break
     return out
 
 
-def beta_regularised(a: float, b: float, x: float) -> float:
-    if x <= 0 or x >= 1:
-        return 0.0 if x <= 0 else 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
+def beta_regularised(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta function for 0 < x < 1, ``b`` being one number."""
+    log_gamma = np.vectorize(math.lgamma, otypes=[float])
+    front = np.exp(log_gamma(a + b) - log_gamma(a) - math.lgamma(b) + a * np.log(x) + b * np.log1p(-x))
+    near = x < (a + 1) / (a + b + 2)
+    low = front * _beta_fraction(a, b, np.where(near, x, 0.5)) / a
+    high = 1 - front * _mirrored(b, a, np.where(near, 0.5, 1 - x)) / b
+    return np.where(near, low, high)
+
+
+def _mirrored(a: float, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return _beta_fraction(np.full_like(x, a), b, x)
 
 
 @F.pandas_udf(DoubleType())
 def correlation_p(rho: pd.Series, n: pd.Series) -> pd.Series:
-    """Two-sided p-value of a correlation under the t distribution with n - 2 degrees of freedom."""
-    out = []
-    for r, k in zip(rho, n):
-        if r is None or r != r or k < 3:
-            out.append(None)
-        elif abs(r) >= 1:
-            out.append(0.0)
-        else:
-            df = k - 2
-            t2 = r * r * df / (1 - r * r)
-            out.append(beta_regularised(df / 2, 0.5, df / (df + t2)))
-    return pd.Series(out, dtype="float64")
+    """Two-sided p-value of a correlation under the t distribution with n - 2 degrees of freedom; null under three rows."""
+    r, k = rho.to_numpy(dtype=float, na_value=np.nan), n.to_numpy(dtype=float, na_value=np.nan)
+    out = np.full(len(r), np.nan)
+    with np.errstate(invalid="ignore"):
+        known = ~np.isnan(r) & (k >= 3)
+        out[known & (np.abs(r) >= 1)] = 0.0
+        out[known & (r == 0)] = 1.0
+        inner = known & (np.abs(r) < 1) & (r != 0)
+    if inner.any():
+        df = k[inner] - 2
+        t2 = r[inner] ** 2 * df / (1 - r[inner] ** 2)
+        out[inner] = beta_regularised(df / 2, 0.5, df / (df + t2))
+    return pd.Series(out).astype("Float64").mask(np.isnan(out))
 
 
 def cliffs_delta(df: DataFrame, by: Sequence[str], x: str, group: str, least: int = 8) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.operators import grids, learn
 from tidemill.operators import metrics as mt
 from tidemill.operators.windows import Frames, latest_version
 from tidemill.plans.registry import CORE
@@ -156,3 +157,34 @@ def skip_threshold(spark: SparkSession, sf: str) -> DataFrame:
 def vol_target(spark: SparkSession, sf: str) -> DataFrame:
     x = daily(spark, sf).withColumn("x", Frames(["symbol"], "day").change("c"))
     return mt.vol_target_leverage(x, ["symbol"], "day", "x", 20, least=40).select("symbol", "day", r("leverage").alias("leverage"))
+
+
+@CORE.query("vol_target_static", f"""WITH {D}, q AS (SELECT symbol, day, c / lag(c) OVER (PARTITION BY symbol ORDER BY day) - 1 AS x FROM d), a AS (SELECT symbol, day, CASE WHEN count(x) OVER w = 20 THEN stddev_samp(x) OVER w * sqrt(365) END AS vol FROM q WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+    t AS (SELECT symbol, day, vol, CASE WHEN count(vol) OVER p >= 40 THEN quantile_cont(vol, 0.5) OVER p END AS target FROM a WINDOW p AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), l AS (SELECT symbol, day, CASE WHEN target / nullif(vol, 0) IS NOT NULL THEN least(greatest(target / vol, 0.5), 2) END AS x FROM t),
+    m AS (SELECT symbol, day, x * 1.5 / avg(x) OVER (PARTITION BY symbol ORDER BY day) AS y FROM l) SELECT symbol, day, round(CASE WHEN y IS NOT NULL THEN least(greatest(y, 0.5), 2) END, 6) AS leverage FROM m""")
+def vol_target_static(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, brought to a mean of one and a half."""
+    x = daily(spark, sf).withColumn("x", Frames(["symbol"], "day").change("c"))
+    return mt.vol_target_leverage(x, ["symbol"], "day", "x", 20, least=40, static=1.5).select("symbol", "day", r("leverage").alias("leverage"))
+
+
+@CORE.query("portfolio_least", f"""WITH m AS (SELECT * FROM config_year_matrix QUALIFY row_number() OVER (PARTITION BY cfg ORDER BY run_ts DESC, port_DD) = 1), u AS (SELECT campaign, W, cfg, substr(year, 2)::BIGINT AS month, ret FROM (UNPIVOT m ON {', '.join(YEARS)} INTO NAME year VALUE ret)), s AS (SELECT campaign, W, count(DISTINCT cfg) AS members FROM u GROUP BY ALL),
+    f AS (SELECT campaign, W, month, avg(ret) AS ret, count(*) AS n FROM u GROUP BY ALL), k AS (SELECT f.*, count(*) OVER (PARTITION BY campaign, W) AS months FROM f JOIN s USING (campaign, W) WHERE f.n = s.members) SELECT campaign, W, month, round(ret, 9) + 0.0 AS ret, n FROM k WHERE months >= 6""")
+def portfolio_least(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of configurations in equal parts, in the years that all have, where these are six or more."""
+    m = latest_version(table(spark, sf, "config_year_matrix"), ["cfg"], F.col("run_ts").desc(), F.col("port_DD"))
+    u = m.unpivot(["campaign", "W", "cfg"], YEARS, "year", "ret").select("campaign", "W", "cfg", F.substring("year", 2, 4).cast("bigint").alias("month"), "ret")
+    return mt.equal_weight(u, "cfg", "all", 6, by=["campaign", "W"]).select("campaign", "W", "month", (r("ret", 9) + 0.0).alias("ret"), "n")
+
+
+@CORE.query("lockbox_split", f"WITH {P} SELECT sim_id, v, CASE WHEN exit_ts < 1609459200000 THEN 'train' ELSE 'test' END AS part, count(*) AS n, round(sum(pnl), 4) + 0.0 AS pnl FROM p GROUP BY ALL")
+def lockbox_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Closes before and from 2021 on."""
+    return grids.lockbox(closed(spark, sf), "exit_ts", 1_609_459_200_000).groupBy(*RUN, "part").agg(F.count("*").alias("n"), (r(F.sum("pnl"), 4) + 0.0).alias("pnl"))
+
+
+@CORE.query("next_target", f"WITH {D}, q AS (SELECT symbol, day, c / lag(c) OVER (PARTITION BY symbol ORDER BY day) - 1 AS x FROM d) SELECT symbol, day, (lead(x) OVER (PARTITION BY symbol ORDER BY day) > 0)::INT::DOUBLE AS target FROM q")
+def next_target(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the next day rises; nothing for the last."""
+    x = daily(spark, sf).withColumn("x", Frames(["symbol"], "day").change("c"))
+    return learn.next_period_target(x, ["symbol"], "day", "x").select("symbol", "day", "target")
