@@ -131,13 +131,21 @@ def parts(text: str | None) -> list[Part]:
 
 
 def _pieces(body: str, boundary: str) -> Iterator[str]:
-    mark = "--" + boundary
-    pieces = re.split(r"(?m)^" + re.escape(mark) + r"(--)?[ \t]*$\n?", body)
-    # split with one group: text, closing?, text, closing?, ...
-    for k in range(1, len(pieces) - 1, 2):
-        if pieces[k]:
-            return
-        yield pieces[k + 1]
+    """What lies between the boundary lines, up to the closing one; the last piece may have none after it."""
+    mark, begin, at = "--" + boundary, -1, 0
+    while (at := body.find(mark, at)) >= 0:
+        end = body.find("\n", at)
+        end = len(body) if end < 0 else end
+        tail = body[at + len(mark) : end].rstrip(" \t")
+        if (at == 0 or body[at - 1] == "\n") and tail in ("", "--"):
+            if begin >= 0:
+                yield body[begin:at]
+            if tail:
+                return
+            begin = min(end + 1, len(body))
+        at += len(mark)
+    if begin >= 0:
+        yield body[begin:]
 
 
 _DROP = re.compile(r"<(head|style|script)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)

@@ -32,8 +32,9 @@ MIN_SHARE = 2e-6
 #: Centres of the level classes in which corpus words are counted.
 BINS = np.arange(-4, 4.25, 0.5)
 GRID = np.linspace(-6, 6, 601)
-#: The fit has settled when the difficulties change by less than this on the corpus' average word; most rounds it may take.
-SETTLED, ROUNDS = 0.002, 40
+#: The fit has settled when a smaller share of the corpus' words than this comes to lie in another level class; most
+#: rounds it may take.
+SETTLED, ROUNDS = 0.01, 40
 #: A reference word counts as so many corpus words, and all corpus words together as so many times the references, at any size.
 ANCHOR, CORPUS_WEIGHT = 3.0, 10.0
 MIN_WORDS = 40
@@ -43,6 +44,7 @@ MAX_REFERENCES = 100_000
 #: Words whose parameters are worked on together.
 CHUNK = 8192
 
+_ALNUM = re.compile(r"[^\W_]")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 
 
@@ -64,7 +66,7 @@ def own_text(text: str | None) -> str:
 def own_tokens(text: str | None, languages: lg.Languages, min_words: int = MIN_WORDS) -> list[str] | None:
     """Tokens of what the sender wrote, if that is at least ``min_words`` words of English."""
     own = own_text(text)
-    if sum(any(c.isalnum() for c in w) for w in own.split()) < min_words or languages.of(own) != ENGLISH:
+    if sum(w.isalnum() or _ALNUM.search(w) is not None for w in own.split()) < min_words or languages.of(own) != ENGLISH:
         return None
     return tokens(own) or None
 
@@ -191,10 +193,14 @@ def _counting(shared):
         model: Model = shared.value
         for batch in batches:
             words, size = _joined(batch.column(0).to_pylist(), np.int32)
-            near = np.clip(np.round((model.level(words, size) - BINS[0]) / 0.5), 0, len(BINS) - 1).astype(np.int64)
-            of = np.repeat(near, size)[words >= 0] * len(model.b) + words[words >= 0]
-            key, n = np.unique(of, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
+            at = np.clip((model.level(words, size) - BINS[0]) / (BINS[1] - BINS[0]), 0, len(BINS) - 1)
+            low = np.minimum(np.floor(at), len(BINS) - 2).astype(np.int64)
+            held = words >= 0
+            of = np.repeat(low, size)[held] * len(model.b) + words[held]
+            upper = np.repeat(at - low, size)[held]  # a text between two classes counts in both, by nearness
+            key, place = np.unique(np.concatenate([of, of + len(model.b)]), return_inverse=True)
+            n = np.bincount(place, np.concatenate([1 - upper, upper]), len(key))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
 
     return run
 
@@ -211,23 +217,22 @@ def fit(corpus: DataFrame, keys: np.ndarray, references: list[tuple[int, np.ndar
     scale = np.array(levels, float) - (levels[0] + levels[-1]) / 2
     spark = corpus.sparkSession
     parameters = fit_words(anchors, scale)
-    model = Model(*parameters, anchors.sum(0) > 0)
+    model, before = Model(*parameters, anchors.sum(0) > 0), None
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
-        rows = corpus.select("words").mapInArrow(_counting(shared), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+        rows = corpus.select("words").mapInArrow(_counting(shared), "key bigint, n double").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
         found = np.zeros((len(BINS), len(keys)))
         key = rows["key"].to_numpy(np.int64)
         found[key // len(keys), key % len(keys)] = rows["n"].to_numpy(float)
         shared.unpersist()
         if not found.sum():
             break
-        share = found.sum(0) / found.sum()
-        found *= CORPUS_WEIGHT * anchors.sum() / found.sum()
-        before = model.b
-        parameters = fit_words(np.vstack([found, ANCHOR * anchors]), np.concatenate([BINS, scale]), parameters)
-        model = Model(*parameters, share + anchors.sum(0) > 0)
-        if float((np.abs(np.nan_to_num(model.b) - np.nan_to_num(before)) * share).sum()) < SETTLED:
+        share = found / found.sum()
+        parameters = fit_words(np.vstack([CORPUS_WEIGHT * anchors.sum() * share, ANCHOR * anchors]), np.concatenate([BINS, scale]), parameters)
+        model = Model(*parameters, share.sum(0) + anchors.sum(0) > 0)
+        if before is not None and np.abs(share - before).sum() / 2 < SETTLED:
             break
+        before = share
     own = model.level(np.concatenate([w for _, w in references]), np.array([len(w) for _, w in references]))
     of = np.array([lv for lv, _ in references])
     mean = [own[of == lv].mean() for lv in levels]
