@@ -223,3 +223,22 @@ def test_grids_of_any_size_and_halves(spark):
 def test_against_sql(spark, name):
     n, m, extra, missing = compare(spark, entry.queries()[name], entry.oracle_sql()[name], SMALL)
     assert n == m > 0 and not extra and not missing
+
+
+def test_chain_is_the_fold(spark):
+    """Fees, leverage, guards and liquidation over shared exits."""
+    import pandas as pd
+
+    from tidemill.operators import chain
+
+    rnd = random.Random(12)
+    b = engines.bars(12, 500)
+    pdf = pd.DataFrame({"symbol": "A", "w": 12, "i": np.arange(500), "ts_ms": b["ts"], "o": b["o"], "h": b["h"], "l": b["l"], "c": b["c"], "ma": b["ma"]})
+    frame = spark.createDataFrame(pdf).withColumn("ma", F.nanvl("ma", F.lit(None).cast("double")))
+    rows = [(k, 12, rnd.choice([0.01, 0.03]), rnd.choice([1, 3]), rnd.choice([1.0, 20.0]), rnd.choice([0.02, 0.4]), rnd.choice([1, 2]), rnd.choice([None, 0.02]), rnd.choice([0.0, 0.001]), rnd.random() < 0.5) for k in range(60)]
+    configs = spark.createDataFrame(rows, "config_id long, w int, tpd double, ntp int, lev double, stop double, sltp int, maxdist double, fee double, liq boolean")
+    assert chain.geometries(configs).select("geo").distinct().count() < 60
+    a = chain.trade_chain(frame, configs).select("config_id", "open_ts", "exit_ts", "reason", "balance").toPandas().sort_values(["config_id", "exit_ts"])
+    z = fold.replay_grid(frame.drop("i"), configs).select("config_id", "open_ts", "exit_ts", "reason", "balance").toPandas().sort_values(["config_id", "exit_ts"])
+    assert a.iloc[:, :4].values.tolist() == z.iloc[:, :4].values.tolist() and len(a) > 300
+    assert a.balance.tolist() == pytest.approx(z.balance.tolist(), rel=1e-7, abs=1e-6)

@@ -1,9 +1,11 @@
 """The crossing strategy as a relational plan: signals, candidates, outcomes, chain.
 
 With proportional sizing a trade's outcome (exit bar, reason, factor on the balance) depends on its entry bar,
-direction and configuration alone. So every signal gets its outcome by a range join to the bars up to the next
-opposite signal, where a position ends at the latest; then each configuration walks from a trade's exit to the next
-signal it may take; equity is the running product of the factors.
+direction and configuration alone, and where it exits on still less: the rungs, the stop and, if it may be liquidated,
+the leverage. So every signal gets its exit for each such geometry by a range join to the bars up to the next opposite
+signal, where a position ends at the latest; configurations that share a geometry share its exits and add their fee,
+leverage and distance guard. Then each configuration walks from a trade's exit to the next signal it may take; equity is
+the running product of the factors.
 """
 
 from __future__ import annotations
@@ -29,19 +31,24 @@ def crossing_signals(bars: DataFrame, keys: Sequence[str], strict: bool = False)
     return flagged.withColumn("signal", F.when(F.coalesce(crossed, F.lit(False)), F.when(F.col("c") > F.col("ma"), 1).otherwise(-1)).otherwise(0)).drop("_in")
 
 
-def candidates(marked: DataFrame, configs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Signals x configurations of the same average length, without blocked ones, each with the next opposite signal."""
+def geometries(configs: DataFrame) -> DataFrame:
+    """The configurations with ``geo``, which those have in common that exit alike."""
+    full = with_defaults(configs).select("config_id", "w", "tpd", "ntp", "lev", "stop", "sltp", "maxdist", "fee", "mmr", "liq")
+    margin = (F.when(F.col("liq"), F.col(c)) for c in ("lev", "mmr"))
+    return full.withColumn("geo", F.xxhash64("w", "tpd", "ntp", "stop", "sltp", "liq", *margin))
+
+
+def candidates(marked: DataFrame, geo: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Signals x geometries of the same average length, each with the next opposite signal."""
     after = Window.partitionBy(*keys).orderBy("i").rowsBetween(1, Window.unboundedFollowing)
     s = marked.where("signal <> 0")
     opposite = F.when(F.col("signal") > 0, F.min(F.when(F.col("signal") < 0, F.col("i"))).over(after)).otherwise(F.min(F.when(F.col("signal") > 0, F.col("i"))).over(after))
     s = s.select(*keys, F.col("i").alias("entry_i"), F.col("ts_ms").alias("open_ts"), F.col("signal").alias("dir"), F.col("c").alias("entry"), F.col("ma").alias("entry_ma"), opposite.alias("next_opp"))
-    cfg = with_defaults(configs).select("config_id", "w", "tpd", "ntp", "lev", "stop", "sltp", "maxdist", "fee", "mmr", "liq")
-    far = (F.col("maxdist") > 0) & (F.col("entry_ma") != 0) & (F.abs(F.col("entry") - F.col("entry_ma")) / F.col("entry_ma") > F.col("maxdist"))
-    return s.join(cfg, "w").where(~F.coalesce(far, F.lit(False)))
+    return s.join(geo.drop("config_id", "fee", "maxdist").dropDuplicates(["geo"]), "w")
 
 
 def outcomes(cand: DataFrame, bars: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Each candidate with ``exit_i``, ``exit_ts``, ``exit``, ``reason`` and ``factor``; OPEN if it is still held at the end."""
+    """Each candidate with ``exit_i``, ``exit_ts``, ``exit``, ``reason`` and ``m`` rungs filled; OPEN if it is still held at the end."""
     keys = list(keys)
     last = bars.groupBy(*keys).agg(F.max("i").alias("_last"))
     wide = cand.join(last, keys).withColumn("_to", F.coalesce("next_opp", "_last")).where("_to > entry_i")
@@ -51,7 +58,7 @@ def outcomes(cand: DataFrame, bars: DataFrame, keys: Sequence[str]) -> DataFrame
     side = F.col("dir")
     best = F.when(side > 0, F.col("bh")).otherwise(F.col("bl"))
     worst = F.when(side > 0, F.col("bl")).otherwise(F.col("bh"))
-    run = Window.partitionBy(*keys, "config_id", "entry_i").orderBy("i")
+    run = Window.partitionBy(*keys, "geo", "entry_i").orderBy("i")
     reach = F.when(side > 0, F.max("bh").over(run.rowsBetween(Window.unboundedPreceding, 0))).otherwise(F.min("bl").over(run.rowsBetween(Window.unboundedPreceding, 0)))
     held = held.withColumns({"reach": reach, "worst": worst, "best": best}).withColumn("reach_before", F.lag("reach").over(run))
 
@@ -72,7 +79,17 @@ def outcomes(cand: DataFrame, bars: DataFrame, keys: Sequence[str]) -> DataFrame
     exits = held.withColumn("reason", reason).where("reason IS NOT NULL").withColumn("exit", price)
     filled = F.when(F.col("reason").isin("LIQ", "SL"), F.col("m0")).otherwise(F.least("m1", "ntp"))
     exits = exits.withColumn("m", filled)
-    first = exits.groupBy(*keys, "config_id", "entry_i").agg(F.min(F.struct("i", "t", "exit", "reason", "m", "open_ts", "dir", "entry", "lev", "tpd", "ntp", "fee")).alias("x")).select(*keys, "config_id", "entry_i", "x.*")
+    first = exits.groupBy(*keys, "geo", "entry_i").agg(F.min(F.struct("i", "t", "exit", "reason", "m")).alias("x"))
+    done = first.select(*keys, "geo", "entry_i", F.col("x.i").alias("exit_i"), F.col("x.t").alias("exit_ts"), "x.exit", "x.reason", "x.m")
+    every = cand.select(*keys, "geo", "entry_i", "open_ts", "dir", "entry", "entry_ma")
+    return every.join(done, [*keys, "geo", "entry_i"], "left").withColumn("reason", F.coalesce("reason", F.lit("OPEN")))
+
+
+def factors(found: DataFrame, configs: DataFrame) -> DataFrame:
+    """``outcomes`` of each geometry for the configurations that have it, without blocked entries, with ``factor`` on the balance."""
+    each = found.join(configs.select("geo", "config_id", "tpd", "ntp", "lev", "maxdist", "fee"), "geo")
+    far = (F.col("maxdist") > 0) & (F.col("entry_ma") != 0) & (F.abs(F.col("entry") - F.col("entry_ma")) / F.col("entry_ma") > F.col("maxdist"))
+    side = F.col("dir")
     steps = F.col("m") * (F.col("m") + 1) / 2
     n = F.greatest(F.col("ntp"), F.lit(1))
     rest = 1 - F.col("m") / n
@@ -80,9 +97,7 @@ def outcomes(cand: DataFrame, bars: DataFrame, keys: Sequence[str]) -> DataFrame
     tail = F.when(F.col("reason") == "LIQ", -rest).otherwise(F.col("lev") * rest * (side * (F.col("exit") / F.col("entry") - 1) - F.col("fee") * F.col("exit") / F.col("entry")))
     factor = 1 - F.col("fee") * F.col("lev") + ladder + tail
     factor = F.when(F.col("reason") == "LIQ", F.greatest(factor, F.lit(0.0))).otherwise(factor)
-    done = first.select(*keys, "config_id", "entry_i", F.col("i").alias("exit_i"), F.col("t").alias("exit_ts"), "exit", "reason", factor.alias("factor"))
-    every = cand.select(*keys, "config_id", "entry_i", "open_ts", "dir", "entry")
-    return every.join(done, [*keys, "config_id", "entry_i"], "left").withColumn("reason", F.coalesce("reason", F.lit("OPEN")))
+    return each.where(~F.coalesce(far, F.lit(False))).withColumn("factor", factor)
 
 
 def resolve(trades: DataFrame, keys: Sequence[str], start: float = 10_000.0) -> DataFrame:
@@ -120,4 +135,5 @@ def trade_chain(bars: DataFrame, configs: DataFrame, keys: Sequence[str] = ("sym
     balance's path is for ``fold.replay_grid``.
     """
     marked = crossing_signals(bars, keys).withColumn("signal", F.when(F.col("i") >= F.greatest(F.lit(1), floor_per_w * F.col("w")), F.col("signal")).otherwise(0))
-    return resolve(outcomes(candidates(marked, configs, keys), bars, keys), keys, start)
+    geo = geometries(configs)
+    return resolve(factors(outcomes(candidates(marked, geo, keys), bars, keys), geo), keys, start)
