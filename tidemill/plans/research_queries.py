@@ -13,7 +13,7 @@ from tidemill.plans.metric_queries import P, RUN, closed
 from tidemill.plans.registry import CORE
 from tidemill.plans.panel_queries import hourly
 from tidemill.plans.series import E, r
-from tidemill.session import cut, shared_folder, table
+from tidemill.session import cut, remove, shared_folder, table
 from tidemill.streaming import bars as streams
 
 
@@ -34,7 +34,9 @@ def stream_ohlcv(spark: SparkSession, sf: str) -> DataFrame:
     Ticks may be a day late; the bars of the last day are thus still open at the end, and their state is all that is kept.
     """
     place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    return streams.run_once(streams.windowed_ohlcv(ticks(spark, sf, True), late="1 day"), f"{place}/out", f"{place}/state")
+    kept = cut(streams.run_once(streams.windowed_ohlcv(ticks(spark, sf, True), late="1 day"), f"{place}/out", f"{place}/state"))
+    remove(spark, place)
+    return kept
 
 
 @CORE.query("tick_sessions", f"WITH {E}, g AS (SELECT symbol, ts_ms, (ts_ms - lag(ts_ms) OVER (PARTITION BY symbol ORDER BY ts_ms, event_id) >= 7200000)::INT AS brk FROM e), s AS (SELECT symbol, ts_ms, sum(coalesce(brk, 0)) OVER (PARTITION BY symbol ORDER BY ts_ms ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT symbol, min(ts_ms) AS begin_ms, max(ts_ms) AS end_ms, count(*) AS n FROM s GROUP BY symbol, k")
