@@ -275,3 +275,11 @@ def test_leverage_map_and_normalised_share(spark):
 
     df = spark.createDataFrame([(1,), (7,), (None,)], "m int").select(sc.by_month(F.col("m"), {7: 2.0}).alias("x"))
     assert [r["x"] for r in df.collect()] == [1.0, 2.0, 1.0]
+
+
+def test_pairs_of_which_one_does_not_vary(spark):
+    data = [("a", t, 0.0) for t in range(4)] + [("b", t, x) for t, x in enumerate((0.1, -0.2, 0.4, None))] + [("c", t, x) for t, x in enumerate((0.3, 0.1, 0.2, 9.0))]
+    got = {(r["a"], r["b"]): (r["n"], r["corr"]) for r in mt.pairwise_corr(spark.createDataFrame(data, "m string, t long, x double"), "m", "t", "x").collect()}
+    assert {k: n for k, (n, _) in got.items()} == {("a", "b"): 3, ("a", "c"): 4, ("b", "c"): 3}
+    assert math.isnan(got["a", "b"][1]) and math.isnan(got["a", "c"][1])
+    assert got["b", "c"][1] == pytest.approx(np.corrcoef([0.1, -0.2, 0.4], [0.3, 0.1, 0.2])[0, 1])
