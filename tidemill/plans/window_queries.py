@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators import blocks, smoothing, windows
+from tidemill.operators.aggregates import correlation
 from tidemill.operators.regular_grid import epoch_ms
 from tidemill.operators.windows import Frames
 from tidemill.plans.registry import CORE
@@ -357,7 +358,7 @@ def yearly_features(spark: SparkSession, sf: str) -> DataFrame:
     d = daily(spark, sf).withColumn("year", F.year(F.timestamp_millis("ts_ms")).cast("bigint"))
     f = Frames(["symbol", "year"], "day")
     x = d.withColumn("x", f.log_return("c")).withColumn("x1", f.lag("x"))
-    return x.groupBy("symbol", "year").agg(r(F.stddev_samp("x") * 365**0.5).alias("vol"), r(F.sum("x")).alias("drift"), r(F.when(F.count(F.col("x") + F.col("x1")) > 2, F.corr("x", "x1")), 5).alias("ac1"))
+    return x.groupBy("symbol", "year").agg(r(F.stddev_samp("x") * 365**0.5).alias("vol"), r(F.sum("x")).alias("drift"), r(F.when(F.count(F.col("x") + F.col("x1")) > 2, correlation(F.col("x"), F.col("x1"))), 5).alias("ac1"))
 
 
 @CORE.query(
