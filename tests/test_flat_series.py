@@ -25,7 +25,7 @@ def flat(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["yearly_features"])
+@pytest.mark.parametrize("name", ["yearly_features", "roll_corr_beta"])
 def test_as_the_sql(spark, flat, name):
     n, m, extra, missing = compare(spark, entry.queries()[name], entry.oracle_sql()[name], flat)
     assert n == m > 0 and not extra and not missing

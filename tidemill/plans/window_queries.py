@@ -172,7 +172,7 @@ def roll_corr_beta(spark: SparkSession, sf: str) -> DataFrame:
     def fn(df, keys):
         f = Frames(keys)
         df = df.withColumn("x", f.change("c")).withColumn("y", F.try_divide("v", F.nullif(f.lag("v"), F.lit(0.0))) - 1)
-        return df.select("symbol", "day", "_rn", "_block", r(f.corr(F.col("x"), F.col("y"), 30), 5).alias("corr"), r(f.beta(F.col("x"), F.col("y"), 30), 5).alias("beta"))
+        return df.select("symbol", "day", "_rn", "_block", (r(f.corr(F.col("x"), F.col("y"), 30), 5) + 0.0).alias("corr"), (r(f.beta(F.col("x"), F.col("y"), 30), 5) + 0.0).alias("beta"))
 
     return rolled(daily(spark, sf), fn, 31).drop("_rn")
 
