@@ -35,6 +35,11 @@ def basket_measures(returns: DataFrame, by: Sequence[str]) -> DataFrame:
     return total.join(mt.concentration(years, by), by, "left")
 
 
+def _fall(equity: Column, peak: Column) -> Column:
+    """1 - equity / peak as floating point has it (NaN for 0 of 0), as in the SQL; a plain division by 0 is an error."""
+    return 1 - F.when(peak == 0, equity * F.pow(peak, F.lit(-1.0))).otherwise(F.try_divide(equity, peak))
+
+
 def basket_score(pos: Column, concentration: Column, dd: Column) -> Column:
     return pos - 50 * F.coalesce(concentration, F.lit(1.0)) - 0.3 * dd
 
@@ -75,7 +80,7 @@ def window_measures(returns: DataFrame, by: Sequence[str], least: int = LEAST_MO
     """(by, n, green, growth, dd, worst) of the series with at least ``least`` returns; the peak begins with the first month."""
     by = list(by)
     w = Window.partitionBy(*by).orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
-    eq = returns.where("ret IS NOT NULL").withColumn("_eq", F.product(1 + F.col("ret")).over(w)).withColumn("_dd", 1 - F.col("_eq") / F.max("_eq").over(w))
+    eq = returns.where("ret IS NOT NULL").withColumn("_eq", F.product(1 + F.col("ret")).over(w)).withColumn("_dd", _fall(F.col("_eq"), F.max("_eq").over(w)))
     return eq.groupBy(*by).agg(F.count("*").alias("n"), (F.avg((F.col("ret") > 0).cast("double")) * 100).alias("green"), F.max_by("_eq", "month").alias("growth"), (F.max("_dd") * 100).alias("dd"), (F.min("ret") * 100).alias("worst")).where(F.col("n") >= least)
 
 
@@ -95,7 +100,8 @@ def _measured(r: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
     n = held.sum(1)
     eq = np.cumprod(np.where(held, 1 + r, 1.0), axis=1)
     peak = np.maximum.accumulate(np.where(np.cumsum(held, axis=1) > 0, eq, -np.inf), axis=1)
-    dd = np.where(held, 1 - eq / peak, 0.0).max(1) * 100
+    with np.errstate(divide="ignore", invalid="ignore"):  # 0 of 0 is NaN
+        dd = np.where(held, 1 - eq / peak, 0.0).max(1) * 100
     return n >= least, (np.where(held, r, 0) > 0).sum(1) / np.maximum(n, 1) * 100, eq[:, -1] if r.shape[1] else np.ones(len(r)), dd
 
 
