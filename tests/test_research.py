@@ -283,3 +283,10 @@ def test_pairs_of_which_one_does_not_vary(spark):
     assert {k: n for k, (n, _) in got.items()} == {("a", "b"): 3, ("a", "c"): 4, ("b", "c"): 3}
     assert math.isnan(got["a", "b"][1]) and math.isnan(got["a", "c"][1])
     assert got["b", "c"][1] == pytest.approx(np.corrcoef([0.1, -0.2, 0.4], [0.3, 0.1, 0.2])[0, 1])
+
+
+def test_a_search_plans_each_replay_once(spark, monkeypatch):
+    replays, cut = [], search.cut
+    monkeypatch.setattr(search, "cut", lambda df: replays.append(df._jdf.queryExecution().analyzed().toString().count("FlatMapCoGroupsInArrow")) or cut(df))
+    search.search(market(spark), keys=["symbol"], n=8, topk=3, rounds=1, split_month=1970 * 12 + 16, base={"w": 12, "tpd": 0.05, "ntp": 3, "lev": 1.0, "stop": 0.02, "sltp": 2}, lengths=[12])
+    assert sum(replays) == 4 and max(replays) == 1  # the base, the screen, the ideas and their twins
