@@ -290,3 +290,10 @@ def test_a_search_plans_each_replay_once(spark, monkeypatch):
     monkeypatch.setattr(search, "cut", lambda df: replays.append(df._jdf.queryExecution().analyzed().toString().count("FlatMapCoGroupsInArrow")) or cut(df))
     search.search(market(spark), keys=["symbol"], n=8, topk=3, rounds=1, split_month=1970 * 12 + 16, base={"w": 12, "tpd": 0.05, "ntp": 3, "lev": 1.0, "stop": 0.02, "sltp": 2}, lengths=[12])
     assert sum(replays) == 4 and max(replays) == 1  # the base, the screen, the ideas and their twins
+
+
+def test_a_configuration_that_loses_all_in_its_first_month(spark):
+    data = [("a", 1, 0, 9e3), ("a", 1, 1, 0.0), ("b", 1, 1, 9e3), ("b", 1, 2, 12e3), ("a", 2, 0, 9e3), ("a", 2, 1, 18e3), ("a", 2, 2, 9e3), ("a", 3, 0, 9e3), ("a", 3, 1, 18e3), ("a", 3, 2, 0.0)]
+    closes = spark.createDataFrame([(s, c, m * 32 * 86_400_000, b) for s, c, m, b in data], "symbol string, config_id long, exit_ts long, balance double")
+    got = rows(search.portfolio_measures(closes, ["symbol"], mode="any"), "config_id", "growth", "dd", "months", "ret_dd")
+    assert got == [(1, 0.0, 100.0, 2, 0.0), (2, 1.0, 50.0, 2, 2.0), (3, 0.0, 100.0, 2, 0.0)]
